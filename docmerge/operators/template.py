@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmerge.functions.keys import normalize_key
-from docmerge.functions.text import is_blank, trim
+from docmerge.functions.keys import normalize_key, normalize_key_sql
+from docmerge.functions.text import apply_sql, bind, is_blank, pattern
 from docmerge.functions.values import infer_type
 from docmerge.schemas import Template, TemplateColumn
 
@@ -71,6 +71,29 @@ def resolve_template(
         *object_cols, "pos", F.col("column").alias("key"), F.col("v.value").alias("value")
     )
 
+def sql_string(text: str) -> str:
+    return pattern(text) if "\\" not in text else "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def with_norm_sql(pairs: str) -> str:
+    """Pairs with the clean form of their key as ``norm``."""
+    return f"transform({pairs}, p -> named_struct('key', p.key, 'norm', {normalize_key_sql('p.key')}, 'kind', p.kind, 'text', p.text))"
+
+
+def resolve_sql(pairs: str, key: str, candidates: list[str]) -> str:
+    """The pair that fills one template column, found among pairs with ``norm``."""
+    exact = f"try_element_at(filter({pairs}, p -> p.key = {sql_string(key)} AND p.kind <> 'null'), -1)"
+    fuzzy = [f"try_element_at(filter({pairs}, p -> p.norm = {sql_string(c)}), -1)" for c in candidates]
+    return f"coalesce({', '.join([exact, *fuzzy])})"
+
+
+def candidates_by_key(spark: SparkSession, template: Template) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for _, key, candidate, _ in template_candidates(spark, template):
+        found.setdefault(key, []).append(candidate)
+    return found
+
+
 def template_mismatch(entry_keys: Column, template_norm: dict[str, str]) -> Column:
     """Keys of one entry outside of the template, and template keys it lacks."""
     norms = F.array(*[F.lit(n) for n in template_norm.values()])
@@ -84,24 +107,23 @@ def template_mismatch(entry_keys: Column, template_norm: dict[str, str]) -> Colu
         ((F.size(extra) == 0) & (F.size(missing) == 0)).alias("matched"),
     )
 
-def infer_template(df: DataFrame) -> DataFrame:
+def infer_template(df: DataFrame, order: str | None = None) -> DataFrame:
     """Template of a table: per column its first non-blank example and the type it suggests.
 
-    ``monotonically_increasing_id`` only ranks rows, so each map task keeps one
+    Rows are ranked by ``order``, else as they are read; each map task keeps one
     candidate per column and no row is moved.
     """
-    order = F.monotonically_increasing_id()
-    named = df.select(order.alias("__row"), *[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    firsts = named.agg(
-        *[F.min_by(c, F.when(~is_blank(c), F.col("__row"))).alias(c) for c in df.columns]
-    )
-    columns = F.array(
+    rank = F.col(order) if order else F.monotonically_increasing_id()
+    columns = [c for c in df.columns if c != order]
+    named = df.select(rank.alias("__row"), *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
+    firsts = named.agg(*[F.min_by(f"`{c}`", F.when(~is_blank(f"`{c}`"), F.col("__row"))).alias(c) for c in columns])
+    found = F.array(
         *[
             F.struct(F.lit(i).alias("pos"), F.lit(c).alias("key"), F.coalesce(F.col(f"`{c}`"), F.lit("")).alias("example"))
-            for i, c in enumerate(df.columns)
+            for i, c in enumerate(columns)
         ]
     )
-    return firsts.select(F.inline(columns)).select(
+    return firsts.select(F.inline(found)).select(
         "pos",
         "key",
         infer_type("example").alias("type"),
