@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmerge.functions.salvage import parse_json_response, salvage
+from docmerge.functions.salvage import parse_json_response
 from docmerge.operators.grouping import with_group
 from docmerge.operators.state import inherit_group, pending_files
 from docmerge.operators.validate import clean_result_keys, validate_flat, validate_schema_guided
@@ -97,20 +97,11 @@ def extract_documents(
 
 
 def rule_extractor(prompts: list[Prompt]) -> list[str]:
-    """A deterministic stand-in for a model: "key: value" text, else simple facts of the text."""
-    import json
-
-    answers = []
-    for prompt in prompts:
-        text = prompt.user.removeprefix(TEXT_PREFIX)
-        found, layer, _ = salvage(text)
-        if layer in (1, 2, 3):
-            answers.append(found)
-            continue
-        words = text.split()
-        answers.append(
-            json.dumps(
-                {"first": words[0] if words else "", "words": len(words), "lines": text.count("\n") + 1}, ensure_ascii=False
-            )
-        )
-    return answers
+    """A deterministic stand-in for a model: echoes JSON or "key: value" text of the document."""
+    return [p.user.removeprefix(TEXT_PREFIX) for p in prompts]
+
+
+def facts_extractor(prompts: list[Prompt]) -> list[str]:
+    """A deterministic stand-in for a model: size facts of the document text."""
+    texts = [p.user.removeprefix(TEXT_PREFIX) for p in prompts]
+    return [f'{{"chars": {len(t)}, "lines": {t.count(chr(10)) + 1}}}' for t in texts]
