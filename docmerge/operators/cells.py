@@ -64,6 +64,8 @@ def entry_objects(results: DataFrame, entries: DataFrame | None = None) -> DataF
     ids = [c for c in _ID if c in results.columns]
     if entries is not None:
         return results.select(*ids).join(entries.select("file_id", "entry_idx", "entry_json"), "file_id")
+    if "entries_json" not in results.columns:
+        results = results.withColumn("entries_json", F.lit(None).cast("array<string>"))
     return results.select(*ids, F.posexplode("entries_json").alias("entry_idx", "entry_json")).withColumn(
         "entry_idx", F.col("entry_idx").cast("bigint")
     )

@@ -155,7 +155,8 @@ def _with_group_key(df: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def _entry_counts(ok: DataFrame, entries: DataFrame | None) -> DataFrame:
     if entries is None:
-        return ok.withColumn("n_entries", F.coalesce(F.size("entries_json"), F.lit(0)).cast("bigint"))
+        size = F.coalesce(F.size("entries_json"), F.lit(0)) if "entries_json" in ok.columns else F.lit(0)
+        return ok.withColumn("n_entries", size.cast("bigint"))
     counts = entries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_entries"))
     return ok.join(counts, "file_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
 

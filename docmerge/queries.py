@@ -730,5 +730,5 @@ def stream_group_counts(spark, sf):
 
 @query
 def stream_dedup(spark, sf):
-    results = _stream(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("file_id"), F.col("o_orderdate").alias("created_at"))
+    results = _stream(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("file_id"), F.col("o_orderdate").cast("timestamp").alias("created_at"))
     return _run_append(flows.stream_dedup(results, "20000 days")).select("file_id")
