@@ -20,13 +20,16 @@ _STRING = r'"[^"\\]*+"'
 _WHOLE = r"-?(?:0|[1-9][0-9]{0,14})(?![0-9.eE])"
 
 
-def _flat(value: str) -> str:
+def _flat(value: str, key: str = _STRING) -> str:
     """Pattern of a flat JSON object without escapes whose values match ``value``."""
-    return rf"^\{{[ \n]*+(?:{_STRING}[ \n]*+:[ \n]*+(?:{value})[ \n]*+(?:,[ \n]*+(?=\")|(?=\}}$)))*+\}}$"
+    return rf"^\{{[ \n]*+(?:{key}[ \n]*+:[ \n]*+(?:{value})[ \n]*+(?:,[ \n]*+(?=\")|(?=\}}$)))*+\}}$"
 
 
 _FLAT_STRINGS = _flat(f"{_STRING}|null")
-_FLAT_PLAIN = _flat(rf"{_STRING}|(?!-0){_WHOLE}|true|false|null")
+_PLAIN_VALUE = rf"{_STRING}|(?!-0){_WHOLE}|true|false|null"
+_FLAT_PLAIN = _flat(_PLAIN_VALUE)
+# Flat, plain, and with keys of letters and ideographs only: keys and values are clean as they are.
+SETTLED_OBJECT = _flat(_PLAIN_VALUE, r'"[A-Za-z\u4E00-\u9FFF]{2,}+"')
 _WHOLE_NUMBERS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?\d+)\.0+(?![\d.eE])'
 
 

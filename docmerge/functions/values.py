@@ -37,13 +37,13 @@ def _item_sql(pair: str, depth: int) -> str:
 
 
 def normalize_value_sql(pair: str) -> str:
-    return _item_sql(pair, 3)
+    return _item_sql(pair, 2)
 
 
 def normalize_value(pair: Column | str) -> Column:
     """Text of a ``{kind, text}`` value: "value unit" for measurements, "a; b" for arrays.
 
-    Arrays nested more than three deep keep their JSON text.
+    Arrays nested more than two deep keep their JSON text.
     """
     return apply_sql(pair, normalize_value_sql)
 

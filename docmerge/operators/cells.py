@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docmerge.functions.jsontext import given_sql, pairs_sql
+from docmerge.functions.jsontext import SETTLED_OBJECT, given_sql, pairs_sql
 from docmerge.functions.keys import is_structure_key, is_valid_key, is_valid_key_sql, normalize_key, normalize_key_sql
-from docmerge.functions.text import apply_sql, bind
+from docmerge.functions.text import apply_sql, bind, pattern
 from docmerge.functions.values import normalize_value, normalize_value_sql
 
 _ID = ("group_id", "file_id", "file_name", "file_seq")
@@ -132,7 +132,11 @@ def clean_map(json_text: str, strip_prefix: bool = False) -> Column:
         valid = f"filter({named}, c -> {is_valid_key_sql('c.key')})"
         last = "transform(ck, k -> element_at(filter(cs, q -> q.key = k), -1).value)"
         as_map = f"map_from_arrays(ck, if(size(ck) = size(cs), cs.value, {last}))"
-        return bind(valid, "cs", bind("array_distinct(cs.key)", "ck", as_map))
+        general = bind(valid, "cs", bind("array_distinct(cs.key)", "ck", as_map))
+        keys = f"json_object_keys({x})"
+        settled = f"{x} RLIKE {pattern(SETTLED_OBJECT)} AND size(array_distinct({keys})) = size({keys})"
+        plain = f"map_filter(from_json({x}, 'map<string,string>'), (k, v) -> v <> '')"
+        return f"CASE WHEN {settled} THEN {plain} ELSE {general} END"
 
     return apply_sql(json_text, build)
 

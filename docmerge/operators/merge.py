@@ -13,10 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docmerge.functions.text import let
+from docmerge.functions.text import bind, let
 from docmerge.operators.cells import clean_map, entry_objects, mergeable, to_cells
 from docmerge.operators.ordering import seq_levels, with_running_total
-from docmerge.operators.template import normalized_keys
+from docmerge.operators.template import normalized_keys, sql_string
 from docmerge.schemas import Template
 
 METHOD = "programmatic"
@@ -91,14 +91,15 @@ def group_maps(firsts: DataFrame) -> DataFrame:
     )
 
 
-def override(header: Column, entry: Column) -> Column:
+def override(header: str, entry: str) -> Column:
     """Header fields with the entry's values on equal keys, then the entry's own keys."""
-    replaced = F.transform_values(header, lambda k, v: F.coalesce(F.try_element_at(entry, k), v))
-    added = F.map_filter(entry, lambda k, v: ~F.map_contains_key(header, k))
-    return F.map_concat(replaced, added)
+    general = f"""map_concat(transform_values({header}, (k, v) -> coalesce(try_element_at({entry}, k), v)),
+        map_filter({entry}, (k, v) -> NOT map_contains_key({header}, k)))"""
+    apart = f"exists(map_keys({entry}), k -> map_contains_key({header}, k))"
+    return F.expr(f"if({apart}, {general}, map_concat({header}, {entry}))")
 
 
-def pad(data: Column, template_norm: dict[str, str], strict: bool) -> Column:
+def pad(data: str, template_norm: dict[str, str], strict: bool) -> Column:
     """Add a null for each template column that the row lacks.
 
     Values found under the clean form of a template key move to the template's
@@ -106,26 +107,14 @@ def pad(data: Column, template_norm: dict[str, str], strict: bool) -> Column:
     """
     moved = {n: k for k, n in template_norm.items() if n != k}
     if moved and not strict:
-        names = F.create_map(*[F.lit(x) for pair in moved.items() for x in pair])
-        data = let(
-            data,
-            lambda d: F.transform_keys(
-                d,
-                lambda k, v: F.when(
-                    F.map_contains_key(d, F.coalesce(F.try_element_at(names, k), k)), k
-                ).otherwise(F.coalesce(F.try_element_at(names, k), k)),
-            ),
-        )
-    slots = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(n).alias("norm")) for k, n in template_norm.items()])
-
-    def padded(d: Column) -> Column:
-        present = lambda s: F.map_contains_key(d, s["key"]) | (
-            F.map_contains_key(d, s["norm"]) if strict else F.lit(False)
-        )
-        absent = F.transform(F.filter(slots, lambda s: ~present(s)), lambda s: s["key"])
-        return F.map_concat(d, F.map_from_arrays(absent, F.transform(absent, lambda _: F.lit(None).cast("string"))))
-
-    return let(data, padded)
+        names = f"map({', '.join(f'{sql_string(n)}, {sql_string(k)}' for n, k in moved.items())})"
+        target = f"coalesce(try_element_at({names}, k), k)"
+        data = bind(data, "md", f"transform_keys(md, (k, v) -> if(map_contains_key(md, {target}), k, {target}))")
+    slots = ", ".join(f"named_struct('key', {sql_string(k)}, 'norm', {sql_string(n)})" for k, n in template_norm.items())
+    present = "map_contains_key(pd, s.key)" + (" OR map_contains_key(pd, s.norm)" if strict else "")
+    absent = f"transform(filter(array({slots}), s -> NOT ({present})), s -> s.key)"
+    nulls = "map_from_arrays(ab, transform(ab, a -> CAST(NULL AS string)))"
+    return F.expr(bind(data, "pd", bind(absent, "ab", f"if(size(ab) = 0, pd, map_concat(pd, {nulls}))")))
 
 
 def row_id(n_rows: Column, idx: Column) -> Column:
@@ -153,11 +142,15 @@ def _with_group_key(df: DataFrame, groups: DataFrame | None) -> DataFrame:
     return df.join(groups.select("group_id", "group_key"), "group_id")
 
 
-def _entry_counts(ok: DataFrame, entries: DataFrame | None) -> DataFrame:
+def count_entries(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_entries"))
+
+
+def _entry_counts(ok: DataFrame, entries: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
     if entries is None:
         size = F.coalesce(F.size("entries_json"), F.lit(0)) if "entries_json" in ok.columns else F.lit(0)
         return ok.withColumn("n_entries", size.cast("bigint"))
-    counts = entries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    counts = count_entries(entries) if counts is None else counts
     return ok.join(counts, "file_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
 
 
@@ -173,11 +166,12 @@ def merge_nested(
     template: Template | None = None,
     groups: DataFrame | None = None,
     strict: bool = False,
+    entry_counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per entry of a group, each with the group's merged header fields.
 
     ``entries`` may be a long table (file_id, entry_idx 0..n-1, entry_json) in place of the
-    array column.  Entries move once, to meet their file; everything per group is
+    array column, with ``entry_counts`` (file_id, n_entries) if they are known.  Entries move once, to meet their file; everything per group is
     computed on narrow columns.
     """
     ok = results.where("success")
@@ -185,7 +179,7 @@ def merge_nested(
     headers = group_maps(merge_header(mergeable(to_cells(ok, origins=origins))))
 
     slim = [c for c in ("group_id", "file_id", "file_name", "file_seq", "entries_json") if c in ok.columns]
-    files = _entry_counts(ok.select(*slim), entries).drop("entries_json")
+    files = _entry_counts(ok.select(*slim), entries, entry_counts).drop("entries_json")
     stats = files.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n_sources"),
         F.sum("n_entries").alias("n_rows"),
@@ -206,11 +200,11 @@ def merge_nested(
     context = placed.select("group_id", "file_id", "row_base").join(group_info, "group_id")
 
     objects = entry_objects(ok.select("file_id", *[c for c in ("entries_json",) if c in ok.columns])) if entries is None else entries
-    parsed = objects.select("file_id", "entry_idx", clean_map("entry_json").alias("entry"))
+    parsed = objects.select("file_id", "entry_idx", F.coalesce(clean_map("entry_json"), empty).alias("entry"))
     entry_rows = parsed.join(context, "file_id").select(
         *group_info.columns,
         (F.col("row_base") + F.col("entry_idx")).alias("entry_idx"),
-        override(F.col("header"), F.coalesce("entry", empty)).alias("data"),
+        override("header", "entry").alias("data"),
     )
     header_rows = group_info.where("n_rows = 0").select(
         *group_info.columns, F.lit(0).cast("bigint").alias("entry_idx"), F.col("header").alias("data")
@@ -219,7 +213,7 @@ def merge_nested(
 
     if template:
         norm = normalized_keys(results.sparkSession, [c.key for c in template])
-        rows = rows.withColumn("data", pad(F.col("data"), norm, strict))
+        rows = rows.withColumn("data", pad("data", norm, strict))
     consistency = F.map_from_arrays(
         F.map_keys("data"),
         F.transform(
@@ -238,13 +232,15 @@ def merge_nested(
     ).select(*ROW_COLUMNS)
 
 
-def flat_cells(results: DataFrame, entries: DataFrame | None = None, strict: bool = False) -> DataFrame:
+def flat_cells(
+    results: DataFrame, entries: DataFrame | None = None, strict: bool = False, entry_counts: DataFrame | None = None
+) -> DataFrame:
     """Cells of the flat form: a file's entries if it has some, else its data object.
 
     The header counts as a further source ahead of both, unless ``strict``.
     """
     ok = results.where("success")
-    counted = _entry_counts(ok, entries)
+    counted = _entry_counts(ok, entries, entry_counts)
     with_entries = counted.where("n_entries > 0")
     parts = [
         to_cells(with_entries, entries, origins=("entry",), strip_prefix=True),
@@ -264,6 +260,7 @@ def merge_flat(
     template: Template | None = None,
     groups: DataFrame | None = None,
     strict: bool = False,
+    entry_counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per group: every object of the group folded together, first given value first."""
     ok = results.where("success")
@@ -273,7 +270,7 @@ def merge_flat(
     if not strict and "header_json" in ok.columns:
         own = F.greatest(own, F.col("header_json").isNotNull().cast("bigint"))
     stats = (
-        _entry_counts(ok, entries)
+        _entry_counts(ok, entries, entry_counts)
         .withColumn("n_objects", own)
         .where("n_objects > 0")
         .groupBy("group_id")
@@ -283,10 +280,10 @@ def merge_flat(
             F.min("file_seq").alias("group_seq"),
         )
     )
-    maps = group_maps(merge_header(flat_cells(results, entries, strict)))
-    data = F.coalesce("data", F.create_map().cast("map<string,string>"))
+    maps = group_maps(merge_header(flat_cells(results, entries, strict, entry_counts)))
+    data = F.expr("coalesce(data, cast(map() AS map<string,string>))")
     if template:
-        data = pad(data, normalized_keys(results.sparkSession, [c.key for c in template]), strict)
+        data = pad("coalesce(data, cast(map() AS map<string,string>))", normalized_keys(results.sparkSession, [c.key for c in template]), strict)
     return (
         _with_group_key(stats.join(maps, "group_id", "left"), groups)
         .withColumns(

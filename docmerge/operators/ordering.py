@@ -40,12 +40,14 @@ def with_running_total(
     marks = [f"__level{i}" for i in range(len(levels))]
     marked = df.withColumns(dict(zip(marks, levels)) | {"__weight": weight})
 
+    # Sums per finest bucket once; coarser sums are taken from these, so they share one shuffle.
+    totals = marked.groupBy(*group, *marks).agg(F.sum("__weight").alias("__total"))
     base = None  # total of the earlier buckets, per prefix of the levels
     for depth in range(1, len(marks) + 1):
         outer, mark = [*group, *marks[: depth - 1]], marks[depth - 1]
-        totals = marked.groupBy(*outer, mark).agg(F.sum("__weight").alias("__total"))
+        sums = totals if depth == len(marks) else totals.groupBy(*outer, mark).agg(F.sum("__total").alias("__total"))
         before = Window.partitionBy(*outer).orderBy(mark).rowsBetween(Window.unboundedPreceding, -1)
-        step = totals.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
+        step = sums.withColumn("__before", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
         if base is not None:
             step = step.join(base, outer).withColumn("__before", F.col("__before") + F.col("__base"))
         base = step.select(*outer, mark, F.col("__before").alias("__base"))

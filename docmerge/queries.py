@@ -199,6 +199,11 @@ def preview_file_count(spark, sf):
     return C.preview_file_count(T.order_results(spark, sf))
 
 
+def _entry_counts(spark, sf):
+    """Lines per order, counted without numbering them."""
+    return M.count_entries(T.order_lines(spark, sf, numbered=False))
+
+
 # --- merging -----------------------------------------------------------------
 
 
@@ -236,19 +241,19 @@ def _wide(rows, keys=tuple(ALL_KEYS), checked=("status", "priority", "line")):
 
 @query
 def merge_nested(spark, sf):
-    return _wide(M.merge_nested(*_results(spark, sf), T.ORDER_TEMPLATE))
+    return _wide(M.merge_nested(*_results(spark, sf), T.ORDER_TEMPLATE, entry_counts=_entry_counts(spark, sf)))
 
 
 @query
 def merge_flat(spark, sf):
-    return _wide(M.merge_flat(*_results(spark, sf), T.ORDER_TEMPLATE))
+    return _wide(M.merge_flat(*_results(spark, sf), T.ORDER_TEMPLATE, entry_counts=_entry_counts(spark, sf)))
 
 
 @query
 def merge_flat_strict(spark, sf):
     """Without a template header fields are no source, as strict mode asks."""
     return _wide(
-        M.merge_flat(*_results(spark, sf), strict=True),
+        M.merge_flat(*_results(spark, sf), strict=True, entry_counts=_entry_counts(spark, sf)),
         keys=("line", "flag", "linestatus", "qty", "part"), checked=("line", "qty"),
     )
 
@@ -321,7 +326,7 @@ def infer_template(spark, sf):
 
 
 def _pivot_rows(spark, sf):
-    return M.merge_nested(*_results(spark, sf), T.ORDER_TEMPLATE)
+    return M.merge_nested(*_results(spark, sf), T.ORDER_TEMPLATE, entry_counts=_entry_counts(spark, sf))
 
 
 @query
