@@ -81,10 +81,8 @@ def _typed_sql(value: str, key: str | None, nested: str) -> str:
 
 
 def _keep_last_sql(pairs: str) -> str:
-    last = "transform(ks, k -> element_at(filter(ps, q -> q.key = k), -1))"
-    return bind(
-        pairs, "ps", bind("array_distinct(ps.key)", "ks", f"if(size(ks) = size(ps), ps, {last})")
-    )
+    last = "transform(array_distinct(ps.key), k -> element_at(filter(ps, q -> q.key = k), -1))"
+    return bind(pairs, "ps", f"if(size(array_distinct(ps.key)) = size(ps), ps, {last})")
 
 
 def pairs_sql(x: str, loose: bool = False) -> str:

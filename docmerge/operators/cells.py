@@ -97,6 +97,20 @@ def to_cells(
     )
 
 
+def to_keys(
+    results: DataFrame,
+    entries: DataFrame | None = None,
+    origins: tuple[str, ...] = ("header", "entry", "data"),
+) -> DataFrame:
+    """The cell table without values: only the keys of each object are read."""
+    objects = _objects(results, entries, origins)
+    ids = [c for c in objects.columns if c != "object"]
+    keys = F.array_distinct(F.json_object_keys("object"))
+    return objects.select(*ids, F.posexplode(keys).alias("key_pos", "raw_key")).withColumn(
+        "key", normalize_key("raw_key")
+    )
+
+
 def drop_empty(cells: DataFrame) -> DataFrame:
     """Drop cells whose raw value is null or the empty string."""
     return cells.where((F.col("kind") != "null") & ~(F.col("kind").isin("string", "plain") & (F.col("value") == "")))
@@ -142,7 +156,7 @@ def clean_map(json_text: str, strip_prefix: bool = False) -> Column:
 
 
 def header_union(cells: DataFrame) -> DataFrame:
-    """Distinct valid keys of a run; ``first_*`` columns give the order of first sight."""
+    """Distinct valid keys of a run (of cells or keys); ``first_*`` columns give the order of first sight."""
     rank = F.when(F.col("origin") == "header", 0).when(F.col("origin") == "entry", 1).otherwise(2)
     seen = F.struct(
         F.col("file_seq"), rank.alias("origin_rank"), F.col("entry_idx"), F.col("key_pos")

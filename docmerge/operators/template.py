@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docmerge.functions.keys import normalize_key, normalize_key_sql
-from docmerge.functions.text import apply_sql, bind, is_blank, pattern
-from docmerge.functions.values import infer_type
+from docmerge.functions.jsontext import pairs_sql
+from docmerge.functions.text import bind, is_blank, pattern, quoted
+from docmerge.functions.values import infer_type, normalize_value
 from docmerge.schemas import Template, TemplateColumn
 
 _SETTLED = re.compile(r"[A-Za-z_一-鿿]+")
@@ -94,6 +95,19 @@ def candidates_by_key(spark: SparkSession, template: Template) -> dict[str, list
     return found
 
 
+def resolve_template_json(df: DataFrame, column: str, template: Template) -> DataFrame:
+    """As ``resolve_template`` for a column of JSON objects; nothing is shuffled."""
+    cells = [
+        f"named_struct('pos', {pos}, 'key', {sql_string(key)}, 'hit', {resolve_sql('np', key, names)})"
+        for pos, (key, names) in enumerate(candidates_by_key(df.sparkSession, template).items())
+    ]
+    found = bind(with_norm_sql(pairs_sql(quoted(column), loose=True)), "np", f"array({', '.join(cells)})")
+    hits = df.withColumn("__hits", F.expr(f"filter({found}, c -> c.hit.kind <> 'null')"))
+    return hits.select(*df.columns, F.inline("__hits").alias("pos", "key", "hit")).withColumn(
+        "value", normalize_value("hit")
+    ).drop("hit")
+
+
 def template_mismatch(entry_keys: Column, template_norm: dict[str, str]) -> Column:
     """Keys of one entry outside of the template, and template keys it lacks."""
     norms = F.array(*[F.lit(n) for n in template_norm.values()])

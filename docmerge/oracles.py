@@ -202,6 +202,8 @@ _ORACLES: dict[str, str] = {
         FROM res WHERE success GROUP BY group_id ORDER BY group_seq LIMIT 5""",
     "resolve_template": f"""WITH {_RES} SELECT file_id, 'c/customer' AS key, customer AS value FROM res
         UNION ALL SELECT file_id, 'state/status', status FROM res UNION ALL SELECT file_id, 'priority', priority FROM res""",
+    "resolve_template_cells": f"""WITH {_RES} SELECT file_id, 'c/customer' AS key, customer AS value FROM res
+        UNION ALL SELECT file_id, 'state/status', status FROM res UNION ALL SELECT file_id, 'priority', priority FROM res""",
     "template_mismatch": f"""WITH {_RES} SELECT file_id, CASE WHEN success THEN 'segment,priority' ELSE '' END AS extra,
         CASE WHEN success THEN 'remarks' ELSE '' END AS missing, NOT success AS matched FROM res""",
     "infer_template": """WITH f AS (SELECT arg_min(p_name, p_partkey) AS p_name, arg_min(p_brand, p_partkey) AS p_brand,

@@ -169,14 +169,14 @@ def session_progress(spark, sf):
 @query
 def header_union(spark, sf):
     results = ST.successful(T.order_results(spark, sf))
-    cells = C.to_cells(results, T.order_lines(spark, sf))
+    cells = C.to_keys(results, T.order_lines(spark, sf))
     return C.header_union(cells).select("key", "first_file_seq")
 
 
 @query
 def key_counts(spark, sf):
     results = ST.successful(T.order_results(spark, sf))
-    return C.key_counts(C.to_cells(results, T.order_lines(spark, sf, numbered=False), origins=("header", "entry")))
+    return C.key_counts(C.to_keys(results, T.order_lines(spark, sf, numbered=False), origins=("header", "entry")))
 
 
 @query
@@ -298,6 +298,11 @@ _SLASHED = [TemplateColumn("c/customer"), TemplateColumn("state/status"), Templa
 
 @query
 def resolve_template(spark, sf):
+    return TP.resolve_template_json(T.order_results(spark, sf), "header_json", _SLASHED).select("file_id", "key", "value")
+
+
+@query
+def resolve_template_cells(spark, sf):
     cells = C.to_cells(T.order_results(spark, sf), origins=("header",))
     return TP.resolve_template(cells, _SLASHED).select("file_id", "key", "value")
 
