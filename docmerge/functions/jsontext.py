@@ -89,15 +89,15 @@ def pairs_sql(x: str, loose: bool = False) -> str:
     flat, kind = (_FLAT_PLAIN, "plain") if loose else (_FLAT_STRINGS, "string")
     plain = f"""transform(map_entries(from_json({x}, {_TEXT_OBJECT})), e -> named_struct('key', e.key,
         'kind', if(e.value IS NULL, 'null', '{kind}'), 'text', coalesce(e.value, 'null')))"""
-    # The text form keeps the order of nested keys; it is parsed for nested values only.
-    nested = f"try_element_at(from_json({x}, {_TEXT_OBJECT}), e.key)"
-    typed = f"transform(map_entries(from_json({x}, {_OBJECT})), e -> {_typed_sql('e.value', 'e.key', nested)})"
+    # The text form, parsed in the same order, keeps the order of nested keys.
+    each = f"transform(map_entries(from_json({x}, {_OBJECT})), (e, ei) -> {_typed_sql('e.value', 'e.key', 'get(tv, ei)')})"
+    typed = bind(f"map_values(from_json({x}, {_TEXT_OBJECT}))", "tv", each)
     return _keep_last_sql(f"CASE WHEN {x} RLIKE {pattern(flat)} THEN {plain} ELSE {typed} END")
 
 
 def items_sql(x: str) -> str:
-    nested = f"get(from_json({x}, 'array<string>'), i)"
-    return f"transform(from_json({x}, 'array<variant>'), (v, i) -> {_typed_sql('v', None, nested)})"
+    each = f"transform(from_json({x}, 'array<variant>'), (v, vi) -> {_typed_sql('v', None, 'get(ti, vi)')})"
+    return bind(f"from_json({x}, 'array<string>')", "ti", each)
 
 
 def is_json_object(c: Column | str) -> Column:
