@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,3 +50,11 @@ def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, cells:
         .withColumn(name, F.col("_start") + F.col("_local"))
         .drop("_bucket", "_start", "_local")
     )
+
+
+def per_process(key: Any, build: Callable[[], Any]) -> Any:
+    """What ``build`` makes, once in each Python worker: functions travel by value, so module globals end with a task."""
+    held = sys.modules.setdefault("_docmerge_held", types.ModuleType("_docmerge_held")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]

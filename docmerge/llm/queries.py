@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmerge.llm import chat, mixing, quality, urls
+from docmerge.llm import chat, mixing, near, packing, quality, simhash, urls
 from docmerge.llm.common import table
 
 #: Rules of the URL query: (host and path beginning, verdict); fixed by the contract.
@@ -18,6 +18,14 @@ def _hex(text):
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.token_pieces(table(spark, sf_dir, "documents")))
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(quality.judge(quality.ledger(table(spark, sf_dir, "documents")), "base", "base_kept"), "v1")
     return judged.select(
@@ -26,6 +34,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -59,7 +72,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules, op8_entropy_mix, op9_url_reputation, op10_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_quality_rules, op7_simhash_dedup, op8_entropy_mix, op9_url_reputation, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
