@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmerge.llm import chat, mixing, near, packing, quality, simhash, urls
+from docmerge.llm import chat, mixing, near, packing, pages, pii, quality, simhash, toxicity, urls
 from docmerge.llm.common import table
 
 #: Rules of the URL query: (host and path beginning, verdict); fixed by the contract.
@@ -26,6 +26,14 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(quality.judge(quality.ledger(table(spark, sf_dir, "documents")), "base", "base_kept"), "v1")
     return judged.select(
@@ -34,6 +42,14 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    fold = lambda name: F.crc32(F.col(name).cast("string").cast("binary")) % 5
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold("doc_id") != 0)
+    scored = toxicity.score(documents, toxicity.fit(documents, labels))
+    return scored.select("doc_id", F.coalesce(fold("doc_id") == 0, F.lit(False)).alias("held_out"), "score", "predicted", "start", "end", "sentence_score")
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
@@ -72,7 +88,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op5_quality_rules, op7_simhash_dedup, op8_entropy_mix, op9_url_reputation, op10_chat_format)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_html_text, op4_pii, op5_quality_rules, op6_toxicity, op7_simhash_dedup, op8_entropy_mix, op9_url_reputation, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
