@@ -128,4 +128,26 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     sources = checkpointed(source_targets(cells, weights, share, most))
     placed = ranked(sizes, ["key", "size"], ["doc_id"], "rank", cell_copies(cells, sources, most))
     copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0)
-    return placed.select("doc_id", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "key", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def apply_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """``documents`` with every row as often as the mix takes it; rows that differ in id, source or size keep their own copies.
+
+    Rows of equal id, source and size share their copies evenly, which needs their number and the sum of their copies only.
+    Rows without id are kept once each.
+    """
+    taken = mix(documents, weights, share, most).where("doc_id is not null")
+    by_id = taken.groupBy("doc_id", "key", "size").agg(F.count("*").alias("_n"), F.sum("copies").alias("_copies"))
+    by_id = checkpointed(by_id)
+    names = documents.columns
+    keyed = documents.withColumns({"_key": _source_key(), "_size": F.size(words_of(text_of())).cast("long")})
+    named = by_id.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "_n", "_copies")
+    found = keyed.join(named, (F.col("doc_id") == F.col("_id")) & (keyed["_key"] == named["_key"]) & (keyed["_size"] == named["_size"])).drop(named["_key"], named["_size"])
+    single = found.where("_n = 1").withColumn("_times", F.col("_copies"))
+    several = found.where("_n > 1")
+    place = F.row_number().over(Window.partitionBy("_id", "_key", "_size").orderBy("_size")) - 1
+    several = several.withColumn("_times", F.floor(F.col("_copies") / F.col("_n")) + F.when(place < F.col("_copies") % F.col("_n"), 1).otherwise(0))
+    repeated = single.unionByName(several).where("_times > 0")
+    repeated = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(names)
+    return repeated.unionByName(documents.where("doc_id is null"))

@@ -56,7 +56,7 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("key")
 
 
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
