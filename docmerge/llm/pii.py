@@ -85,7 +85,10 @@ _SPELLED = re.compile(rf"(?i)\b(?:(?:{_NUMERAL})|[0-9]+)(?:[\s.,-]{{1,3}}(?:(?:{
 _PART = re.compile(rf"(?i){_NUMERAL}|[0-9]+")
 _BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*")
 _BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
-_WORD_AT = re.compile(r"(?i)(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>])[A-Za-z0-9])")
+#: Last labels that make plain words an address: ``at`` and ``dot`` are common words.
+LAST_LABELS = "com org net edu gov info biz io co eu uk de fr es it nl at ch us ca au".split()
+_DISGUISED_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
+_WORD_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:{_DISGUISED_DOT}[A-Za-z0-9-]+)*{_DISGUISED_DOT}(?:{'|'.join(LAST_LABELS)})\b)")
 _WORD_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])")
 _PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
 #: Digits that a run without ``+`` needs to count as a phone number, and how many of them have to be spelled.

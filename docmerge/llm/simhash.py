@@ -53,8 +53,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(counts.ravel() * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
-def fingerprint_of(texts: pd.Series) -> pd.Series:
+def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
 
@@ -190,7 +189,7 @@ def near_links(fingerprints: DataFrame, bits: int = BITS, leaf: int = LEAF) -> D
 
 def near_duplicates(documents: DataFrame, bits: int = BITS, leaf: int = LEAF) -> DataFrame:
     """Per document: ``doc_id``, ``fingerprint`` (long), ``component_id`` (smallest id that links reach)."""
-    marked = checkpointed(documents.select("doc_id", fingerprint_of(F.col("text").cast("string")).alias("fingerprint")))
+    marked = checkpointed(documents.select("doc_id", F.pandas_udf(_fingerprints, "long")(F.col("text").cast("string")).alias("fingerprint")))
     groups = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     joined = components(near_links(groups, bits, leaf))
     labels = groups.join(joined, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
