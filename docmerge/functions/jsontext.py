@@ -91,7 +91,12 @@ def pairs_sql(x: str, loose: bool = False) -> str:
         'kind', if(e.value IS NULL, 'null', '{kind}'), 'text', coalesce(e.value, 'null')))"""
     # The text form, parsed in the same order, keeps the order of nested keys.
     each = f"transform(map_entries(from_json({x}, {_OBJECT})), (e, ei) -> {_typed_sql('e.value', 'e.key', 'get(tv, ei)')})"
-    typed = bind(f"map_values(from_json({x}, {_TEXT_OBJECT}))", "tv", each)
+    # Variants refuse objects with a key twice, at any depth; then kinds are read off the texts.
+    guessed = f"""CASE WHEN e.value IS NULL THEN 'null' WHEN startswith(e.value, '{{') AND endswith(e.value, '}}') THEN 'object'
+        WHEN startswith(e.value, '[') AND endswith(e.value, ']') THEN 'array' WHEN e.value IN ('true', 'false') THEN 'boolean'
+        WHEN e.value RLIKE {pattern("^-?(0|[1-9][0-9]*)([.][0-9]+)?$")} THEN 'number' ELSE 'string' END"""
+    plainer = f"transform(map_entries(from_json({x}, {_TEXT_OBJECT})), e -> named_struct('key', e.key, 'kind', {guessed}, 'text', coalesce(e.value, 'null')))"
+    typed = f"coalesce({bind(f'map_values(from_json({x}, {_TEXT_OBJECT}))', 'tv', each)}, {plainer})"
     return _keep_last_sql(f"CASE WHEN {x} RLIKE {pattern(flat)} THEN {plain} ELSE {typed} END")
 
 

@@ -26,25 +26,28 @@ def _measurement_sql(text: str) -> str:
     return bind(pairs_sql(text), "mp", bind(pick, "vu", both))
 
 
-def _item_sql(pair: str, depth: int) -> str:
-    text = f"""CASE WHEN {pair}.kind IN ('plain', 'string', 'number', 'boolean') THEN {pair}.text
+def _leaf_sql(pair: str) -> str:
+    """Text of a value that is no array."""
+    return f"""CASE WHEN {pair}.kind IN ('plain', 'string', 'number', 'boolean') THEN {pair}.text
         WHEN {pair}.kind = 'null' THEN ''
-        WHEN {pair}.kind = 'object' THEN coalesce({trim_sql(_measurement_sql(pair + ".text"))}, {pair}.text)"""
-    if depth:
-        inner = f"transform({items_sql(pair + '.text')}, i{depth} -> {_item_sql(f'i{depth}', depth - 1)})"
-        text += f" WHEN {pair}.kind = 'array' THEN array_join(filter({inner}, s -> s <> ''), '; ')"
-    return text + f" ELSE {pair}.text END"
+        WHEN {pair}.kind = 'object' THEN coalesce({trim_sql(_measurement_sql(pair + ".text"))}, {pair}.text) ELSE {pair}.text END"""
+
+
+def _leaves_sql(text: str) -> str:
+    """Items of a JSON array with the arrays among them opened, at any depth; each step opens one level."""
+    opened = f"flatten(transform(la, y -> if(y.kind = 'array', {items_sql('y.text')}, array(y))))"
+    step = f"if(exists(la, y -> y.kind = 'array'), {opened}, la)"
+    depth = f"length({text}) - length(replace({text}, '[', ''))"
+    return f"aggregate(sequence(1, greatest({depth}, 1)), {items_sql(text)}, (la, lk) -> {step})"
 
 
 def normalize_value_sql(pair: str) -> str:
-    return _item_sql(pair, 2)
+    joined = f"array_join(filter(transform({_leaves_sql(pair + '.text')}, i -> {_leaf_sql('i')}), s -> s <> ''), '; ')"
+    return f"CASE WHEN {pair}.kind = 'array' THEN {joined} ELSE {_leaf_sql(pair)} END"
 
 
 def normalize_value(pair: Column | str) -> Column:
-    """Text of a ``{kind, text}`` value: "value unit" for measurements, "a; b" for arrays.
-
-    Arrays nested more than two deep keep their JSON text.
-    """
+    """Text of a ``{kind, text}`` value: "value unit" for measurements, "a; b" for arrays of any depth."""
     return apply_sql(pair, normalize_value_sql)
 
 

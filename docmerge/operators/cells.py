@@ -176,7 +176,7 @@ def key_counts(cells: DataFrame, key: str = "raw_key") -> DataFrame:
 
 def first_n_samples(cells: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` non-null values per key (each map task keeps its own first ``n`` only)."""
-    order = Window.partitionBy("raw_key").orderBy("file_seq", "entry_idx", "key_pos")
+    order = Window.partitionBy("raw_key").orderBy("file_seq", "file_id", "entry_idx", "key_pos")
     ranked = cells.where(F.col("kind") != "null").withColumn("sample_no", F.row_number().over(order))
     return ranked.where(F.col("sample_no") <= n)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmerge.functions.names import group_key
-from docmerge.operators.ordering import with_running_total
+from docmerge.operators.ordering import group_struct, seq_levels, with_running_total
 
 UNKNOWN_GROUP = "group-unknown"
 
@@ -95,14 +95,14 @@ def batch_size(n_files: int) -> int:
 
 
 def batch_numbers(files: DataFrame, session: str = "session_id") -> DataFrame:
-    """Batch number of each file in its session, by the size rule of ``batch_size``."""
-    from docmerge.operators.ordering import seq_levels
-
-    placed = with_running_total(files, [session], seq_levels("file_seq"), ["file_seq"], out="__pos")
-    totals = files.groupBy(session).agg(F.count(F.lit(1)).alias("__n"))
+    """Batch number of each file in its session, by the size rule of ``batch_size``; files without a session are one."""
+    tie = [c for c in ("file_id",) if c in files.columns]
+    placed = with_running_total(files, [session], seq_levels("file_seq"), ["file_seq", *tie], out="__pos")
+    totals = files.groupBy(group_struct([session]).alias("__group")).agg(F.count(F.lit(1)).alias("__n"))
     size = F.when(F.col("__n") <= 100, 5).when(F.col("__n") <= 200, 8).otherwise(10)
     return (
-        placed.join(totals, session)
+        placed.withColumn("__group", group_struct([session]))
+        .join(totals, "__group")
         .withColumn("batch_no", F.floor(F.col("__pos") / size).cast("bigint"))
-        .drop("__pos", "__n")
+        .drop("__pos", "__n", "__group")
     )

@@ -1,6 +1,6 @@
 """Merging all results of a group by rule: the first given value wins, others are conflicts.
 
-Order is explicit everywhere: (file_seq, origin, entry_idx, key_pos).  Per-group
+Order is explicit everywhere: (file_seq, file_id, origin, entry_idx, key_pos).  Per-group
 work is aggregation with map-side partial results, so a group that holds a large
 part of all files costs one partial row per task and key.  Things that grow with
 the number of files of a group (source names, conflict values) stay long.
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from docmerge.functions.text import bind, let
 from docmerge.operators.cells import clean_map, entry_objects, mergeable, to_cells
+from docmerge.operators.grouping import UNKNOWN_GROUP
 from docmerge.operators.ordering import seq_levels, with_running_total
 from docmerge.operators.template import normalized_keys, sql_string
 from docmerge.schemas import Template
@@ -25,7 +26,7 @@ METHOD = "programmatic"
 def seen_order(prefix: str = "") -> Column:
     """Order in which the cells of a group are read."""
     rank = F.when(F.col("origin") == "header", 0).when(F.col("origin") == "entry", 1).otherwise(2)
-    return F.struct(F.col(prefix + "file_seq"), rank.alias("rank"), F.col("entry_idx"), F.col("key_pos"))
+    return F.struct(F.col(prefix + "file_seq"), F.col(prefix + "file_id"), rank.alias("rank"), F.col("entry_idx"), F.col("key_pos"))
 
 
 def merge_header(cells: DataFrame) -> DataFrame:
@@ -60,6 +61,11 @@ def detect_conflicts(cells: DataFrame) -> DataFrame:
     )
 
 
+def grouped(results: DataFrame) -> DataFrame:
+    """Successful results; those without a group form the group of unknown files."""
+    return results.where("success").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
+
+
 def source_files(results: DataFrame) -> DataFrame:
     """Distinct file names of each group's successful results, in order of first sight."""
     return (
@@ -99,17 +105,22 @@ def override(header: str, entry: str) -> Column:
     return F.expr(f"if({apart}, {general}, map_concat({header}, {entry}))")
 
 
-def pad(data: str, template_norm: dict[str, str], strict: bool) -> Column:
-    """Add a null for each template column that the row lacks.
+def moved(data: str, template_norm: dict[str, str], strict: bool) -> str:
+    """Keys in the clean form of a template key moved to the template's spelling, unless ``strict``.
 
-    Values found under the clean form of a template key move to the template's
-    spelling; with ``strict`` they stay where they are.
+    Merged keys are clean, so a spelling that is not clean is never there already; data and consistency move alike.
     """
-    moved = {n: k for k, n in template_norm.items() if n != k}
-    if moved and not strict:
-        names = f"map({', '.join(f'{sql_string(n)}, {sql_string(k)}' for n, k in moved.items())})"
-        target = f"coalesce(try_element_at({names}, k), k)"
-        data = bind(data, "md", f"transform_keys(md, (k, v) -> if(map_contains_key(md, {target}), k, {target}))")
+    names = {n: k for k, n in template_norm.items() if n != k}
+    if not names or strict:
+        return data
+    spelled = f"map({', '.join(f'{sql_string(n)}, {sql_string(k)}' for n, k in names.items())})"
+    target = f"coalesce(try_element_at({spelled}, k), k)"
+    return bind(data, "md", f"transform_keys(md, (k, v) -> if(map_contains_key(md, {target}), k, {target}))")
+
+
+def pad(data: str, template_norm: dict[str, str], strict: bool) -> Column:
+    """Add a null for each template column that the row lacks, after keys have moved."""
+    data = moved(data, template_norm, strict)
     slots = ", ".join(f"named_struct('key', {sql_string(k)}, 'norm', {sql_string(n)})" for k, n in template_norm.items())
     present = "map_contains_key(pd, s.key)" + (" OR map_contains_key(pd, s.norm)" if strict else "")
     absent = f"transform(filter(array({slots}), s -> NOT ({present})), s -> s.key)"
@@ -174,14 +185,15 @@ def merge_nested(
     array column, with ``entry_counts`` (file_id, n_entries) if they are known.  Entries move once, to meet their file; everything per group is
     computed on narrow columns.
     """
-    ok = results.where("success")
+    ok = grouped(results)
     origins = ("header",) if strict else ("header", "data")
     headers = group_maps(merge_header(mergeable(to_cells(ok, origins=origins))))
 
     slim = [c for c in ("group_id", "file_id", "file_name", "file_seq", "entries_json") if c in ok.columns]
     files = _entry_counts(ok.select(*slim), entries, entry_counts).drop("entries_json")
     stats = files.groupBy("group_id").agg(
-        F.count(F.lit(1)).alias("n_sources"),
+        F.count_distinct("file_name").alias("n_sources"),
+        F.count(F.lit(1)).alias("n_files"),
         F.sum("n_entries").alias("n_rows"),
         F.min("file_seq").alias("group_seq"),
     )
@@ -213,7 +225,8 @@ def merge_nested(
 
     if template:
         norm = normalized_keys(results.sparkSession, [c.key for c in template])
-        rows = rows.withColumn("data", pad("data", norm, strict))
+        checked = F.expr(moved("header_consistency", norm, strict))
+        rows = rows.withColumns({"data": pad("data", norm, strict), "header_consistency": checked})
     consistency = F.map_from_arrays(
         F.map_keys("data"),
         F.transform(
@@ -225,7 +238,7 @@ def merge_nested(
         {
             "row_id": row_id(n, i),
             "label": row_label(n, i),
-            "is_merged": (F.col("n_sources") > 1) | (n > 1),
+            "is_merged": (F.col("n_files") > 1) | (n > 1),
             "field_consistency": consistency,
             "merge_method": F.lit(METHOD),
         }
@@ -239,7 +252,7 @@ def flat_cells(
 
     The header counts as a further source ahead of both, unless ``strict``.
     """
-    ok = results.where("success")
+    ok = grouped(results)
     counted = _entry_counts(ok, entries, entry_counts)
     with_entries = counted.where("n_entries > 0")
     parts = [
@@ -262,8 +275,11 @@ def merge_flat(
     strict: bool = False,
     entry_counts: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per group: every object of the group folded together, first given value first."""
-    ok = results.where("success")
+    """One row per group: every object of the group folded together, first given value first.
+
+    ``n_sources`` is the number of distinct file names, as in ``source_files``.
+    """
+    ok = grouped(results)
     own = F.when(F.col("n_entries") > 0, F.col("n_entries")).otherwise(
         F.col("data_json").isNotNull().cast("bigint") if "data_json" in ok.columns else F.lit(0).cast("bigint")
     )
@@ -276,14 +292,14 @@ def merge_flat(
         .groupBy("group_id")
         .agg(
             F.sum("n_objects").alias("n_objects"),
-            F.count(F.lit(1)).alias("n_sources"),
+            F.count_distinct("file_name").alias("n_sources"),
             F.min("file_seq").alias("group_seq"),
         )
     )
     maps = group_maps(merge_header(flat_cells(results, entries, strict, entry_counts)))
-    data = F.expr("coalesce(data, cast(map() AS map<string,string>))")
-    if template:
-        data = pad("coalesce(data, cast(map() AS map<string,string>))", normalized_keys(results.sparkSession, [c.key for c in template]), strict)
+    norm = normalized_keys(results.sparkSession, [c.key for c in template]) if template else {}
+    data = pad("coalesce(data, cast(map() AS map<string,string>))", norm, strict) if template else F.expr("coalesce(data, cast(map() AS map<string,string>))")
+    checked = F.expr(moved("coalesce(consistency, cast(map() AS map<string,boolean>))", norm, strict))
     return (
         _with_group_key(stats.join(maps, "group_id", "left"), groups)
         .withColumns(
@@ -293,7 +309,7 @@ def merge_flat(
                 "label": F.col("group_key"),
                 "data": data,
                 "is_merged": F.col("n_objects") > 1,
-                "field_consistency": F.coalesce("consistency", F.create_map().cast("map<string,boolean>")),
+                "field_consistency": checked,
                 "merge_method": F.lit(METHOD),
             }
         )

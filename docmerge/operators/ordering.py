@@ -17,6 +17,11 @@ from pyspark.sql.window import Window
 FINE_BITS, COARSE_BITS = 14, 25
 
 
+def group_struct(keys: Sequence[str]) -> Column:
+    """Keys as one struct: unlike null keys, structs with null fields meet in joins."""
+    return F.struct(F.lit(0).alias("one"), *keys)
+
+
 def seq_levels(seq: str) -> list[Column]:
     """Bucket levels, coarse to fine, for an order given by one bigint column."""
     return [F.shiftright(seq, FINE_BITS + COARSE_BITS), F.shiftright(seq, FINE_BITS)]
@@ -34,11 +39,13 @@ def with_running_total(
 
     ``levels`` are expressions, coarse to fine, that never fall while ``order_by``
     rises; ``order_by`` must tell the rows of a group apart.  Without ``weight`` the
-    result is the 0-based position of the row in its group.
+    result is the 0-based position of the row in its group.  Rows with null keys are a group, rows
+    with a null order come first.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
     marks = [f"__level{i}" for i in range(len(levels))]
-    marked = df.withColumns(dict(zip(marks, levels)) | {"__weight": weight})
+    marked = df.withColumns({m: F.struct(level) for m, level in zip(marks, levels)} | {"__weight": weight, "__group": group_struct(group)})
+    group = ["__group"]
 
     # Sums per finest bucket once; coarser sums are taken from these, so they share one shuffle.
     totals = marked.groupBy(*group, *marks).agg(F.sum("__weight").alias("__total"))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from docmerge.functions.keys import SECTION_LABELS
+from docmerge.plans.prompts import NO_TEXT_REQUEST, TEXT_PREFIX, system_prompt
+from docmerge.sources.tables import ORDER_TEMPLATE
 
 _S = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 _SI = _S[1:-1]
@@ -39,7 +41,7 @@ ent AS (
       l_extendedprice, l_quantity) - 1 AS entry_idx,
     CAST(l_linenumber AS VARCHAR) AS line, l_returnflag AS flag, l_linestatus AS linestatus,
     CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS qty, CAST(l_partkey AS VARCHAR) AS part
-  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 50 <> 0))"""
+  FROM lineitem)"""
 
 
 def _stack(source: str, ids: str, keys: tuple[str, ...]) -> str:
@@ -163,11 +165,13 @@ _ORACLES: dict[str, str] = {
     "key_counts": f"""WITH {_RES}, {_ENT}, {_HCELLS}, {_ECELLS}
         SELECT key, count(*) AS count FROM hcells WHERE success GROUP BY key
         UNION ALL SELECT key, count(*) FROM ecells JOIN res USING (file_id) WHERE success GROUP BY key""",
-    "field_samples": f"""WITH {_RES}, {_HCELLS}, r AS (SELECT key, value[1:8] AS v,
-          row_number() OVER (PARTITION BY key ORDER BY file_seq) AS n FROM hcells)
+    "field_samples": f"""WITH {_RES}, {_ENT}, {_HCELLS}, {_ECELLS}, c AS (SELECT key, value, file_seq, 0 AS entry_idx FROM hcells
+          UNION ALL SELECT key, value, file_seq, entry_idx FROM ecells JOIN res USING (file_id)),
+        r AS (SELECT key, value[1:80] AS v, row_number() OVER (PARTITION BY key ORDER BY file_seq, entry_idx) AS n FROM c)
         SELECT key, max(v) FILTER (n = 1) AS sample1, max(v) FILTER (n = 2) AS sample2, max(v) FILTER (n = 3) AS sample3
         FROM r GROUP BY key""",
-    "value_preview": f"WITH {_RES}, {_HCELLS} SELECT key, file_name, value FROM hcells WHERE key IN ('status', 'segment')",
+    "value_preview": f"""WITH {_RES}, {_ENT}, {_HCELLS}, {_ECELLS} SELECT key, file_name, value FROM hcells
+        UNION ALL SELECT key, file_name, value FROM ecells JOIN res USING (file_id)""",
     "preview_file_count": f"WITH {_RES} SELECT count(DISTINCT file_id) AS file_count FROM res",
     "merge_header": f"""WITH {_RES}, {_HCELLS} SELECT group_id, key, arg_min(value, file_seq) AS value,
         min(value) = max(value) AS consistent FROM hcells WHERE success GROUP BY group_id, key""",
@@ -202,8 +206,9 @@ _ORACLES: dict[str, str] = {
         FROM res WHERE success GROUP BY group_id ORDER BY group_seq LIMIT 5""",
     "resolve_template": f"""WITH {_RES} SELECT file_id, 'c/customer' AS key, customer AS value FROM res
         UNION ALL SELECT file_id, 'state/status', status FROM res UNION ALL SELECT file_id, 'priority', priority FROM res""",
-    "resolve_template_cells": f"""WITH {_RES} SELECT file_id, 'c/customer' AS key, customer AS value FROM res
-        UNION ALL SELECT file_id, 'state/status', status FROM res UNION ALL SELECT file_id, 'priority', priority FROM res""",
+    "resolve_template_cells": f"""WITH {_RES}, {_ENT} SELECT file_id, CAST(0 AS BIGINT) AS entry_idx, 'c/customer' AS key, customer AS value FROM res
+        UNION ALL SELECT file_id, 0, 'state/status', status FROM res UNION ALL SELECT file_id, 0, 'priority', priority FROM res
+        UNION ALL SELECT file_id, entry_idx, 'amount/qty', qty FROM ent JOIN res USING (file_id)""",
     "template_mismatch": f"""WITH {_RES} SELECT file_id, CASE WHEN success THEN 'segment,priority' ELSE '' END AS extra,
         CASE WHEN success THEN 'remarks' ELSE '' END AS missing, NOT success AS matched FROM res""",
     "infer_template": """WITH f AS (SELECT arg_min(p_name, p_partkey) AS p_name, arg_min(p_brand, p_partkey) AS p_brand,
@@ -287,17 +292,32 @@ _ORACLES: dict[str, str] = {
         CASE WHEN o_orderkey % 4 <> 3 THEN o_orderstatus END AS status,
         CAST(CASE WHEN o_orderkey % 4 IN (0, 3) THEN 1 ELSE 0 END AS BIGINT) AS n_conflicts,
         CASE WHEN o_orderkey % 4 IN (0, 3) THEN o_orderstatus || '|' || o_orderpriority END AS conflict_values FROM orders""",
-    "merge_prompt": f"""WITH {_RES}, p AS (SELECT *, CAST((row_number() OVER (PARTITION BY group_id ORDER BY file_seq) - 1) // 4 AS BIGINT) AS part
-          FROM res WHERE success)
-        SELECT group_id, part, count(*) AS n_files, '[' || chr(10) || string_agg('{{"file_name":"' || file_name || '","extracted_data":{{"customer":"' || customer
+    "merge_prompt": f"""WITH {_RES}, p AS (SELECT * FROM res WHERE success)
+        SELECT group_id, count(*) AS n_files, '[' || chr(10) || string_agg('{{"file_name":"' || file_name || '","extracted_data":{{"customer":"' || customer
           || '","segment":"' || segment || '","status":"' || status || '","priority":"' || priority || '"}}}}', ',' || chr(10) ORDER BY file_seq)
-          || chr(10) || ']' AS files FROM p GROUP BY group_id, part""",
+          || chr(10) || ']' AS files FROM p GROUP BY group_id""",
+    "conversation_prompts": """WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS g,
+          length('{"file_name":' || CAST(to_json(role) AS VARCHAR) || ',"extracted_data":' || CAST(json_object('text', text) AS VARCHAR) || '}') AS n FROM conversations)
+        SELECT g AS group_id, count(*) AS n_files,
+          CAST(sum(n) + 2 * (count(*) - 1) + length('Group ' || CAST(to_json(g) AS VARCHAR) || ':' || chr(10) || '[' || chr(10) || chr(10) || ']') AS BIGINT) AS chars
+        FROM t GROUP BY g""",
+    "extraction_prompt_sizes": f"""WITH {_FILES} SELECT file_id, md5(CASE WHEN coalesce(text, '') = '' THEN '{NO_TEXT_REQUEST}'
+          ELSE replace('{TEXT_PREFIX.replace(chr(10), "~")}', '~', chr(10)) || text END) AS prompt_md5,
+        CAST({len(system_prompt(ORDER_TEMPLATE))} AS BIGINT) AS system_chars, length(text) AS text_chars FROM files""",
     "extract_documents": f"""WITH {_FILES} SELECT file_id, group_id, true AS success, CAST(length(text) AS VARCHAR) AS chars,
         CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS VARCHAR) AS lines, 1 AS attempt FROM files""",
-    "merge_groups_with_model": f"""WITH {_RES} SELECT group_id, CAST(0 AS BIGINT) AS part, CAST(0 AS BIGINT) AS entry_idx,
+    "merge_groups_with_model": f"""WITH {_RES} SELECT group_id, CAST(0 AS BIGINT) AS entry_idx,
         {', '.join(f'arg_min({k}, file_seq) AS {k}' for k in _HKEYS)}, CASE WHEN count(*) > 1 THEN 'ai' ELSE 'single' END AS merge_method
         FROM res WHERE success GROUP BY group_id""",
-    "run_report": "SELECT event_type AS event, count(*) AS n_events, count(*) FILTER (event_type = 'error') AS n_failed FROM events GROUP BY event_type",
+    "merge_groups_refused": f"""WITH {_RES}, g AS (SELECT group_id, count(*) AS n, arg_min(status, file_seq) AS s, arg_min(priority, file_seq) AS p
+          FROM res WHERE success GROUP BY group_id)
+        SELECT group_id, CASE WHEN n > 1 AND s = 'P' THEN NULL ELSE s END AS status, CASE WHEN n = 1 THEN p END AS priority,
+          CASE WHEN n > 1 AND s <> 'P' THEN 'priority' ELSE '' END AS lost,
+          CASE WHEN n = 1 THEN 'single' WHEN s = 'P' THEN 'error' ELSE 'ai' END AS merge_method, n > 1 AND s = 'P' AS failed FROM g""",
+    "run_report": """SELECT event_type AS event, count(*) AS n_events, count(*) FILTER (json_extract_string(props, '$.success') = 'true') AS n_success,
+          count(*) FILTER (event_type = 'error' OR json_extract_string(props, '$.success') = 'false') AS n_failed,
+          CAST(coalesce(sum(len(json_keys(props, '$.data'))), 0) AS BIGINT) AS n_fields, CAST(coalesce(sum(json_array_length(props, '$.conflicts')), 0) AS BIGINT) AS n_conflicts
+        FROM events GROUP BY event_type""",
     "progress_eta": """SELECT user_id AS session_id, avg(event_id) AS mean_ms, greatest(1000 - count(*), 0) AS remaining,
         avg(event_id) * greatest(1000 - count(*), 0) AS eta_ms FROM events GROUP BY user_id""",
     "stream_progress": "SELECT event_type AS event, count(*) AS count FROM events GROUP BY event_type",
@@ -306,5 +326,12 @@ _ORACLES: dict[str, str] = {
 }
 
 
+_SPELLED = f"""WITH {_RES} SELECT group_id, arg_min(status, file_seq) AS status, arg_min(customer, file_seq) AS customer, min(status) = max(status) AS consistent,
+    NULL AS "bare", count(DISTINCT file_name) AS n_sources FROM res WHERE success GROUP BY group_id"""
+_ORACLES["merge_nested_spelled"] = _ORACLES["merge_flat_spelled"] = _SPELLED
+# Merging in parts gives the records of merging at once.
+_ORACLES["merge_groups_in_parts"] = _ORACLES["merge_groups_with_model"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)

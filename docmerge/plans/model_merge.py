@@ -1,7 +1,8 @@
 """Merging and aligning by a model, for groups that rules cannot settle.
 
-A prompt holds at most ``max_files`` files.  A larger group is put in several parts
-along its file order; all parts are merged and none is dropped.
+A prompt holds at most ``max_files`` files.  A larger group is put in several parts along its file order; the answers
+of the parts go into prompts of their own in the next round, until every group is one answer.  A group with a refused
+part comes out as one row with ``merge_method`` "error" and the reason.
 """
 
 from __future__ import annotations
@@ -12,52 +13,56 @@ from pyspark.sql import functions as F
 from docmerge.functions.jsontext import pairs_sql, quote_json
 from docmerge.functions.keys import is_structure_key
 from docmerge.functions.values import normalize_value_sql
+from docmerge.operators.grouping import UNKNOWN_GROUP
 from docmerge.operators.ordering import with_position
 from docmerge.operators.template import candidates_by_key, normalized_keys, resolve_sql, sql_string, template_mismatch, with_norm_sql
 from docmerge.operators.validate import entries_from_response
 from docmerge.plans.extract import parsed
-from docmerge.plans.prompts import ALIGN_SYSTEM, LONG_FORM_COLUMNS, MERGE_SYSTEM
+from docmerge.plans.prompts import ALIGN_SYSTEM, LONG_FORM_COLUMNS, LONG_FORM_NOTE, MERGE_SYSTEM, MIXED_RECORDS_NOTE
 from docmerge.plans.rounds import Model, run_rounds
 from docmerge.schemas import Template
+from docmerge.session import checkpointed
 
-KEYS = ["group_id", "part"]
+KEYS = ["group_id"]
+PARTS = ["group_id", "part"]
+#: Files in one prompt of a merge; larger groups take further rounds.
 MAX_FILES = 500
 _CONFLICTS = "array<struct<field_name:string,values:array<string>>>"
+_MAP = "map<string,string>"
 
 
-def _parts(results: DataFrame, max_files: int) -> DataFrame:
-    """Successful results with the prompt part they belong to."""
-    ok = results.where("success AND data_json IS NOT NULL")
-    placed = with_position(ok, ["group_id"], tie=["file_id"])
-    return placed.withColumn("part", F.floor(F.col("pos") / max_files).cast("bigint"))
+def _items(results: DataFrame) -> DataFrame:
+    """What a prompt lists: successful results with their place in the group."""
+    ok = results.where("success AND data_json IS NOT NULL").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
+    return with_position(ok, KEYS, tie=["file_id"]).select("group_id", "pos", F.coalesce("file_name", F.lit("")).alias("file_name"), "data_json")
 
 
-def merge_prompt(results: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
-    """Per group (and part): the prompt text and the number of files in it."""
+def _prompts(items: DataFrame, max_files: int | None) -> DataFrame:
+    part = F.floor(F.col("pos") / max_files) if max_files else F.lit(0)
     one = F.concat(
         F.lit('{"file_name":'), quote_json(F.col("file_name")), F.lit(',"extracted_data":'), F.col("data_json"), F.lit("}")
     )
-    parts = _parts(results, max_files).withColumn("__one", one)
-    return parts.groupBy(*KEYS).agg(
+    listed = items.select("group_id", part.cast("bigint").alias("part"), F.struct("pos", one.alias("one")).alias("item"))
+    return listed.groupBy(*PARTS).agg(
         F.count(F.lit(1)).alias("n_files"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("file_seq", "file_id", "__one"))), lambda s: s["__one"]), ",\n"
-        ).alias("__files"),
+        F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda s: s["one"]), ",\n").alias("__files"),
     ).select(
-        *KEYS,
+        *PARTS,
         "n_files",
         F.lit(MERGE_SYSTEM).alias("system_prompt"),
-        F.concat(
-            F.lit('Extraction results of one group ("'), F.col("group_id"), F.lit('"), to be merged into records:\n\n[\n'),
-            F.col("__files"), F.lit("\n]"),
-        ).alias("user_prompt"),
+        F.concat(F.lit("Group "), quote_json(F.col("group_id")), F.lit(":\n[\n"), F.col("__files"), F.lit("\n]")).alias("user_prompt"),
     )
 
 
-def input_keys(results: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
-    """Union of the data keys that each prompt part was given."""
-    keys = _parts(results, max_files).select(*KEYS, F.explode(F.json_object_keys("data_json")).alias("key"))
-    return keys.groupBy(*KEYS).agg(F.array_sort(F.collect_set("key")).alias("input_keys"))
+def merge_prompt(results: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Per group (and part, if a number of files is given): the prompt text and the number of files in it."""
+    return _prompts(_items(results), max_files)
+
+
+def input_keys(results: DataFrame) -> DataFrame:
+    """Union of the data keys of each group."""
+    keys = _items(results).select("group_id", F.explode(F.json_object_keys("data_json")).alias("key")).distinct()
+    return keys.groupBy("group_id").agg(F.array_sort(F.collect_list("key")).alias("input_keys"))
 
 
 def missing_keys(entry_keys: Column, input_keys_col: Column) -> Column:
@@ -93,32 +98,60 @@ def _judge(answers: DataFrame) -> DataFrame:
     return parsed(answers).withColumn("reject_reason", F.coalesce("call_error", "parse_error")).drop("parse_error")
 
 
+def _error_rows(refused: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per group whose answers were refused."""
+    rows = refused.groupBy("group_id").agg(F.min(F.coalesce("reject_reason", "call_error")).alias("error")).select(
+        "group_id",
+        F.lit(0).cast("bigint").alias("entry_idx"),
+        F.create_map().cast(_MAP).alias("data"),
+        F.array().cast(_CONFLICTS).alias("conflicts"),
+        F.lit("error").alias("merge_method"),
+        "error",
+        *[F.lit(None).cast("int").alias(c) for c in columns if c == "attempt"],
+    )
+    return rows.select(columns)
+
+
 def merge_groups_with_model(results: DataFrame, model: Model, max_files: int = MAX_FILES, max_attempts: int = 1) -> DataFrame:
-    """Groups of several successful files merged by the model; single files pass through."""
-    ok = results.where("success AND data_json IS NOT NULL")
-    sizes = ok.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    several = ok.join(sizes.where("n > 1"), "group_id", "left_semi")
-    single = ok.join(sizes.where("n = 1"), "group_id", "left_semi")
-    answers, _ = run_rounds(merge_prompt(several, max_files), model, _judge, KEYS, max_attempts)
-    merged = merged_records(answers, input_keys(several, max_files))
-    passed = single.select(
+    """Groups of several successful files merged by the model; single files pass through, refused groups are error rows."""
+    if max_files < 2:
+        raise ValueError("a prompt has to hold two files to merge them")
+    placed = _items(results)
+    sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    items = checkpointed(placed.join(sizes.where("n > 1"), "group_id", "left_semi"))
+    merged = failed = None
+    while True:
+        answers, refused = run_rounds(_prompts(items, max_files), model, _judge, PARTS, max_attempts)
+        bad = checkpointed(refused.select("group_id", F.coalesce("reject_reason", "call_error").alias("reject_reason"), F.lit(None).cast("string").alias("call_error")))
+        failed = bad if failed is None else failed.unionByName(bad)
+        good = answers.join(bad.select("group_id").distinct(), "group_id", "left_anti")
+        parts = items.groupBy("group_id").agg((F.max("pos") >= max_files).alias("several"))
+        good = checkpointed(good.join(parts, "group_id").select(*PARTS, "several", "json"))
+        whole = good.where("NOT several").select("group_id", "json")
+        merged = whole if merged is None else merged.unionByName(whole)
+        rest = good.where("several")
+        if rest.isEmpty():
+            break
+        name = F.concat(F.lit("merged part "), (F.col("part") + 1).cast("string"))
+        items = checkpointed(rest.select("group_id", F.col("part").alias("pos"), name.alias("file_name"), F.col("json").alias("data_json")))
+    records = merged_records(merged, input_keys(results)).withColumn("error", F.lit(None).cast("string"))
+    passed = placed.join(sizes.where("n = 1"), "group_id", "left_semi").select(
         "group_id",
-        F.lit(0).cast("bigint").alias("part"),
         F.lit(0).cast("bigint").alias("entry_idx"),
         _entry_map("data_json").alias("data"),
         F.array().cast(_CONFLICTS).alias("conflicts"),
         F.lit("single").alias("merge_method"),
+        F.lit(None).cast("string").alias("error"),
     )
-    return merged.unionByName(passed)
+    return records.unionByName(passed).unionByName(_error_rows(failed, records.columns))
 
 
 def align_prompt(merged: DataFrame, template: Template) -> DataFrame:
-    """Per group (and part): merged records and the columns to map them to."""
+    """Per group: merged records and the columns to map them to."""
     lines = "\n".join(f"- {c.key}" + (f" ({c.description})" if c.description else "") for c in template)
-    note = ""
-    if any(c.key in LONG_FORM_COLUMNS for c in template):
-        note = "\n\nEach item gets a row of its own with the subject's fields repeated; do not join items."
-    hint = "\n\nThe records do not all have the same fields; treat each record by itself."
+    long_form = any(c.key in LONG_FORM_COLUMNS for c in template)
+    note = LONG_FORM_NOTE if long_form else ""
+    hint = MIXED_RECORDS_NOTE
     grouped = merged.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("entry_idx", F.to_json("data", {"ignoreNullFields": "false"}).alias("j")))).alias("rs"),
         (F.count_distinct(F.array_join(F.array_sort(F.map_keys("data")), ",")) > 1).alias("mixed"),
@@ -127,7 +160,7 @@ def align_prompt(merged: DataFrame, template: Template) -> DataFrame:
         *KEYS,
         F.lit(ALIGN_SYSTEM).alias("system_prompt"),
         F.concat(
-            F.lit('Merged data of the group "'), F.col("group_id"), F.lit('":\n['),
+            F.lit("Group "), quote_json(F.col("group_id")), F.lit(":\n["),
             F.array_join(F.transform("rs", lambda r: r["j"]), ",\n"), F.lit(f"]\n\nColumns:\n{lines}{note}"),
             F.when(F.col("mixed"), hint).otherwise(""),
         ).alias("user_prompt"),
@@ -135,7 +168,12 @@ def align_prompt(merged: DataFrame, template: Template) -> DataFrame:
 
 
 def align_with_model(merged: DataFrame, template: Template, model: Model, max_attempts: int = 3) -> DataFrame:
-    """Records mapped to the template; mismatches go back to the model, then the rest is enforced."""
+    """Records mapped to the template; mismatches go back to the model, then the rest is enforced.
+
+    Groups that came with an error keep it; a group without readable JSON becomes an error row.
+    """
+    broken = merged.where("merge_method = 'error'")
+    merged = merged.where("merge_method <> 'error'")
     norm = normalized_keys(merged.sparkSession, [c.key for c in template])
     candidates = candidates_by_key(merged.sparkSession, template)
 
@@ -154,6 +192,7 @@ def align_with_model(merged: DataFrame, template: Template, model: Model, max_at
 
     good, last = run_rounds(align_prompt(merged, template), model, check, KEYS, max_attempts)
     rows = good.unionByName(last.where("json IS NOT NULL"))
+    unread = last.where("json IS NULL")
     one = F.when(F.size("entries") == 0, F.array(F.lit("{}"))).otherwise(F.col("entries"))
     pairs = with_norm_sql(pairs_sql("entry", loose=True))
     cells = ", ".join(
@@ -161,7 +200,9 @@ def align_with_model(merged: DataFrame, template: Template, model: Model, max_at
         for k, c in candidates.items()
     )
     data = F.expr(f"get(transform(array({pairs}), np -> map({cells})), 0)")
-    return rows.select(*KEYS, "conflicts", "attempt", F.posexplode(one).alias("entry_idx", "entry")).select(
+    aligned = rows.select(*KEYS, "conflicts", "attempt", F.posexplode(one).alias("entry_idx", "entry")).select(
         *KEYS, F.col("entry_idx").cast("bigint").alias("entry_idx"), data.alias("data"), "conflicts", "attempt",
-        F.lit("ai").alias("merge_method"),
+        F.lit("ai").alias("merge_method"), F.lit(None).cast("string").alias("error"),
     )
+    kept = broken.select(*[F.lit(None).cast("int").alias(c) if c == "attempt" else F.col(c) for c in aligned.columns])
+    return aligned.unionByName(_error_rows(unread, aligned.columns)).unionByName(kept)

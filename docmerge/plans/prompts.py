@@ -7,23 +7,27 @@ from pyspark.sql import functions as F
 
 from docmerge.schemas import Template, TemplateColumn
 
-GENERIC_SYSTEM = """Extract the fields of the document as one flat JSON object.
-- Output JSON only, no explanation.
-- Use the document's own field names as keys and its own text as values; never invent a value.
-- Leave out what cannot be read. Keep dates as written and a measured value with its unit in one string.
-- Join several values of one field with "; ". No nested objects, no arrays.
-- Put at most two short group names before a field, joined by "-". Number table rows: "1-name", "2-name".
-- A key is a short field name: no number, date, measurement or symbol, and never a whole table header.
-- Return at least two fields."""
+# What an answer must look like follows from the checks in operators/validate.py: each rule below names one of them.
+GENERIC_SYSTEM = """You turn one document into one JSON object and write nothing else.
 
-GUIDED_RULES = """Read the document, then fill exactly the columns below.
-- Values come from the document; use null for what cannot be read.
-- Single-valued columns go to the top level, repeating columns into the array "entries", one object per line item.
-- Output JSON only. "entries" must be present ([{}] without repeating values). No other keys."""
+The answer is used only if it passes these checks:
+1. It has two fields or more. (too_few_fields)
+2. Its values are text, numbers, true, false or null. Put what belongs under a heading into the key, with "-" between heading and name; put lists into one text, with "; " between the items.
+3. No key is made of more than five pieces joined by "-": a row of column titles is not a key. (joined_header_keys)
+4. A key names something. Amounts, dates, clock times, percentages and lone signs are values.
+5. Every value stands in the document. What is not there gets no key."""
 
-TEXT_PREFIX = "Extract structured information from the document below and return plain JSON.\n\nDocument:\n"
-NO_TEXT_REQUEST = "Extract all structured information from the document."
-DEFAULT_DOCUMENT_TYPE = "general document"
+GUIDED_RULES = """You fill a fixed form from one document and write one JSON object and nothing else.
+
+The answer is used only if it passes these checks:
+1. There is a list called "entries" with at least one object in it, even an empty one. (no_entries)
+2. Something in the form is filled. (all_null)
+3. Keys are exactly the names of the form: names given once at the top, names given per item inside "entries".
+4. What the document does not say is null."""
+
+TEXT_PREFIX = "Text of the document:\n\n"
+NO_TEXT_REQUEST = "The document is the attached image."
+DEFAULT_DOCUMENT_TYPE = "not stated"
 
 
 def _column_line(c: TemplateColumn) -> str:
@@ -36,12 +40,12 @@ def _section(title: str, columns: Template, none: str) -> str:
 
 def system_prompt(template: Template | None = None, instructions: str = "", doc_type: str = "") -> str:
     """Guided by the template if there is one; user instructions are always an addition."""
-    extra = f"\n\n<user_instructions>\n{instructions.strip()}\n</user_instructions>" if instructions.strip() else ""
+    extra = f"\n\nWishes of the user, as far as the checks allow:\n{instructions.strip()}" if instructions.strip() else ""
     if not template:
         return GENERIC_SYSTEM + extra
-    single = _section("Single-valued columns", [c for c in template if not c.repeating], "No single-valued columns.")
-    multi = _section("Repeating columns", [c for c in template if c.repeating], "No repeating columns.")
-    return f"Document type: {doc_type or DEFAULT_DOCUMENT_TYPE}\n\n{GUIDED_RULES}\n\n{single}\n\n{multi}{extra}"
+    single = _section("Once per document", [c for c in template if not c.repeating], "Once per document: none")
+    multi = _section("Per item", [c for c in template if c.repeating], "Per item: none")
+    return f"{GUIDED_RULES}\n\nKind of document: {doc_type or DEFAULT_DOCUMENT_TYPE}\n\n{single}\n\n{multi}{extra}"
 
 
 def extraction_prompts(
@@ -57,16 +61,19 @@ def extraction_prompts(
     )
 
 
-MERGE_SYSTEM = """Merge the extraction results of one group of documents. Output JSON only.
-- Records of the same subject become one entry; different times or conditions stay separate entries.
-- Keep all original keys. Where values differ keep all of them with their file names.
-- Form: {"entries": [{...}], "conflicts": [{"field": "...", "values": ["file: value"]}]}
-- Values are strings, numbers or null."""
+_ANSWER_FORM = """{"entries": [{"key": "value"}], "conflicts": [{"field": "key", "values": ["source: value"]}]}"""
+
+MERGE_SYSTEM = f"""A list of objects follows; each has a file name and the fields read from that file. Some may be results of an earlier merge, in the form below.
+Write one JSON object in this form and nothing else:
+{_ANSWER_FORM}
+One entry per subject and occasion. Every key of the input appears in some entry; keys that are lost are reported as missing. Where files disagree, list every value with its file under "conflicts", and keep conflicts of earlier merges."""
+
+ALIGN_SYSTEM = f"""Records and a list of columns follow. Write one JSON object in this form and nothing else:
+{_ANSWER_FORM}
+Every entry has all columns and no other key; an answer with further or missing keys is sent back. A column without a matching field is null."""
 
-ALIGN_SYSTEM = """Map merged data to the given columns. Output JSON only.
-- Use exactly the column names; fill null where nothing fits; match by meaning.
-- Form: {"entries": [{...}], "conflicts": [{"field": "...", "values": ["file: value"]}]}
-- Values are strings, numbers or null."""
+LONG_FORM_NOTE = "\n\nThe columns describe single items: write an entry for every item of a record."
+MIXED_RECORDS_NOTE = "\n\nThe records have different fields."
 
 # Columns that mark a template with one lab item per row.
 LONG_FORM_COLUMNS = ("检验项目", "检验结果")

@@ -169,7 +169,7 @@ def session_progress(spark, sf):
 @query
 def header_union(spark, sf):
     results = ST.successful(T.order_results(spark, sf))
-    cells = C.to_keys(results, T.order_lines(spark, sf))
+    cells = C.to_keys(results, T.order_lines(spark, sf, numbered=False))
     return C.header_union(cells).select("key", "first_file_seq")
 
 
@@ -181,16 +181,16 @@ def key_counts(spark, sf):
 
 @query
 def field_samples(spark, sf):
-    cells = C.to_cells(T.order_results(spark, sf), origins=("header",))
-    return C.field_samples(cells, width=8).select(
+    cells = C.to_cells(*_results(spark, sf))
+    return C.field_samples(cells).select(
         "key", *[F.get("samples", F.lit(i)).alias(f"sample{i + 1}") for i in range(3)]
     )
 
 
 @query
 def value_preview(spark, sf):
-    cells = C.to_cells(T.order_results(spark, sf), origins=("header",))
-    keys = spark.createDataFrame([(0, "status"), (1, "segment")], "pos int, key string")
+    cells = C.to_cells(*_results(spark, sf))
+    keys = spark.createDataFrame(list(enumerate(ALL_KEYS)), "pos int, key string")
     return C.value_preview(cells, keys).select("key", "file_name", "value")
 
 
@@ -249,6 +249,26 @@ def merge_flat(spark, sf):
     return _wide(M.merge_flat(*_results(spark, sf), T.ORDER_TEMPLATE, entry_counts=_entry_counts(spark, sf)))
 
 
+# Keys that are cleaned on the way in and come out in the template's spelling.
+_SPELLED = [TemplateColumn("1-status"), TemplateColumn("2-customer")]
+
+
+def _spelled(rows):
+    value = lambda k: F.try_element_at(F.col("data"), F.lit(k))
+    consistent = F.try_element_at(F.col("field_consistency"), F.lit("1-status"))
+    return rows.select("group_id", value("1-status").alias("status"), value("2-customer").alias("customer"), consistent.alias("consistent"), value("status").alias("bare"), "n_sources")
+
+
+@query
+def merge_nested_spelled(spark, sf):
+    return _spelled(M.merge_nested(T.order_results(spark, sf), template=_SPELLED))
+
+
+@query
+def merge_flat_spelled(spark, sf):
+    return _spelled(M.merge_flat(T.order_results(spark, sf), template=_SPELLED))
+
+
 @query
 def merge_flat_strict(spark, sf):
     """Without a template header fields are no source, as strict mode asks."""
@@ -303,8 +323,9 @@ def resolve_template(spark, sf):
 
 @query
 def resolve_template_cells(spark, sf):
-    cells = C.to_cells(T.order_results(spark, sf), origins=("header",))
-    return TP.resolve_template(cells, _SLASHED).select("file_id", "key", "value")
+    cells = C.to_cells(*_results(spark, sf))
+    found = TP.resolve_template(cells, [*_SLASHED, TemplateColumn("amount/qty", repeating=True)])
+    return found.select("file_id", "entry_idx", "key", "value")
 
 
 @query
@@ -625,15 +646,14 @@ def _flat_results(spark, sf):
 @query
 def extraction_prompt_sizes(spark, sf):
     prompts = extraction_prompts(T.document_files(spark, sf), T.ORDER_TEMPLATE)
-    prefix = F.length("user_prompt") - F.length("text")
-    return prompts.select("file_id", F.when(F.col("text") != "", prefix).alias("prefix_chars"), F.length("text").alias("text_chars"))
+    return prompts.select("file_id", F.md5(F.col("user_prompt").cast("binary")).alias("prompt_md5"), F.length("system_prompt").cast("bigint").alias("system_chars"), F.length("text").cast("bigint").alias("text_chars"))
 
 
 @query
 def merge_prompt(spark, sf):
-    prompts = MM.merge_prompt(_flat_results(spark, sf), max_files=4)
+    prompts = MM.merge_prompt(_flat_results(spark, sf))
     body = F.regexp_extract("user_prompt", r"(?s)(\[\n.*\n\])$", 1)
-    return prompts.select("group_id", "part", "n_files", body.alias("files"))
+    return prompts.select("group_id", "n_files", body.alias("files"))
 
 
 @query
@@ -655,24 +675,52 @@ def conversation_prompts(spark, sf):
         F.lit(True).alias("success"),
         F.to_json(F.struct("text")).alias("data_json"),
     )
-    return MM.merge_prompt(results).select("group_id", "part", "n_files", F.length("user_prompt").alias("chars"))
+    return MM.merge_prompt(results).select("group_id", "n_files", F.length("user_prompt").cast("bigint").alias("chars"))
 
 
 def first_file_model(prompts):
-    """Stand-in for a merge model: takes the first file's fields, reports no conflict."""
+    """Stand-in for a merge model: takes the first file's fields, reports no conflict; earlier merges are opened."""
     import json
 
     answers = []
     for p in prompts:
-        listed = json.loads(p.user[p.user.index("[\n") :])
-        answers.append(json.dumps({"entries": [listed[0]["extracted_data"]], "conflicts": []}, ensure_ascii=False))
+        first = json.loads(p.user[p.user.index("[\n") :])[0]["extracted_data"]
+        answers.append(json.dumps({"entries": first.get("entries", [first]), "conflicts": []}, ensure_ascii=False))
+    return answers
+
+
+def choosy_model(prompts):
+    """As ``first_file_model``, but refuses groups whose first status is "P" and loses the priority of the others."""
+    import json
+
+    answers = []
+    for answer in map(json.loads, first_file_model(prompts)):
+        entry = answer["entries"][0]
+        answers.append("nothing" if entry["status"] == "P" else json.dumps({"entries": [{k: v for k, v in entry.items() if k != "priority"}]}))
     return answers
 
 
+def _merged(merged):
+    return merged.select("group_id", "entry_idx", *[F.try_element_at(F.col("data"), F.lit(k)).alias(k) for k in HEADER_KEYS], "merge_method")
+
+
 @query
 def merge_groups_with_model(spark, sf):
-    merged = MM.merge_groups_with_model(_flat_results(spark, sf), first_file_model)
-    return merged.select("group_id", "part", "entry_idx", *[F.try_element_at(F.col("data"), F.lit(k)).alias(k) for k in HEADER_KEYS], "merge_method")
+    return _merged(MM.merge_groups_with_model(_flat_results(spark, sf), first_file_model))
+
+
+@query
+def merge_groups_in_parts(spark, sf):
+    """The same records from prompts of three files, in as many rounds as the groups need."""
+    return _merged(MM.merge_groups_with_model(_flat_results(spark, sf), first_file_model, max_files=3))
+
+
+@query
+def merge_groups_refused(spark, sf):
+    """Refused groups come out as error rows, lost keys as nulls that are reported."""
+    merged = MM.merge_groups_with_model(_flat_results(spark, sf), choosy_model)
+    lost = F.array_join(F.flatten(F.transform("conflicts", lambda c: c["values"])), ",")
+    return merged.select("group_id", F.try_element_at(F.col("data"), F.lit("status")).alias("status"), F.try_element_at(F.col("data"), F.lit("priority")).alias("priority"), lost.alias("lost"), "merge_method", F.col("error").isNotNull().alias("failed"))
 
 
 # --- reports -------------------------------------------------------------------------
@@ -680,7 +728,7 @@ def merge_groups_with_model(spark, sf):
 
 @query
 def run_report(spark, sf):
-    return R.run_report(T.event_log(spark, sf)).select("event", "n_events", "n_failed")
+    return R.run_report(T.event_log(spark, sf))
 
 
 @query

@@ -15,7 +15,7 @@ def csv_line(columns: list[str], guard_numbers: bool = True) -> Column:
 
 
 def write_csv_safe(df: DataFrame, path: str, mode: str = "errorifexists", guard_numbers: bool = True) -> None:
-    """CRLF lines with formula guard; every part file starts with a BOM and the header line.
+    """CRLF lines with formula guard; every part file starts with a BOM and the header line, also that of an empty table.
 
     The first row of a partition is known by its row number, so the header needs no
     extra pass and rows stay in the JVM.
@@ -25,7 +25,10 @@ def write_csv_safe(df: DataFrame, path: str, mode: str = "errorifexists", guard_
     line = csv_line(df.columns, guard_numbers)
     with_header = F.concat(F.lit(BOM), header, F.lit("\r\n"), line)
     text = df.select(line.alias("line"), with_header.alias("top"), first.alias("first"))
-    text.select(F.when(F.col("first"), F.col("top")).otherwise(F.col("line")).alias("value")).write.mode(mode).option(
+    text = text.select(F.when(F.col("first"), F.col("top")).otherwise(F.col("line")).alias("value"))
+    if df.isEmpty():
+        text = df.sparkSession.range(1, numPartitions=1).select(F.concat(F.lit(BOM), header).alias("value"))
+    text.write.mode(mode).option(
         "lineSep", "\r\n"
     ).option("maxRecordsPerFile", 0).text(path)
 

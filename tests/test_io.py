@@ -54,6 +54,8 @@ def test_read_documents(spark, tmp_path):
     good, bad = SF.read_documents(spark, d)
     assert sorted(r.file_seq for r in good.collect()) == [0, 1, 2]
     assert [(r.file_name, r.reject_reason) for r in bad.collect()] == [("x.pdf", "unsupported type")]
+    large = SF.read_documents(spark, d, max_bytes=4)[1].where("file_name = 'a-1.txt'")
+    assert [r.reject_reason for r in large.collect()] == ["too large"]
     assert {r.file_name: r.text for r in SF.text_documents(good).collect()} == {"a-1.txt": "hello", "a-2.md": "检验"}
     images = {r.file_name: r for r in SF.image_documents(good, threshold_mb=0).collect()}
     assert images["pic.PNG"].data_url == "data:image/png;base64,iVBORw==" and images["pic.PNG"].needs_recompress
@@ -71,6 +73,7 @@ def test_read_results_and_manifest(spark, tmp_path):
     assert [(r.file_id, json.loads(r.data_json), [json.loads(e) for e in r.entries_json]) for r in rows] == [("f1", {"k": {"v": 1}}, [{"x": 1}])]
     ids = spark.createDataFrame([("f1",), ("f9",)], "file_id string")
     assert SS.read_group_results(SS.read_results(spark, d), ids).count() == 1
+    assert [(r.session_id, r.file_seq, r.attempt, r.result_seq > 0) for r in rows] == [("results", 0, 1, True)]
     members = SS.read_groups_manifest(spark, f"{tmp_path}/groups.json").orderBy("file_seq").collect()
     assert [(m.group_id, m.file_id, m.file_seq) for m in members] == [("a", "f1", 0), ("a", "f2", 1)]
 
@@ -224,7 +227,7 @@ class Flaky:
     """Refuses the first answer of every document, then reads it."""
 
     def __call__(self, prompts):
-        return [p.user.split("Document:\n")[-1] if p.feedback else "nothing" for p in prompts]
+        return [p.user.split("document:\n\n")[-1] if p.feedback else "nothing" for p in prompts]
 
 
 def documents(spark, texts):
@@ -253,7 +256,7 @@ def test_extract_guided_with_fallback(spark):
     assert [json.loads(e) for e in out["f0"].entries_json] == [{"检验项目/诊断项目": "WBC"}, {"检验项目/诊断项目": None}]
     assert out["f1"].success and json.loads(out["f1"].data_json)["姓名"] == "李四" and out["f1"].attempt == 3
     assert not out["f2"].success
-    assert "Single-valued columns:\n- 姓名" in system_prompt(template, "be brief")
+    assert "Once per document:\n- 姓名" in system_prompt(template, "be brief")
 
 
 def failing(prompts):
@@ -272,7 +275,8 @@ def merge_model(prompts):
     answers = []
     for p in prompts:
         listed = json.loads(p.user[p.user.index("[\n"):])
-        merged = {k: v for d in reversed(listed) for k, v in d["extracted_data"].items() if k != "lost"}
+        objects = [e for d in listed for e in d["extracted_data"].get("entries", [d["extracted_data"]])]
+        merged = {k: v for d in reversed(objects) for k, v in d.items() if k not in ("lost", "Task")}
         answers.append(json.dumps({"entries": [merged | {"Task": "x"}], "conflicts": [{"field": "a", "values": ["1", 2]}]}))
     return answers
 
@@ -284,10 +288,15 @@ def align_model(prompts):
 def test_model_merge_and_align(spark):
     rows = [("g", f"f{i}", f"n{i}", i, True, json.dumps({"a": str(i), "lost": "v"})) for i in range(5)] + [("h", "f9", "n9", 9, True, '{"a":"9"}')]
     results = spark.createDataFrame(rows, "group_id string, file_id string, file_name string, file_seq bigint, success boolean, data_json string")
-    merged = MM.merge_groups_with_model(results, merge_model, max_files=3).orderBy("group_id", "part").collect()
-    assert [(r.group_id, r.part, r.merge_method, r.data) for r in merged] == [
-        ("g", 0, "ai", {"a": "0", "lost": None}), ("g", 1, "ai", {"a": "3", "lost": None}), ("h", 0, "single", {"a": "9"}),
-    ]
+    merged = MM.merge_groups_with_model(results, merge_model).orderBy("group_id").collect()
+    assert [(r.group_id, r.merge_method, r.data) for r in merged] == [("g", "ai", {"a": "0", "lost": None}), ("h", "single", {"a": "9"})]
+    for max_files in (2, 3):  # one record per group, however many prompts it takes
+        parts = MM.merge_groups_with_model(results, merge_model, max_files=max_files).orderBy("group_id").collect()
+        assert [(r.group_id, r.merge_method, r.data) for r in parts] == [(r.group_id, r.merge_method, r.data) for r in merged]
+    refused = MM.merge_groups_with_model(results, lambda ps: ["nothing"] * len(ps), max_files=2)
+    assert [(r.group_id, r.merge_method, r.error is None) for r in refused.orderBy("group_id").collect()] == [("g", "error", False), ("h", "single", True)]
+    kept = MM.align_with_model(refused, [TemplateColumn("a")], lambda ps: ["nothing"] * len(ps), max_attempts=1)
+    assert [(r.group_id, r.merge_method, r.error is None) for r in kept.orderBy("group_id").collect()] == [("g", "error", False), ("h", "error", False)]
     assert {c.field_name: c["values"] for c in merged[0].conflicts} == {"a": ["1", "2"], "_missing_keys": ["lost"]}
     template = [TemplateColumn("alpha"), TemplateColumn("beta")]
     source = MM.merge_groups_with_model(results, merge_model)

@@ -112,7 +112,7 @@ def nested_model(rows):
                 data.setdefault(key if norm not in data else norm, None)
             many = len(entries) > 1
             out[f"{g}-{i}" if many else g] = (
-                f"{g} #{i + 1}" if many else g, data, {k: k not in conflicts for k in data}, len(files), len(files) > 1 or many,
+                f"{g} #{i + 1}" if many else g, data, {k: k not in conflicts for k in data}, len({r["file_name"] for r in files}), len(files) > 1 or many,
             )
     return out
 
@@ -137,7 +137,7 @@ def test_merge_flat_equals_fold(spark):
         objects = [unprefixed(e) for r in files for e in r["entries"]]
         if objects:
             data, conflicts = fold(objects)
-            want[g] = (data, {k: k not in conflicts for k in data}, len(objects) > 1, sum(bool(r["entries"]) for r in files))
+            want[g] = (data, {k: k not in conflicts for k in data}, len(objects) > 1, len({r["file_name"] for r in files if r["entries"]}))
     got = {r.row_id: (r.data, r.field_consistency, r.is_merged, r.n_sources) for r in M.merge_flat(df, strict=True).collect()}
     assert got == want
 
@@ -234,3 +234,17 @@ def test_pivot_equals_loop(spark):
         row = r.asDict()
         assert {c: row[c] for c in ["_label", "name", *names]} == {c: want[r.group_id].get(c) for c in ["_label", "name", *names]}
         assert row["extras"] == {"other": want[r.group_id]["other"]}
+
+
+def test_consistency_moves_with_its_key(spark):
+    files = [{"group_id": "g", "file_id": f"f{i}", "file_name": f"n{i}", "file_seq": i, "success": True, "header": {"extra": f"v{i}", "same": "x"}, "entries": []} for i in (1, 2)]
+    template = [TemplateColumn("2-extra"), TemplateColumn("1-same")]
+    for merge in (M.merge_nested, M.merge_flat):
+        (row,) = merge(as_df(spark, files), template=template).collect()
+        assert (row.data, row.field_consistency) == ({"2-extra": "v1", "1-same": "x"}, {"2-extra": False, "1-same": True})
+
+
+def test_files_without_group_and_ties(spark):
+    files = [{"group_id": None, "file_id": f"f{i}", "file_name": "same.txt", "file_seq": 5, "success": True, "header": {"key": f"v{i}"}, "entries": []} for i in (2, 1)]
+    (row,) = M.merge_nested(as_df(spark, files)).collect()
+    assert (row.group_id, row.data, row.n_sources, row.is_merged) == ("group-unknown", {"key": "v1"}, 1, True)
