@@ -326,6 +326,37 @@ _ORACLES: dict[str, str] = {
 }
 
 
+# Answers of the stand-in models, by the length of the prompt.
+_PROMPT = f"""{_FILES}, p AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN {len(NO_TEXT_REQUEST)} ELSE {len(TEXT_PREFIX)} + length(text) END AS n FROM files)"""
+_ORACLES |= {
+    "messy_cells": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS file_id, * FROM orders)
+        SELECT file_id, '状态' AS key, o_orderstatus AS value FROM o WHERE o_orderkey % 3 = 2
+        UNION ALL SELECT file_id, 'priority', o_orderpriority FROM o
+        UNION ALL SELECT file_id, 'twice', CASE WHEN o_orderkey % 2 = 0 THEN '{"k":1,"k":2}' ELSE 'once' END FROM o
+        UNION ALL SELECT file_id, 'list', o_orderkey || '; ' || o_orderstatus FROM o""",
+    "messy_merge": """WITH o AS (SELECT *, CASE WHEN year(o_orderdate) <> 1995 THEN CAST(year(o_orderdate) AS VARCHAR) ELSE 'group-unknown' END AS group_id FROM orders)
+        SELECT group_id, arg_min(o_orderstatus, o_orderkey) FILTER (o_orderkey % 3 = 2) AS state, arg_min(o_orderpriority, o_orderkey) AS priority,
+          min(o_orderstatus) FILTER (o_orderkey % 3 = 2) = max(o_orderstatus) FILTER (o_orderkey % 3 = 2) AS consistent, count(*) AS n_sources FROM o GROUP BY group_id""",
+    "field_counts": """WITH o AS (SELECT o_orderkey AS k, o_orderkey % 4 + 1 AS n FROM orders)
+        SELECT k AS o_orderkey, CASE WHEN k % 2 = 0 THEN 3 WHEN k % 3 <> 0 THEN n ELSE 0 END AS n_fields,
+          CASE WHEN k % 5 = 0 THEN '—' WHEN k % 2 = 0 THEN '3' WHEN k % 3 <> 0 THEN n || '×2' ELSE '—' END AS label FROM o""",
+    "repaired_names": "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '检验 ' || p_name ELSE p_name || ' é' END AS name FROM part",
+    "chosen_rows": f"""WITH {_RES} SELECT group_id AS row_id, arg_min(customer, file_seq) AS "Kunde", arg_min(segment, file_seq) AS segment, arg_min(status, file_seq) AS "Stand",
+        arg_min(priority, file_seq) AS priority FROM res WHERE success GROUP BY group_id HAVING arg_min(segment, file_seq) = 'BUILDING'""",
+    "declared_columns": """WITH r AS (SELECT p_partkey AS pos, p_brand AS key, CASE p_partkey % 5 WHEN 1 THEN 'number' ELSE 'string' END AS type, p_name AS description
+          FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 AND p_partkey % 11 <> 0)
+        SELECT key, arg_min(type, pos) AS type, arg_min(description, pos) AS description FROM r GROUP BY key""",
+    "align_with_model": f"""WITH {_RES}, g AS (SELECT group_id, count(*) AS n, arg_min(status, file_seq) AS s, arg_min(customer, file_seq) AS c FROM res WHERE success GROUP BY group_id)
+        SELECT group_id, CASE WHEN n = 1 OR s <> 'P' THEN c END AS buyer, CASE WHEN n = 1 OR s <> 'P' THEN s END AS state, CASE WHEN n = 1 OR s <> 'P' THEN 2 END AS attempt,
+          CASE WHEN n = 1 OR s <> 'P' THEN 'ai' ELSE 'error' END AS merge_method, n > 1 AND s = 'P' AS failed FROM g""",
+    "align_prompt": f"""WITH {_RES}, g AS (SELECT group_id, {', '.join(f'arg_min({k}, file_seq) AS {k}' for k in _HKEYS)} FROM res WHERE success GROUP BY group_id)
+        SELECT group_id, md5('Group "' || group_id || '":' || chr(10) || '[{{"customer":"' || customer || '","segment":"' || segment || '","status":"' || status || '","priority":"' || priority
+          || '"}}]' || chr(10) || chr(10) || 'Columns:' || chr(10) || '- buyer (who buys)' || chr(10) || '- state') AS prompt_md5 FROM g""",
+    "extract_retried": f"""WITH {_PROMPT} SELECT file_id, true AS success, CAST(length(text) AS VARCHAR) AS chars, CASE WHEN n % 3 = 0 THEN 1 ELSE 2 END AS attempt,
+        CAST(NULL AS VARCHAR) AS error FROM p""",
+    "extract_fallback": f"""WITH {_PROMPT} SELECT file_id, n % 3 <> 0 AS success, CASE WHEN n % 3 <> 0 THEN CAST(length(text) AS VARCHAR) END AS chars, 3 AS attempt,
+        n % 3 = 0 AS failed FROM p""",
+}
 _SPELLED = f"""WITH {_RES} SELECT group_id, arg_min(status, file_seq) AS status, arg_min(customer, file_seq) AS customer, min(status) = max(status) AS consistent,
     NULL AS "bare", count(DISTINCT file_name) AS n_sources FROM res WHERE success GROUP BY group_id"""
 _ORACLES["merge_nested_spelled"] = _ORACLES["merge_flat_spelled"] = _SPELLED

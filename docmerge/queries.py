@@ -17,10 +17,11 @@ from docmerge.operators import reshape as S
 from docmerge.operators import state as ST
 from docmerge.operators import template as TP
 from docmerge.operators import validate as V
-from docmerge.operators.select import preview, select_export_columns
+from docmerge.operators.select import preview, rename_columns, select_export_columns, select_rows
 from docmerge.plans import extract as X
 from docmerge.plans import model_merge as MM
 from docmerge.plans.align import merge_results
+from docmerge.plans.extract import facts_extractor
 from docmerge.plans.prompts import extraction_prompts
 from docmerge.schemas import PivotPreset, TemplateColumn
 from docmerge.session import checkpointed, ensure_checkpoint_dir
@@ -204,6 +205,76 @@ def _entry_counts(spark, sf):
     return M.count_entries(T.order_lines(spark, sf, numbered=False))
 
 
+def _messy_orders(spark, sf):
+    """Order documents with nulls, empty texts, decorated and invalid keys, repeated inner keys and nested arrays."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    state = F.when(k % 3 == 0, "null").when(k % 3 == 1, '""').otherwise(F.concat(F.lit('"'), status, F.lit('"')))
+    doc = F.concat(
+        F.lit('{"1-状态":'), state, F.lit(',"2024-01-15":"x","检验结果2-priority{":"'), F.col("o_orderpriority"),
+        F.when(k % 2 == 0, '","twice":{"k":1,"k":2}').otherwise('","twice":"once"'), F.lit(',"_note":"n","list":[['), k.cast("string"), F.lit(',[[]]],"'), status, F.lit('"]}'),
+    )
+    return T.table(spark, sf, "orders").select(
+        F.lit("g").alias("group_id"), k.cast("string").alias("file_id"), k.cast("string").alias("file_name"), k.alias("file_seq"), F.lit(True).alias("success"), doc.alias("data_json"),
+    )
+
+
+@query
+def messy_cells(spark, sf):
+    """Empty cells, invalid, structure and hidden keys dropped; nested arrays as one text; repeated inner keys kept."""
+    cells = C.to_cells(_messy_orders(spark, sf), origins=("data",))
+    return C.drop_hidden_keys(C.drop_structure_keys(C.mergeable(cells))).select("file_id", "key", "value")
+
+
+@query
+def messy_merge(spark, sf):
+    """The same documents folded by order year: first given value, conflicts, sources."""
+    orders = T.table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("file_id"), F.year("o_orderdate").cast("string").alias("year"))
+    results = _messy_orders(spark, sf).join(orders, "file_id").withColumn("group_id", F.when(F.col("year") != "1995", F.col("year")))
+    rows = M.merge_flat(results, template=[TemplateColumn("1-状态"), TemplateColumn("priority")])
+    value = lambda key: F.try_element_at(F.col("data"), F.lit(key))
+    return rows.select("group_id", value("1-状态").alias("state"), value("priority").alias("priority"), F.try_element_at(F.col("field_consistency"), F.lit("1-状态")).alias("consistent"), "n_sources")
+
+
+@query
+def field_counts(spark, sf):
+    k = F.col("o_orderkey")
+    entries = F.transform(F.sequence(F.lit(1), (k % 4).cast("int") + 1), lambda i: F.to_json(F.struct(i.alias("n"), k.alias("o"))))
+    rows = T.table(spark, sf, "orders").select(
+        k, (k % 5 != 0).alias("success"), F.when(k % 2 == 0, F.to_json(F.struct("o_orderstatus", "o_orderpriority", "o_custkey"))).alias("data_json"),
+        F.when(k % 3 != 0, entries).alias("entries_json"),
+    )
+    return rows.select("o_orderkey", ST.field_count().cast("bigint").alias("n_fields"), ST.field_count_label().alias("label"))
+
+
+@query
+def repaired_names(spark, sf):
+    """Names whose UTF-8 bytes were read as Latin-1, and names that only look like it."""
+    name = F.concat(F.lit("检验 "), "p_name")
+    broken = F.decode(F.encode(name, "UTF-8"), "ISO-8859-1")
+    shown = F.when(F.col("p_partkey") % 2 == 0, broken).otherwise(F.concat("p_name", F.lit(" é")))
+    return T.table(spark, sf, "part").select("p_partkey", fn.repair_filename(shown).alias("name"))
+
+
+@query
+def chosen_rows(spark, sf):
+    """Rows of chosen ids under the user's column names."""
+    rows = M.merge_flat(T.order_results(spark, sf), template=T.ORDER_TEMPLATE)
+    chosen = T.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.concat(F.lit("cust"), F.col("c_custkey").cast("string"), F.lit("x")).alias("row_id"))
+    out = select_export_columns(select_rows(rows, chosen), HEADER_KEYS, keep=("row_id",))
+    return rename_columns(out, {"customer": "Kunde", "status": "Stand"})
+
+
+@query
+def declared_columns(spark, sf):
+    """Usable template rows of a table of declarations: named, of a known type, described; the first of equal keys."""
+    p = F.col("p_partkey")
+    rows = T.table(spark, sf, "part").select(
+        p.alias("pos"), F.when(p % 7 == 0, " ").otherwise(F.col("p_brand")).alias("key"), F.when(p % 5 == 0, "date").when(p % 5 == 1, "number").otherwise("string").alias("type"),
+        F.when(p % 11 != 0, F.col("p_name")).alias("description"), F.lit("").alias("example"), F.lit(False).alias("repeating"),
+    )
+    return TP.valid_template(rows).select("key", "type", "description")
+
+
 # --- merging -----------------------------------------------------------------
 
 
@@ -658,7 +729,7 @@ def merge_prompt(spark, sf):
 
 @query
 def extract_documents(spark, sf):
-    out = X.extract_documents(T.document_files(spark, sf), X.facts_extractor)
+    out = X.extract_documents(T.document_files(spark, sf), facts_extractor)
     facts = [F.get_json_object("data_json", f"$.{k}").alias(k) for k in ("chars", "lines")]
     return out.select("file_id", "group_id", "success", *facts, "attempt")
 
@@ -723,6 +794,62 @@ def merge_groups_refused(spark, sf):
     return merged.select("group_id", F.try_element_at(F.col("data"), F.lit("status")).alias("status"), F.try_element_at(F.col("data"), F.lit("priority")).alias("priority"), lost.alias("lost"), "merge_method", F.col("error").isNotNull().alias("failed"))
 
 
+def mapping_model(prompts):
+    """Stand-in for an alignment model: keeps a stray key in its first answer, maps two columns when asked again."""
+    import json
+
+    answers = []
+    for p in prompts:
+        records = json.loads(p.user[p.user.index("[") : p.user.index("\n\nColumns:")])
+        entries = [{"buyer": r.get("customer"), "state": r.get("status")} | ({} if p.feedback else {"stray": 1}) for r in records]
+        answers.append(json.dumps({"entries": entries}))
+    return answers
+
+
+@query
+def align_with_model(spark, sf):
+    """Records mapped to other columns in the second attempt; groups that could not be merged stay error rows."""
+    merged = MM.merge_groups_with_model(_flat_results(spark, sf), choosy_model)
+    aligned = MM.align_with_model(merged, [TemplateColumn("buyer"), TemplateColumn("state")], mapping_model)
+    return aligned.select("group_id", *[F.try_element_at(F.col("data"), F.lit(k)).alias(k) for k in ("buyer", "state")], "attempt", "merge_method", F.col("error").isNotNull().alias("failed"))
+
+
+@query
+def align_prompt(spark, sf):
+    merged = MM.merge_groups_with_model(_flat_results(spark, sf), first_file_model)
+    prompts = MM.align_prompt(merged, [TemplateColumn("buyer", "string", "who buys"), TemplateColumn("state")])
+    return prompts.select("group_id", F.md5(F.col("user_prompt").cast("binary")).alias("prompt_md5"))
+
+
+def moody_extractor(prompts):
+    """Stand-in for a model: in its first answer unreadable or too short for some documents, then size facts."""
+    answers = []
+    for p, facts in zip(prompts, facts_extractor(prompts)):
+        size = len(p.user) % 3
+        answers.append(facts if p.feedback or size == 0 else "nothing" if size == 1 else '{"chars": 1}')
+    return answers
+
+
+@query
+def extract_retried(spark, sf):
+    """Refused answers are asked for again with the reason."""
+    out = X.extract_documents(T.document_files(spark, sf), moody_extractor)
+    return out.select("file_id", "success", F.get_json_object("data_json", "$.chars").alias("chars"), "attempt", "error")
+
+
+def stubborn_extractor(prompts):
+    """Stand-in for a model that ignores the form: size facts, and nothing at all for every third length."""
+    return ["nothing" if len(p.user) % 3 == 0 else facts for p, facts in zip(prompts, facts_extractor(prompts))]
+
+
+@query
+def extract_fallback(spark, sf):
+    """A form that is never filled: one attempt without it, or a failed result with the last reason."""
+    template = [TemplateColumn("title"), TemplateColumn("item", repeating=True)]
+    out = X.extract_documents(T.document_files(spark, sf), stubborn_extractor, template, max_attempts=2)
+    return out.select("file_id", "success", F.get_json_object("data_json", "$.chars").alias("chars"), "attempt", F.col("error").isNotNull().alias("failed"))
+
+
 # --- reports -------------------------------------------------------------------------
 
 
