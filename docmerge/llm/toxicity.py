@@ -22,8 +22,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmerge.llm.common import per_process
-
 #: Labelled documents to fit on, and features of the model, at most.
 BOUND, FEATURES = 8000, 20_000
 #: Word beginnings of these lengths are features too.
@@ -50,21 +48,25 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, least: int = 3
     toxic = int(labels.sum())
     if toxic in (0, len(labels)):
         return {BIAS: -30.0}
-    held = [[{f for w in words for f in _features(w)} for *_, words in _sentences(t)] for t in texts]
-    seen, bad = Counter(), Counter()
-    for sentences, label in zip(held, labels):
-        own = set().union(*sentences) if sentences else set()
-        seen.update(own)
+    # Features are counted in the toxic documents first: only those seen there can be chosen, and others are not held.
+    bad = Counter()
+    for text, label in zip(texts, labels):
         if label:
-            bad.update(own)
-    odds = {f: (bad[f] + 0.1) / (toxic + 0.2) / ((n - bad[f] + 0.1) / (len(labels) - toxic + 0.2)) for f, n in seen.items() if bad[f] >= least}
+            bad.update({f for *_, words in _sentences(text) for w in words for f in _features(w)})
+    bad = {f: n for f, n in bad.items() if n >= least}
+    fine = dict.fromkeys(bad, 0)
+    for text, label in zip(texts, labels):
+        if not label:
+            for f in {f for *_, words in _sentences(text) for w in words for f in _features(w) if f in fine}:
+                fine[f] += 1
+    odds = {f: (n + 0.1) / (toxic + 0.2) / ((fine[f] + 0.1) / (len(labels) - toxic + 0.2)) for f, n in bad.items()}
     chosen = sorted((f for f, x in odds.items() if x > 2), key=lambda f: (-bad[f] * math.log(odds[f]), f))[:FEATURES]
     number = {f: i for i, f in enumerate(chosen)}
     rows, columns, owner = [], [], []
     plain = np.zeros(len(texts))  # sentences without any feature
-    for document, sentences in enumerate(held):
-        for own in sentences:
-            found = [number[f] for f in own if f in number]
+    for document, text in enumerate(texts):
+        for *_, words in _sentences(text):
+            found = sorted({number[f] for w in words for f in _features(w) if f in number})
             if found:
                 rows += [len(owner)] * len(found)
                 columns += found
@@ -89,7 +91,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 400, least: int = 3
 class Scorer:
     """Scores texts; the weights of words already met are kept, up to a number."""
 
-    def __init__(self, weights: dict[str, float], keep: int = 500_000):
+    def __init__(self, weights: dict[str, float], keep: int = 200_000):
         self.weights, self.bias, self.keep = weights, weights[BIAS], keep
         self.words: dict[str, float] = {}
 
@@ -135,7 +137,7 @@ def score(documents: DataFrame, weights: dict[str, float]) -> DataFrame:
     """Per document: ``doc_id``, ``score``, ``predicted``, and its worst sentence (``start``, ``end``, ``sentence_score``)."""
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = per_process(("toxicity", hash(frozenset(weights.items()))), lambda: Scorer(weights))
+        scorer = Scorer(weights)
         for batch in batches:
             found = [scorer.score(t or "") for t in batch["text"]]
             frame = pd.DataFrame(found, columns=["score", "start", "end", "sentence_score"])
