@@ -13,6 +13,7 @@ _LINE = r"[^\n\r\u2028\u2029]"  # what "." means in the label rules
 def group_key(c: Column | str) -> Column:
     """File name without extension, running number, "copy" and separators at its end."""
     name = as_col(c)
+    # Patterns of what a group key leaves out.
     steps = (
         r"\.[^.]+$",
         rf"[{SPACE}\-_.]*[\[(]?[0-9]+[\])]?[{SPACE}]*$",

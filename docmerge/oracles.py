@@ -357,6 +357,9 @@ _ORACLES |= {
     "extract_fallback": f"""WITH {_PROMPT} SELECT file_id, n % 3 <> 0 AS success, CASE WHEN n % 3 <> 0 THEN CAST(length(text) AS VARCHAR) END AS chars, 3 AS attempt,
         n % 3 = 0 AS failed FROM p""",
 }
+_ORACLES["stream_file_status"] = """SELECT CAST(user_id AS VARCHAR) AS file_id, arg_max(event_type, (ts, event_type)) AS status, count(*) AS n_events,
+    count(*) FILTER (event_type = 'file_retry') AS n_retries FROM events WHERE user_id IS NOT NULL GROUP BY user_id"""
+_ORACLES["stream_versions"] = "SELECT CAST(doc_id AS VARCHAR) AS file_id, true AS success, CAST(length(text) AS VARCHAR) AS chars FROM documents"
 _SPELLED = f"""WITH {_RES} SELECT group_id, arg_min(status, file_seq) AS status, arg_min(customer, file_seq) AS customer, min(status) = max(status) AS consistent,
     NULL AS "bare", count(DISTINCT file_name) AS n_sources FROM res WHERE success GROUP BY group_id"""
 _ORACLES["merge_nested_spelled"] = _ORACLES["merge_flat_spelled"] = _SPELLED

@@ -25,6 +25,7 @@ from docmerge.plans.extract import facts_extractor
 from docmerge.plans.prompts import extraction_prompts
 from docmerge.schemas import PivotPreset, TemplateColumn
 from docmerge.session import checkpointed, ensure_checkpoint_dir
+from docmerge.sinks.results import current_results
 from docmerge.sinks.text import csv_line
 from docmerge.sources import files as SF
 from docmerge.sources import tables as T
@@ -907,6 +908,28 @@ def stream_progress(spark, sf):
     return _run_complete(flows.stream_progress(log))
 
 
+@query
+def stream_file_status(spark, sf):
+    log = _stream(spark, sf, "events").select(F.col("event_type").alias("event"), "ts", F.col("user_id").cast("string").alias("file_id"))
+    return _run_complete(flows.stream_file_status(log))
+
+
+def silent_model(prompts):
+    return ["nothing"] * len(prompts)
+
+
+@query
+def stream_versions(spark, sf):
+    """A stream run that fails everywhere, then one on a checkpoint of its own: its results replace the failures."""
+    folder = _shared_folder(spark)
+    docs = _stream(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("file_id"), F.concat("source", F.lit("x_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.col("doc_id").alias("file_seq"), "text",
+    )
+    for run, model in enumerate((silent_model, facts_extractor)):
+        flows.stream_extract(docs, model, f"{folder}/results", f"{folder}/state{run}", "s").awaitTermination()
+    return current_results(spark, f"{folder}/results").select("file_id", "success", F.get_json_object("data_json", "$.chars").alias("chars"))
+
+
 @query
 def stream_group_counts(spark, sf):
     docs = _stream(spark, sf, "documents").select(F.concat("source", F.lit("x_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"))
