@@ -14,6 +14,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docmerge.llm import mixing, packing, pii, quality, simhash
 from docmerge.session import ensure_checkpoint_dir
@@ -24,7 +25,8 @@ ORACLE_SQL = None
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule of policy v1 rejects."""
-    return quality.judge(quality.ledger(docs), "v1", "_kept").where("_kept").select(docs.columns)
+    rows = docs.select("text", F.struct("*").alias("row"))  # whole rows in one column: no name can clash
+    return quality.keep(quality.ledger(rows), "v1").select("row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
