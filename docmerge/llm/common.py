@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: White space between words, as a Java pattern (fixed by the operators' contracts).
 SPACE = r"[\x20\x09-\x0D]+"
 
+#: Rows of one group that are ranked in one window, at most about.
+ROWS_PER_BUCKET = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,6 +25,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def id_text(name: str) -> Column:
+    """An id on its way through pandas, which would turn whole numbers beside nulls into floats."""
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def id_number(name: str) -> Column:
+    return F.col(name).cast("long").alias(name)
+
+
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
@@ -31,13 +43,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, cells: DataFrame | None = None, buckets: int = 1024) -> DataFrame:
+def ranked(rows: DataFrame, keys: list[str], order: list[str], name: str, cells: DataFrame | None = None, total: int = 0) -> DataFrame:
     """Add each row's 0-based rank in its group of ``keys`` (not null) as ``name``, and the columns of ``cells`` by ``keys``.
 
-    A group may hold any share of the rows: it is cut into buckets by a hash of ``order``, the buckets are
+    A group may hold any share of the ``total`` rows: it is cut into buckets by a hash of ``order``, the buckets are
     counted with map-side partial sums, and one task meets one bucket only. Rows alike in ``order`` are interchangeable.
     """
-    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    buckets = max(256, total // ROWS_PER_BUCKET)
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     starts = starts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

@@ -125,8 +125,9 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     """Per document: ``doc_id``, ``size``, ``source_size``, ``target``, ``rate``, ``copies`` (0 to ``most``) and ``taken`` words."""
     sizes = checkpointed(documents.select("doc_id", _source_key().alias("key"), F.size(words_of(text_of())).cast("long").alias("size")))
     cells = checkpointed(sizes.groupBy("key", "size").agg(F.count("*").alias("n")))
+    total = cells.agg(F.sum("n")).first()[0] or 0
     sources = checkpointed(source_targets(cells, weights, share, most))
-    placed = ranked(sizes, ["key", "size"], ["doc_id"], "rank", cell_copies(cells, sources, most))
+    placed = ranked(sizes, ["key", "size"], ["doc_id"], "rank", cell_copies(cells, sources, most), total)
     copies = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("rank") < F.col("copies") % F.col("n"), 1).otherwise(0)
     return placed.select("doc_id", "key", "size", "source_size", "target", "rate", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
@@ -138,16 +139,12 @@ def apply_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     Rows without id are kept once each.
     """
     taken = mix(documents, weights, share, most).where("doc_id is not null")
-    by_id = taken.groupBy("doc_id", "key", "size").agg(F.count("*").alias("_n"), F.sum("copies").alias("_copies"))
-    by_id = checkpointed(by_id)
-    names = documents.columns
-    keyed = documents.withColumns({"_key": _source_key(), "_size": F.size(words_of(text_of())).cast("long")})
-    named = by_id.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), "_n", "_copies")
-    found = keyed.join(named, (F.col("doc_id") == F.col("_id")) & (keyed["_key"] == named["_key"]) & (keyed["_size"] == named["_size"])).drop(named["_key"], named["_size"])
-    single = found.where("_n = 1").withColumn("_times", F.col("_copies"))
-    several = found.where("_n > 1")
-    place = F.row_number().over(Window.partitionBy("_id", "_key", "_size").orderBy("_size")) - 1
-    several = several.withColumn("_times", F.floor(F.col("_copies") / F.col("_n")) + F.when(place < F.col("_copies") % F.col("_n"), 1).otherwise(0))
-    repeated = single.unionByName(several).where("_times > 0")
-    repeated = repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(names)
-    return repeated.unionByName(documents.where("doc_id is null"))
+    taken = checkpointed(taken.groupBy("doc_id", "key", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")))
+    # Whole rows in one column: no name can clash.
+    rows = documents.select("doc_id", _source_key().alias("key"), F.size(words_of(text_of())).cast("long").alias("size"), F.struct("*").alias("row"))
+    found = rows.join(taken, ["doc_id", "key", "size"])
+    place = F.row_number().over(Window.partitionBy("doc_id", "key", "size").orderBy("size")) - 1
+    several = found.where("n > 1").withColumn("times", F.floor(F.col("copies") / F.col("n")) + F.when(place < F.col("copies") % F.col("n"), 1).otherwise(0))
+    repeated = found.where("n = 1").withColumn("times", F.col("copies")).unionByName(several).where("times > 0")
+    repeated = repeated.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    return repeated.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")

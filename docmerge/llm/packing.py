@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docmerge.llm.common import per_process, ranked
+from docmerge.llm.common import id_number, id_text, per_process, ranked
 from docmerge.session import checkpointed
 
 #: Token added after every document (fixed by the contract).
@@ -171,16 +171,14 @@ def _pieces(batches: Iterator[pd.DataFrame], tokens: int, folder: str | None, wi
                 rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes()), *([own] if with_ids else [])))
                 start, end, piece = end, end + tokens, piece + 1
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-        frame = pd.DataFrame(rows, columns=names)
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        yield frame
+        yield pd.DataFrame(rows, columns=names)
 
 
 def token_pieces(documents: DataFrame, tokens: int = 1024, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per piece of a document: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInPandas(lambda batches: _pieces(batches, tokens, folder, with_ids), schema)
+    schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
+    source = documents.select(id_text("doc_id"), F.col("text").cast("string"))
+    return source.mapInPandas(lambda batches: _pieces(batches, tokens, folder, with_ids), schema).withColumn("doc_id", id_number("doc_id"))
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
@@ -192,9 +190,10 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sequence, offset = made.place(batch["length"].to_numpy(np.int64), batch.pop("rank").to_numpy(np.int64))
-            batch["doc_id"] = batch["doc_id"].astype("Int64")
             yield batch.assign(sequence_id=sequence, offset=offset)
 
-    by_rank = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank")
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return by_rank.select(*names, "rank").mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    by_rank = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", total=sum(counts.values()))
+    placed = by_rank.select(id_text("doc_id"), "piece", "start", "length", "ids_crc32", "rank").mapInPandas(
+        place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    )
+    return placed.withColumn("doc_id", id_number("doc_id"))

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmerge.llm.common import id_number, id_text
+
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>"']++|"[^"]*"|'[^']*')*+(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S
 )
@@ -43,7 +45,9 @@ DROPPED = frozenset(
 NAMED = frozenset(
     "nav navbar navigation menu sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
-    "comment comments disqus replies respond breadcrumb breadcrumbs pagination pager toolbar widget complementary contentinfo masthead copyright".split()
+    "comment comments disqus replies respond breadcrumb breadcrumbs pagination pager toolbar widget complementary contentinfo masthead copyright "
+    "topnav sidenav mainnav topbar bottombar sidebars sidemenu commentlist commentarea usercomments cookiebar cookiebanner adsense adsbygoogle adbox adslot "
+    "adcontainer banners ribbon disclaimer skiplink".split()
 )
 WHOLE = frozenset(("html", "body", "main", "article"))
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -219,10 +223,11 @@ def main_text(page: str | None) -> str:
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         texts = [main_text(page) for page in batch.pop("html")]
-        yield batch.astype({"page_id": "Int64"}).assign(text=texts, n_chars=[len(t) for t in texts])
+        yield batch.assign(text=texts, n_chars=[len(t) for t in texts])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per page: ``page_id``, ``url``, ``text`` and ``n_chars`` (code points)."""
-    source = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return source.mapInPandas(_extract, "page_id long, url string, text string, n_chars long")
+    source = pages.select(id_text("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
+    found = source.mapInPandas(_extract, "page_id string, url string, text string, n_chars long")
+    return found.withColumn("page_id", id_number("page_id"))

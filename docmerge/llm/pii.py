@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmerge.llm.common import id_number, id_text
+
 KINDS = ("email", "ip", "card", "phone")
 
 # Fixed by the contract; the guards before a digit only save retries inside of one run of digits.
@@ -207,14 +209,14 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base, every = all_spans(text or "")
             counts = [sum(k == kind for k, _, _ in base) for kind in range(len(KINDS))]
             rows.append((doc_id, *counts, hashlib.sha256(_written(base).encode()).hexdigest(), _written(every), len(every) - len(base)))
-        frame = pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
-        yield frame.astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
 
 def find(documents: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, base counts by kind, ``base_sha256``, ``spans`` (all), ``n_added``."""
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInPandas(_found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    source = documents.select(id_text("doc_id"), F.col("text").cast("string"))
+    found = source.mapInPandas(_found, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.withColumn("doc_id", id_number("doc_id"))
 
 
 def redact(documents: DataFrame) -> DataFrame:

@@ -179,7 +179,8 @@ def near_links(fingerprints: DataFrame, bits: int = BITS, leaf: int = LEAF) -> D
     """Links (a, b) that connect all of the distinct ``fingerprint`` values which differ in at most ``bits`` bits."""
     total = fingerprints.count()
     most = SAMPLE_PER_LEAF << int(np.clip(np.ceil(np.log2(max(1.0, total / leaf))), 0, MOST_LEVELS))
-    chosen = fingerprints.select("fingerprint").orderBy(F.xxhash64("fingerprint"), "fingerprint").limit(max(1024, most))
+    share = max(1, total // max(1024, most))  # the values are distinct, so their hashes choose about `most` of them
+    chosen = fingerprints.select("fingerprint").where(F.pmod(F.xxhash64("fingerprint"), F.lit(share)) == 0)
     sample = np.array([r[0] for r in chosen.collect()], dtype=np.int64)
     radius = bits // HALVES
     trees = [build_shards(sample, total, half, radius, leaf) for half in range(HALVES)]
@@ -204,9 +205,8 @@ def keep_first(documents: DataFrame, bits: int = BITS) -> DataFrame:
     Ids are looked up in narrow rows; only ids that occur twice meet in a shuffle of whole rows.
     """
     found = checkpointed(near_duplicates(documents, bits))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_times"))
-    single = documents.join(kept, "doc_id")
-    once = single.where("_times = 1").drop("_times")
-    names = once.columns
-    again = single.where("_times > 1").drop("_times").dropDuplicates(["doc_id"]).select(names)
-    return once.unionByName(again).unionByName(documents.where("doc_id is null").select(names)).select(documents.columns)
+    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    rows = documents.select("doc_id", F.struct("*").alias("row"))  # whole rows in one column: no name can clash
+    single = rows.join(kept, "doc_id")
+    again = single.where("times > 1").dropDuplicates(["doc_id"])
+    return single.where("times = 1").select("row").unionByName(again.select("row")).unionByName(rows.where("doc_id is null").select("row")).select("row.*")

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docmerge.llm.common import id_number, id_text
+
 #: Labelled documents to fit on, and features of the model, at most.
 BOUND, FEATURES = 8000, 20_000
 #: Word beginnings of these lengths are features too.
@@ -121,7 +123,8 @@ class Scorer:
 def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict[str, float]:
     """Weights from at most ``bound`` labelled documents (``labels``: doc_id, toxic)."""
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    share = max(1, known.count() // (2 * bound))  # leaves about twice the bound to sort
+    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(bound)
     rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `bound` ids
 
     def train_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +144,8 @@ def score(documents: DataFrame, weights: dict[str, float]) -> DataFrame:
         for batch in batches:
             found = [scorer.score(t or "") for t in batch["text"]]
             frame = pd.DataFrame(found, columns=["score", "start", "end", "sentence_score"])
-            yield frame.assign(doc_id=batch["doc_id"].astype("Int64").array, predicted=(frame["score"] >= 0.5).astype("int32"))[["doc_id", "score", "predicted", "start", "end", "sentence_score"]]
+            yield frame.assign(doc_id=batch["doc_id"].array, predicted=(frame["score"] >= 0.5).astype("int32"))[["doc_id", "score", "predicted", "start", "end", "sentence_score"]]
 
-    source = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInPandas(scored, "doc_id long, score double, predicted int, start long, end long, sentence_score double")
+    source = documents.select(id_text("doc_id"), F.col("text").cast("string"))
+    found = source.mapInPandas(scored, "doc_id string, score double, predicted int, start long, end long, sentence_score double")
+    return found.withColumn("doc_id", id_number("doc_id"))

@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmerge.session import checkpointed
+
 #: Suffixes of two labels; others are the last label.
 SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
 LEVELS = ("suffix", "domain", "host")
@@ -67,7 +69,7 @@ def _spread(groups: DataFrame, least: float = 1.0, most: float = 1000.0) -> Data
 def reputations(outcomes: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     """Beta posteriors (``a``, ``b``) by host from outcomes (host, good), and that of a host never seen."""
     counts = outcomes.where("good is not null").groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("k"), F.count("*").alias("n"))
-    counts = counts.withColumns(host_levels(F.col("host")))
+    counts = checkpointed(counts.withColumns(host_levels(F.col("host"))))
     total = counts.agg(F.sum("k"), F.sum("n")).first()
     rate = ((total[0] or 0) + 1.0) / ((total[1] or 0) + 2.0)
     above = None

@@ -69,6 +69,26 @@ def test_pipeline_of_an_empty_table_and_nulls(spark, sf, tmp_path):
         assert (docs.count() > 0) == bool(rows)
 
 
+def test_clashing_names_and_large_ids(spark, sf, tmp_path):
+    """Further columns come through under any name, and ids beyond 2^53 stay exact beside nulls."""
+    clash = "_times long, row string, key string, copies long, n_words long, failure_bits string, times int, _kept int, component_id long, size int"
+    base = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    names = base.columns
+    extra = [part.split() for part in clash.split(", ")]
+    docs = base.selectExpr("doc_id + 9007199254740993 AS doc_id", *names[1:], *(f"cast(doc_id AS {kind}) AS `{name}`" for name, kind in extra))
+    docs = docs.unionByName(docs.limit(1).selectExpr("cast(null AS long) AS doc_id", *docs.columns[1:]))
+    docs.write.parquet(str(tmp_path / "in"))
+    docs, known = spark.read.parquet(str(tmp_path / "in")), {r["doc_id"] for r in docs.collect()}
+    columns = docs.columns
+    for at, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if at < 4:
+            assert docs.columns == columns
+            assert all(r["doc_id"] is None or str(r["doc_id"] - 9007199254740993) == r["row"] for r in docs.collect())
+    assert {r["doc_id"] for r in docs.collect()} <= known
+
+
 def test_library_does_not_import_the_subpackage():
     top = os.path.join(os.path.dirname(entry.__file__), "docmerge")
     for folder, _, files in os.walk(top):
