@@ -17,6 +17,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,15 +60,14 @@ def _coded(vectors: pd.Series, bits: int, tables: int) -> pd.Series:
     return out
 
 
-def _bucket_links(bucket: pd.DataFrame, least: float) -> pd.DataFrame:
+def _bucket_links(bucket: pa.Table, least: float) -> pa.Table:
     """Per vector of a bucket (or pair of blocks): how many rows it newly links with, and the root of its local component."""
-    table = int(bucket["table"].iloc[0])
-    first, second = int(bucket["one"].iloc[0]), int(bucket["two"].iloc[0])
-    bucket = bucket.sort_values("id", kind="stable")
-    unit = np.stack(bucket["vector"].to_list()).astype(float)
+    table, first, second = (bucket[name][0].as_py() for name in ("table", "one", "two"))
+    ids, times, block = (bucket[name].to_numpy() for name in ("id", "times", "block"))
+    unit, codes = (bucket[name].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) for name in ("vector", "codes"))
+    order = np.argsort(ids, kind="stable")  # a root is the smallest id
+    ids, times, block, unit, codes = ids[order], times[order], block[order], unit[order].astype(float), codes[order]
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    codes = np.stack(bucket["codes"].to_list())[:, :table]
-    ids, times, block = (bucket[c].to_numpy(np.int64) for c in ("id", "times", "block"))
     rows, columns = np.flatnonzero(block == first), np.flatnonzero(block == second)
     links, parent = np.zeros(len(ids)), np.arange(len(ids))
     for start in range(0, len(rows), ROWS):
@@ -76,14 +76,14 @@ def _bucket_links(bucket: pd.DataFrame, least: float) -> pd.DataFrame:
         i, j = part[i], columns[j]
         new = i < j if first == second else np.ones(len(i), bool)
         i, j = i[new], j[new]
-        unite(parent, i, j)
         for earlier in range(table):
             new = codes[i, earlier] != codes[j, earlier]
             i, j = i[new], j[new]
+        unite(parent, i, j)  # pairs of earlier tables are united there
         links += np.bincount(i, times[j], len(ids)) + np.bincount(j, times[i], len(ids))
     root = ids[find(parent, np.arange(len(ids)))]
-    out = pd.DataFrame({"id": ids, "links": links.astype(np.int64), "root": root})
-    return out[(out["links"] > 0) | (out["root"] != out["id"])]
+    told = (links > 0) | (root != ids)
+    return pa.table({"id": ids[told], "links": links[told].astype(np.int64), "root": root[told]})
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.95, miss: float = 1e-4, block: int = BLOCK, vector: str = "embedding") -> DataFrame:
@@ -107,7 +107,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.95, miss: float = 1e
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("other")
     met = spread.select("*", other).withColumns({"one": F.least("block", "other"), "two": F.greatest("block", "other")})
     met = met.select("table", "code", "length", "one", "two", "block", "id", "times", "vector", "codes")
-    found = checkpointed(met.groupBy("table", "code", "length", "one", "two").applyInPandas(lambda b: _bucket_links(b, least), "id long, links long, root long"))
+    found = checkpointed(met.groupBy("table", "code", "length", "one", "two").applyInArrow(lambda b: _bucket_links(b, least), "id long, links long, root long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     by_group = groups.select(F.col("group"), F.col("id").alias("first_id"), "times")
