@@ -56,6 +56,11 @@ def source_targets(cells: DataFrame, weights: Sequence[float], share: float, mos
     return sources.select("key", "source_size", "n", target.alias("target"))
 
 
+def _exact_sum(value: F.Column) -> F.Column:
+    """A sum that does not depend on the order of the rows, so that reruns agree to the last bit."""
+    return F.sum(value.cast("decimal(30,9)")).cast("double")
+
+
 def tilts(cells: DataFrame, sources: DataFrame, most: float, tolerance: float = 1e-8, steps: int = 80) -> DataFrame:
     """Per source key the dual variable ``tilt``; null where the target is the limit itself (every rate is ``most``)."""
     zero, none = F.lit(0.0), F.lit(None).cast("double")
@@ -71,8 +76,8 @@ def tilts(cells: DataFrame, sources: DataFrame, most: float, tolerance: float =
         raw = F.exp(F.least(F.col("tilt") * x, F.lit(700.0)))
         weight = F.col("n") * F.col("size")
         sums = cells.join(state, "key").where("tilt is not null").groupBy("key", "target", "mean", "tilt", "low", "high").agg(
-            F.sum(weight * F.least(raw, F.lit(float(most)))).alias("value"),
-            F.sum(F.when(raw < most, weight * raw * x).otherwise(zero)).alias("slope"),
+            _exact_sum(weight * F.least(raw, F.lit(float(most)))).alias("value"),
+            _exact_sum(F.when(raw < most, weight * raw * x).otherwise(zero)).alias("slope"),
         )
         gap = F.col("value") - F.col("target")
         sums = sums.withColumns({"gap": gap, "low": F.when(gap <= 0, F.col("tilt")).otherwise(F.col("low")), "high": F.when(gap > 0, F.col("tilt")).otherwise(F.col("high"))})
