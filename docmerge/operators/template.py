@@ -95,17 +95,19 @@ def candidates_by_key(spark: SparkSession, template: Template) -> dict[str, list
     return found
 
 
-def resolve_template_json(df: DataFrame, column: str, template: Template) -> DataFrame:
-    """As ``resolve_template`` for a column of JSON objects; nothing is shuffled."""
+def resolve_template_json(df: DataFrame, column: str, template: Template, nulls: bool = False) -> DataFrame:
+    """As ``resolve_template`` for a column of JSON objects; nothing is shuffled.
+
+    With ``nulls`` a column that is not found is a row too, with a null value.
+    """
     cells = [
         f"named_struct('pos', {pos}, 'key', {sql_string(key)}, 'hit', {resolve_sql('np', key, names)})"
         for pos, (key, names) in enumerate(candidates_by_key(df.sparkSession, template).items())
     ]
     found = bind(with_norm_sql(pairs_sql(quoted(column), loose=True)), "np", f"array({', '.join(cells)})")
-    hits = df.withColumn("__hits", F.expr(f"filter({found}, c -> c.hit.kind <> 'null')"))
-    return hits.select(*df.columns, F.inline("__hits").alias("pos", "key", "hit")).withColumn(
-        "value", normalize_value("hit")
-    ).drop("hit")
+    hits = df.withColumn("__hits", F.expr(found if nulls else f"filter({found}, c -> c.hit.kind <> 'null')"))
+    value = F.when(F.col("hit.kind") != "null", normalize_value("hit"))
+    return hits.select(*df.columns, F.inline("__hits").alias("pos", "key", "hit")).withColumn("value", value).drop("hit")
 
 
 def template_mismatch(entry_keys: Column, template_norm: dict[str, str]) -> Column:

@@ -205,7 +205,8 @@ _ORACLES: dict[str, str] = {
     "preview_rows": f"""WITH {_RES} SELECT group_id, min(file_seq) AS group_seq, {', '.join(f'arg_min({k}, file_seq) AS {k}' for k in _HKEYS)}
         FROM res WHERE success GROUP BY group_id ORDER BY group_seq LIMIT 5""",
     "resolve_template": f"""WITH {_RES} SELECT file_id, 'c/customer' AS key, customer AS value FROM res
-        UNION ALL SELECT file_id, 'state/status', status FROM res UNION ALL SELECT file_id, 'priority', priority FROM res""",
+        UNION ALL SELECT file_id, 'state/status', status FROM res UNION ALL SELECT file_id, 'priority', priority FROM res
+        UNION ALL SELECT file_id, 'remarks', NULL FROM res""",
     "resolve_template_cells": f"""WITH {_RES}, {_ENT} SELECT file_id, CAST(0 AS BIGINT) AS entry_idx, 'c/customer' AS key, customer AS value FROM res
         UNION ALL SELECT file_id, 0, 'state/status', status FROM res UNION ALL SELECT file_id, 0, 'priority', priority FROM res
         UNION ALL SELECT file_id, entry_idx, 'amount/qty', qty FROM ent JOIN res USING (file_id)""",
@@ -360,6 +361,11 @@ _ORACLES |= {
 _ORACLES["stream_file_status"] = """SELECT CAST(user_id AS VARCHAR) AS file_id, arg_max(event_type, (ts, event_type)) AS status, count(*) AS n_events,
     count(*) FILTER (event_type = 'file_retry') AS n_retries FROM events WHERE user_id IS NOT NULL GROUP BY user_id"""
 _ORACLES["stream_versions"] = "SELECT CAST(doc_id AS VARCHAR) AS file_id, true AS success, CAST(length(text) AS VARCHAR) AS chars FROM documents"
+_ORACLES["reject_reasons"] = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'no_json' WHEN 1 THEN 'empty' WHEN 2 THEN 'too_few_fields' WHEN 3 THEN 'joined_header_keys'
+      WHEN 5 THEN 'too_few_fields' END AS reject_reason,
+    CASE o_orderkey % 6 WHEN 4 THEN '{"box-a-b":' || o_orderkey || ',"box-c":"1; 2"}' END AS data_json FROM orders"""
+_ORACLES["reject_reasons_guided"] = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_entries' WHEN 2 THEN 'all_null' WHEN 3 THEN 'all_null' END AS reject_reason,
+    CASE o_orderkey % 5 WHEN 4 THEN '{"status":"' || o_orderstatus || '"}' END AS header_json, CASE o_orderkey % 5 WHEN 4 THEN '{"line":1}|{"line":null}' END AS entries FROM orders"""
 _SPELLED = f"""WITH {_RES} SELECT group_id, arg_min(status, file_seq) AS status, arg_min(customer, file_seq) AS customer, min(status) = max(status) AS consistent,
     NULL AS "bare", count(DISTINCT file_name) AS n_sources FROM res WHERE success GROUP BY group_id"""
 _ORACLES["merge_nested_spelled"] = _ORACLES["merge_flat_spelled"] = _SPELLED

@@ -390,7 +390,7 @@ _SLASHED = [TemplateColumn("c/customer"), TemplateColumn("state/status"), Templa
 
 @query
 def resolve_template(spark, sf):
-    return TP.resolve_template_json(T.order_results(spark, sf), "header_json", _SLASHED).select("file_id", "key", "value")
+    return TP.resolve_template_json(T.order_results(spark, sf), "header_json", _SLASHED, nulls=True).select("file_id", "key", "value")
 
 
 @query
@@ -658,6 +658,30 @@ def validate_flat(spark, sf):
     )
 
 
+@query
+def reject_reasons(spark, sf):
+    """Answers that flat mode refuses, one for each of its checks, among good ones."""
+    k = F.col("o_orderkey")
+    text = (
+        F.when(k % 6 == 0, F.lit(None)).when(k % 6 == 1, "{}").when(k % 6 == 2, '{"a":1}').when(k % 6 == 3, '{"a-b-c-d-e-f":1,"x":2}')
+        .when(k % 6 == 4, F.concat(F.lit('{"box":{"a":{"b":'), k.cast("string"), F.lit('},"c":[1,2]}}'))).otherwise('[1,{"x":2}]')
+    )
+    checked = V.validate_flat(T.table(spark, sf, "orders").select(k, text.alias("doc")), "doc")
+    return checked.select("o_orderkey", "reject_reason", "data_json")
+
+
+@query
+def reject_reasons_guided(spark, sf):
+    k = F.col("o_orderkey")
+    text = (
+        F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, '{"status":"a"}').when(k % 5 == 2, '{"status":null,"entries":[{"line":null}]}')
+        .when(k % 5 == 3, '{"entries":[{}],"状态":"x"}').otherwise(F.concat(F.lit('{"status":"'), F.col("o_orderstatus"), F.lit('","entries":[{"line":1},{"no":2}]}')))
+    )
+    template = [TemplateColumn("status"), TemplateColumn("line", repeating=True)]
+    checked = V.validate_schema_guided(T.table(spark, sf, "orders").select(k, text.alias("json")), template)
+    return checked.select("o_orderkey", "reject_reason", "header_json", F.array_join("entries_json", "|").alias("entries"))
+
+
 def _guided_responses(spark, sf):
     orders = T.table(spark, sf, "orders")
     line = lambda c: F.struct(F.col(c).alias("1-line"), F.lit("x").alias("junk"))

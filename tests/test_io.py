@@ -40,6 +40,13 @@ def put(folder, name, content):
         f.write(content if isinstance(content, bytes) else content.encode())
 
 
+def run_to_memory(df, name, mode="append"):
+    """Drive a stream over all that is there now and return its output table."""
+    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.table(name)
+
+
 def read_parts(path, suffix):
     names = sorted(n for n in os.listdir(path) if n.endswith(suffix) and n.startswith("part"))
     return [open(os.path.join(path, n), "rb").read() for n in names]
@@ -121,7 +128,7 @@ def test_event_log_report(spark, tmp_path):
     assert R.run_errors(log).head().message == "stop" and R.run_phases(log).head().phase == "grouping"
     assert R.run_groups(log).head().group_key == "g" and R.run_retries(log).head().n_retries == 1
     stream = flows.stream_progress(flows.stream_event_log(spark, str(tmp_path)))
-    live = flows.run_to_memory(stream, "live", "complete")
+    live = run_to_memory(stream, "live", "complete")
     assert {r.event: r["count"] for r in live.collect()} == {k: v.n_events for k, v in report.items()}
 
 
@@ -326,11 +333,11 @@ def test_stream_counts_dedup_ttl(spark, tmp_path):
     df = spark.createDataFrame(rows, "file_name string, file_id string, created_at timestamp")
     df.write.parquet(path)
     stream = lambda: spark.readStream.schema(df.schema).parquet(path)
-    counts = flows.run_to_memory(flows.stream_group_counts(stream()), "counts", "complete")
+    counts = run_to_memory(flows.stream_group_counts(stream()), "counts", "complete")
     assert {r.group_id: r.file_count for r in counts.collect()} == {"a": 3, "b": 1}
-    once = flows.run_to_memory(flows.stream_dedup(stream(), "10 days"), "once")
+    once = run_to_memory(flows.stream_dedup(stream(), "10 days"), "once")
     assert sorted(r.file_id for r in once.collect()) == ["f1", "f2", "f3"]
-    alive = flows.run_to_memory(flows.stream_session_ttl(stream()), "alive")
+    alive = run_to_memory(flows.stream_session_ttl(stream()), "alive")
     assert sorted(r.file_id for r in alive.collect()) == ["f1", "f2", "f2"]
 
 
