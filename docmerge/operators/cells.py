@@ -174,6 +174,11 @@ def key_counts(cells: DataFrame, key: str = "raw_key") -> DataFrame:
     return cells.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def keys_by_count(cells: DataFrame, key: str = "raw_key") -> DataFrame:
+    """``key_counts``, most frequent first, then by key."""
+    return key_counts(cells, key).orderBy(F.desc("count"), "key")
+
+
 def first_n_samples(cells: DataFrame, n: int = 3) -> DataFrame:
     """First ``n`` non-null values per key (each map task keeps its own first ``n`` only)."""
     order = Window.partitionBy("raw_key").orderBy("file_seq", "file_id", "entry_idx", "key_pos")

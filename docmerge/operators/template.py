@@ -38,6 +38,11 @@ def valid_template(columns: DataFrame) -> DataFrame:
         "key", "c.*"
     )
 
+def template_from_answers(answers: DataFrame, column: str = "json") -> DataFrame:
+    """Usable template rows of answers to ``template_prompt`` (a JSON object with ``columns``)."""
+    schema = "columns array<struct<key:string,type:string,description:string,example:string,repeating:boolean>>"
+    return valid_template(answers.select(F.posexplode(F.from_json(column, schema)["columns"]).alias("pos", "c")).select("pos", "c.*"))
+
 def template_candidates(spark: SparkSession, template: Template) -> list[tuple[int, str, str, int]]:
     """(pos, key, clean candidate, priority): the whole key first, then the parts of a/b/c keys."""
     names = [[c.key, *(c.key.split("/") if "/" in c.key else [])] for c in template]

@@ -366,6 +366,12 @@ _ORACLES["reject_reasons"] = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 TH
     CASE o_orderkey % 6 WHEN 4 THEN '{"box-a-b":' || o_orderkey || ',"box-c":"1; 2"}' END AS data_json FROM orders"""
 _ORACLES["reject_reasons_guided"] = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_entries' WHEN 2 THEN 'all_null' WHEN 3 THEN 'all_null' END AS reject_reason,
     CASE o_orderkey % 5 WHEN 4 THEN '{"status":"' || o_orderstatus || '"}' END AS header_json, CASE o_orderkey % 5 WHEN 4 THEN '{"line":1}|{"line":null}' END AS entries FROM orders"""
+_ORACLES["template_prompt"] = f"""WITH {_RES}, {_ENT}, {_HCELLS}, {_ECELLS}, c AS (SELECT key, value, file_seq, 0 AS entry_idx FROM hcells
+      UNION ALL SELECT key, value, file_seq, entry_idx FROM ecells JOIN res USING (file_id)),
+    r AS (SELECT key, value[1:80] AS v, row_number() OVER (PARTITION BY key ORDER BY file_seq, entry_idx) AS n FROM c),
+    l AS (SELECT '- ' || key || ': ' || string_agg(v, ' | ' ORDER BY n) AS line FROM r WHERE n <= 3 GROUP BY key)
+    SELECT 'Fields:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS user_prompt FROM l"""
+_ORACLES["template_from_answers"] = """SELECT DISTINCT p_brand AS key, 'string' AS type FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 4 <> 0"""
 _SPELLED = f"""WITH {_RES} SELECT group_id, arg_min(status, file_seq) AS status, arg_min(customer, file_seq) AS customer, min(status) = max(status) AS consistent,
     NULL AS "bare", count(DISTINCT file_name) AS n_sources FROM res WHERE success GROUP BY group_id"""
 _ORACLES["merge_nested_spelled"] = _ORACLES["merge_flat_spelled"] = _SPELLED

@@ -63,6 +63,18 @@ def extraction_prompts(
 
 _ANSWER_FORM = """{"entries": [{"key": "value"}], "conflicts": [{"field": "key", "values": ["source: value"]}]}"""
 
+TEMPLATE_SYSTEM = """A list of field names with sample values follows. Propose a table for them: one JSON object in this form and nothing else:
+{"columns": [{"key": "name", "type": "string, number or boolean", "description": "what it holds", "example": "a value", "repeating": false}]}
+A column without a key, of another type or without a description is dropped; of equal keys the first is kept. Columns of line items are repeating."""
+
+
+def template_prompt(samples: DataFrame) -> DataFrame:
+    """One prompt for a template from the samples of each key (``field_samples``); as long as there are keys."""
+    line = F.concat(F.lit("- "), F.col("key"), F.lit(": "), F.array_join("samples", " | "))
+    lines = samples.agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    return lines.select(F.lit(TEMPLATE_SYSTEM).alias("system_prompt"), F.concat(F.lit("Fields:\n"), F.col("lines")).alias("user_prompt"))
+
+
 MERGE_SYSTEM = f"""A list of objects follows; each has a file name and the fields read from that file. Some may be results of an earlier merge, in the form below.
 Write one JSON object in this form and nothing else:
 {_ANSWER_FORM}

@@ -23,6 +23,7 @@ from docmerge.plans import model_merge as MM
 from docmerge.plans.align import merge_results
 from docmerge.plans.extract import facts_extractor
 from docmerge.plans.prompts import extraction_prompts
+from docmerge.plans.prompts import template_prompt as template_prompt_of
 from docmerge.schemas import PivotPreset, TemplateColumn
 from docmerge.session import checkpointed, ensure_checkpoint_dir
 from docmerge.sinks.results import current_results
@@ -189,6 +190,24 @@ def field_samples(spark, sf):
     )
 
 
+@query
+def template_prompt(spark, sf):
+    prompt = template_prompt_of(C.field_samples(C.to_cells(*_results(spark, sf))))
+    return prompt.select("user_prompt")
+
+
+@query
+def template_from_answers(spark, sf):
+    """Columns proposed for parts: unknown types, blank keys and repeated keys are dropped."""
+    p = F.col("p_partkey")
+    column = F.struct(
+        F.when(p % 9 == 0, " ").otherwise(F.col("p_brand")).alias("key"), F.when(p % 4 == 0, "date").otherwise("string").alias("type"),
+        F.col("p_name").alias("description"), F.col("p_type").alias("example"), (p % 2 == 0).alias("repeating"),
+    )
+    answers = T.table(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.sort_array(F.collect_list(column)).alias("columns"))).alias("json"))
+    return TP.template_from_answers(answers).select("key", "type")
+
+
 @query
 def value_preview(spark, sf):
     cells = C.to_cells(*_results(spark, sf))
