@@ -221,8 +221,7 @@ _ORACLES: dict[str, str] = {
     "pivot_wide": f"""WITH {_NESTED}, f AS (SELECT group_id, flag, linestatus, arg_min(qty, entry_idx) AS qty, arg_min(part, entry_idx) AS part
           FROM rows GROUP BY ALL)
         SELECT h.group_id, h.group_seq, h.group_id AS _label, h.customer, h.segment, h.status, h.priority,
-        {', '.join(f"max({v}) FILTER (flag = '{a}' AND linestatus = '{b}') AS " + f'"{a}_{b}_{v}"' for a in 'ANR' for b in 'FO' for v in ('qty', 'part'))},
-        {', '.join(f"CAST(NULL AS VARCHAR) AS " + f'"(empty)_{v}"' for v in ('qty', 'part'))}
+        {', '.join(f"max({v}) FILTER (flag = '{a}' AND linestatus = '{b}') AS " + f'"{a}_{b}_{v}"' for a in 'ANR' for b in 'FO' for v in ('qty', 'part'))}
         FROM head h JOIN f USING (group_id) GROUP BY ALL""",
     "pivot_cells": f"""WITH {_NESTED},
         p1 AS (SELECT group_id, coalesce(flag, '') AS f, coalesce(linestatus, '') AS s, min(entry_idx) AS i FROM rows GROUP BY ALL),
