@@ -4,6 +4,8 @@ Labelled outcomes of pages are summed per host, registered domain and suffix. Ea
 distribution around the posterior mean of the level above, whose strength comes from the spread of the
 rates by moments; the host's posterior then gives a bound, and pages whose host is bad beyond doubt are blocked.
 
+A host without outcomes is judged by its registered domain, that by its suffix, and only a suffix without outcomes by the overall rate.
+
 Nulls: a null URL, or one without ``://``, has an empty host and path and, without outcomes, the overall rate.
 Outcomes with a null mark are left out. Repeated rows are judged and counted one by one; of equally long rules the one
 later in code point order wins. Empty tables of outcomes leave every page to the rules and allow the rest. Columns other
@@ -66,9 +68,14 @@ def _spread(groups: DataFrame, least: float = 1.0, most: float = 1000.0) -> Data
     return groups.agg(F.coalesce(F.least(F.lit(most), F.greatest(F.lit(least), strength)), F.lit(most)).alias("strength"))
 
 
-def reputations(outcomes: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
-    """Beta posteriors (``a``, ``b``) by host from outcomes (host, good), and that of a host never seen."""
-    counts = outcomes.where("good is not null").groupBy("host").agg(F.sum(F.col("good").cast("long")).alias("k"), F.count("*").alias("n"))
+def reputations(outcomes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """Beta posteriors (``a``, ``b``) by host from outcomes (host, good), also for ``hosts`` (host) that have none.
+
+    A host without outcomes takes part with none of none: sums and strengths stay as they are, and its posterior is the prior of its level.
+    """
+    counted = outcomes.where("good is not null").select("host", F.col("good").cast("long").alias("k"), F.lit(1).alias("n"))
+    unseen = hosts.select("host", F.lit(0).cast("long").alias("k"), F.lit(0).alias("n"))
+    counts = counted.unionByName(unseen).groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
     counts = checkpointed(counts.withColumns(host_levels(F.col("host"))))
     total = counts.agg(F.sum("k"), F.sum("n")).first()
     rate = ((total[0] or 0) + 1.0) / ((total[1] or 0) + 2.0)
@@ -81,7 +88,7 @@ def reputations(outcomes: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
         a, b = F.col("k") + strength * F.col("prior"), F.col("n") - F.col("k") + strength * (1 - F.col("prior"))
         posterior = groups.select(*keys, a.alias("a"), b.alias("b"))
         above = posterior.select(*keys, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"))
-    return posterior.select("host", "a", "b"), (strength * rate, strength * (1 - rate))
+    return posterior.select("host", "a", "b")
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]], least_good: float = 0.5, z: float = 1.645) -> DataFrame:
@@ -90,9 +97,9 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str,
     ``outcomes``: (url, good), good 1 or 0. Without a fitting rule a page is blocked when the upper
     posterior bound of its host's good rate is below ``least_good``.
     """
-    by_host, (a0, b0) = reputations(outcomes.select(host_of(F.col("url")).alias("host"), "good"))
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = parts.join(by_host, "host", "left").withColumns({"a": F.coalesce("a", F.lit(a0)), "b": F.coalesce("b", F.lit(b0))})
+    by_host = reputations(outcomes.select(host_of(F.col("url")).alias("host"), "good"), parts)
+    judged = parts.join(by_host, "host")
     rate = F.col("a") / (F.col("a") + F.col("b"))
     deviation = F.sqrt(rate * (1 - rate) / (F.col("a") + F.col("b") + 1))
     judged = judged.withColumns({"good_rate": rate, "bound": rate + z * deviation, "fit": matching_rule(F.col("host"), F.col("path"), rules)})

@@ -177,6 +177,17 @@ def test_host_reputation_shrinks_and_blocks(spark):
     assert got[0]["good_rate"] < got[2]["good_rate"] < got[3]["good_rate"] < got[1]["good_rate"]  # one bad page is shrunk to its domain
 
 
+def test_host_without_outcomes_takes_its_domain_then_its_suffix(spark):
+    rows = [(f"http://h{i}.spam.net/1", 0) for i in range(40) for _ in range(50)] + [("http://good.fine.org/1", 1)] * 3000
+    outcomes = spark.createDataFrame(rows, "url string, good int")
+    asked = ["http://new.spam.net/", "http://other.net/", "http://new.fine.org/", "http://never.seen.io/", None]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge_urls(pages, outcomes, RULES).collect()}
+    overall = 3001 / 5002
+    assert got[0]["verdict"] == "block" and got[0]["good_rate"] < got[1]["good_rate"] < overall < got[2]["good_rate"]
+    assert got[3]["good_rate"] == pytest.approx(overall) and got[4]["good_rate"] == pytest.approx(overall)
+
+
 def test_chat_digest_of_the_extra_conversation(spark, sf):
     from docmerge.llm.queries import op10_chat_format
 
