@@ -1,6 +1,6 @@
 """Main text of web pages by composite text density.
 
-A page becomes a tree. Elements that are boilerplate by their kind, role or class are left out; for every other node characters, tags, link characters and
+A page becomes a tree. Elements that are boilerplate by their kind, or by role, class or id unless they hold the article, are left out; for every other node characters, tags, link characters and
 link tags are summed, and the composite density weighs characters per tag by how far text and tags outweigh
 links. The node whose children's densities have the greatest sum holds the article. The least density on its path to
 the body is the threshold for what else on the page is kept. An ``article`` or ``main`` element around the found node is taken whole.
@@ -28,7 +28,7 @@ _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[a-zA-Z][^>]*(?:>|\Z)|<[a-zA-Z](?:[^>"']++|"[^"]*"|'[^']*')*+(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S
 )
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_MARKS = re.compile(r"""(?i)(?<![^\s"'])(class|id|role|style|hidden|aria-hidden|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_ATTRIBUTE = re.compile(r"""([^\s/>="'][^\s/>=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]*+))?+|"[^"]*"|'[^']*'""")
 _PART = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -41,7 +41,9 @@ DROPPED = frozenset(
     "head script style noscript template nav footer aside form button select input textarea label iframe svg canvas object menu dialog datalist map "
     "audio video search title xmp noembed noframes fieldset".split()
 )
-#: Words in classes, ids and roles that name boilerplate.
+#: Words before the last one of a class or id that say what its element has, not what it is.
+HAS = frozenset("has no with without".split())
+#: Words that name boilerplate as a class, id or role, or as its last part.
 NAMED = frozenset(
     "nav navbar navigation menu sidebar footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies "
     "consent notice notices alert gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
@@ -49,41 +51,59 @@ NAMED = frozenset(
     "topnav sidenav mainnav topbar bottombar sidebars sidemenu commentlist commentarea usercomments cookiebar cookiebanner adsense adsbygoogle adbox adslot "
     "adcontainer banners ribbon disclaimer skiplink".split()
 )
+#: Of these, what names the words of readers and other articles: they may outweigh a page's article and are never taken for a wrapper of it.
+BESIDE = frozenset("comment comments disqus replies respond commentlist commentarea usercomments related recommended".split())
 WHOLE = frozenset(("html", "body", "main", "article"))
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_SCOPE = frozenset("ul ol dl table div section article body html blockquote aside nav td th".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skipped", "chars", "tags", "link_chars", "link_tags", "density", "total", "role")
+    __slots__ = ("tag", "parent", "children", "skipped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "role")
 
-    def __init__(self, tag: str, parent: Node | None, skipped: bool = False, role: str = ""):
-        self.tag, self.parent, self.skipped, self.role = tag, parent, skipped, role
+    def __init__(self, tag: str, parent: Node | None, skipped: bool = False, role: str = "", named: str = ""):
+        self.tag, self.parent, self.skipped, self.role, self.named = tag, parent, skipped, role, named
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _boilerplate(tag: str, token: str, parent: Node) -> tuple[bool, str]:
-    """Whether an element is left out, and its role."""
+def _attributes(token: str, tag: str) -> dict[str, str]:
+    """A start tag's attributes, each name with its value consumed in turn; the first of equal names counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(token, len(tag) + 1):
+        if name:
+            found.setdefault(name.lower(), (value[1:-1] if value[:1] in ("'", '"') and value[-1:] == value[:1] and len(value) > 1 else value).lower())
+    return found
+
+
+def _name_of(value: str) -> str:
+    """The first word of a class, id or role that names boilerplate, itself or by its last part."""
+    for word in value.split():
+        parts = _PART.findall(word)
+        if parts and parts[-1] in NAMED and HAS.isdisjoint(parts[:-1]):
+            return parts[-1]
+    return ""
+
+
+def _boilerplate(tag: str, token: str, parent: Node) -> tuple[bool, str, str]:
+    """Whether an element is left out by its kind, the name that only marks it as boilerplate, and its role."""
     if tag in DROPPED:
-        return True, ""
-    role = ""
+        return True, "", ""
+    role = named = ""
     if len(token) > len(tag) + 2:
-        for name, value in _MARKS.findall(token):
-            name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" and tag not in WHOLE or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-                return True, ""
-            if name in ("role", "itemprop"):
-                role = value
-            if name in ("class", "id", "role") and tag not in WHOLE and not NAMED.isdisjoint(_PART.findall(value)):
-                return True, ""
+        marks = _attributes(token, tag)
+        if "hidden" in marks and tag not in WHOLE or marks.get("aria-hidden") == "true" or "display:none" in "".join(marks.get("style", "").split()):
+            return True, "", ""
+        role = marks.get("role") or marks.get("itemprop", "")
+        if tag not in WHOLE:
+            named = next(filter(None, (_name_of(marks.get(name, "")) for name in ("class", "id", "role"))), "")
     if tag == "header" or role == "banner":  # a page's header goes, an article's stays
         above = parent
         while above and above.tag not in ("article", "main"):
             above = above.parent
-        return above is None, role
-    return False, role
+        return above is None, named, role
+    return False, named, role
 
 
 def parse(page: str) -> list[Node]:
@@ -113,8 +133,8 @@ def parse(page: str) -> list[Node]:
             continue
         if tag in BLOCKS and tag != "br":
             node = _before(node, tag)
-        skipped, role = _boilerplate(tag, token, node)
-        made = Node(tag, node, skipped or node.skipped, role)
+        skipped, named, role = _boilerplate(tag, token, node)
+        made = Node(tag, node, skipped or node.skipped, role, named)
         node.children.append(made)
         nodes.append(made)
         if tag in RAW:
@@ -144,6 +164,9 @@ def _before(node: Node, tag: str) -> Node:
 
 def _measure(nodes: list[Node]) -> None:
     """Densities of all nodes, children before parents."""
+    for node in nodes:
+        node.chars = node.tags = node.link_chars = node.link_tags = 0
+        node.density = node.total = 0.0
     for node in reversed(nodes):
         if node.skipped:
             continue
@@ -171,6 +194,54 @@ def _measure(nodes: list[Node]) -> None:
             node.parent.total += node.density
 
 
+def _is_article(node: Node) -> bool:
+    return node.tag in ("article", "main") or node.role in ("main", "article", "articlebody")
+
+
+def _leave_named(nodes: list[Node]) -> None:
+    """Leave out the elements that are named as boilerplate, but for those that hold the article.
+
+    Nothing is dropped before densities are known: an element stays if it holds an article, or a greater density sum than what is
+    outside of named elements and the element itself as one block. Where articles stand outside, those inside (comments,
+    teasers) only count if theirs is the greater sum.
+    """
+    if not any(n.named and not n.skipped for n in nodes):
+        return
+    _measure(nodes)
+    top: dict[int, Node] = {}  # by node in a named element: the outermost one
+    within: set[int] = set()  # articles in named elements and what they hold
+    beside: set[int] = set()
+    for node in nodes:
+        above = id(node.parent)
+        if node.named or above in top:
+            top[id(node)] = top.get(above, node)
+            if _is_article(node) or above in within:
+                within.add(id(node))
+            if node.named in BESIDE or above in beside:
+                beside.add(id(node))
+    articles = [n for n in nodes if _is_article(n) and not n.skipped and n.chars]
+    alone = all(id(n) in top for n in articles)
+    found = [(n.total - top[id(n)].density, n) for n in nodes if id(n) in top and not n.skipped and n.total > 0 and id(n) not in beside and (alone or id(n) in within)]
+    dropped = {id(n) for n in nodes if n.skipped}
+    for node in nodes:
+        node.skipped = node.skipped or id(node) in top
+    _measure(nodes)
+    outside = max((n.total for n in nodes if not n.skipped), default=0.0)
+    holding = articles if alone else []
+    if found:
+        greatest, best = max(found, key=lambda x: x[0])
+        if greatest > outside or not outside:
+            holding = [*holding, best]
+    held: set[int] = set()
+    for node in holding:
+        up: Node | None = node
+        while up is not None and id(up) not in held:
+            held.add(id(up))
+            up = up.parent
+    for node in nodes:
+        node.skipped = id(node) in dropped or bool(node.named) and id(node) not in held or node.parent is not None and node.parent.skipped
+
+
 def _article(nodes: list[Node]) -> tuple[Node, float]:
     """The node of the greatest density sum, or the article around it, and the threshold."""
     best = max((n for n in nodes if not n.skipped and n.total > 0), key=lambda n: n.total, default=nodes[0])
@@ -178,7 +249,7 @@ def _article(nodes: list[Node]) -> tuple[Node, float]:
     while above is not None:
         if above.chars:
             least = min(least, above.density)
-        if above.tag in ("article", "main") or above.role in ("main", "article", "articlebody"):
+        if _is_article(above):
             whole = above
         above = above.parent
     if whole is best and best.parent is not None:
@@ -191,13 +262,14 @@ def _article(nodes: list[Node]) -> tuple[Node, float]:
 def main_text(page: str | None) -> str:
     """Blocks of the main text, in page order, one a line."""
     nodes = parse(page or "")
+    _leave_named(nodes)
     _measure(nodes)
     article, least = _article(nodes)
     path, above = set(), article.parent
     while above is not None:
         path.add(id(above))
         above = above.parent
-    alone = article.tag in ("article", "main") or article.role in ("main", "article", "articlebody")
+    alone = _is_article(article)
     blocks, words = [], []
     work: list[tuple[Node | str | None, bool]] = [(nodes[0], article is nodes[0])]
     while work:

@@ -33,6 +33,30 @@ def test_density_prefers_text_to_links():
     assert pages.main_text(f"<body>{links}{text}</body>") == ("plain sentence here. " * 10).strip() + "\n" + ("another sentence. " * 10).strip()
 
 
+@pytest.mark.parametrize("wrap", [
+    '<div class="layout has-sidebar">%s</div>', '<div class="post no-comments">%s</div>', '<div class="with-banner">%s</div>', '<div class="sidebar-layout">%s</div>', '<div class="page sidebar">%s</div>',
+    '<div title="hidden valley" data-x=\'class="ad"\'>%s</div>', '<div data-note="the hidden cost" data-class=ad>%s</div>', '<section id="overlay"><div class=widget>%s</div></section>',
+])
+@pytest.mark.parametrize("body", ["<article>%s</article>", "<div>%s</div>", "<div>%s" + COMMENTS + "</div>"])
+def test_wrappers_and_other_attributes_drop_no_article(wrap, body):
+    assert pages.main_text(PAGE % (wrap % (body % ARTICLE))) == LINES
+
+
+def test_named_articles_beside_the_article_go():
+    comments = '<div id="comments"><article class="comment-body"><p>First of the replies.</p></article><article><p>Another one of them.</p></article></div>'
+    assert pages.main_text(PAGE % f"<article>{ARTICLE}</article>{comments}") == LINES
+    teasers = '<div><article>Short</article></div>'
+    assert LINES in pages.main_text(PAGE % f'<div class="right-sidebar"><article>{ARTICLE}</article></div>{teasers}')
+
+
+@pytest.mark.parametrize("token,marks", [
+    ('<p title="hidden valley">', {"title": "hidden valley"}), ("<p a=1 HIDDEN class='x y'/>", {"a": "1", "hidden": "", "class": "x y"}), ('<p class = "a"class=b>', {"class": "a"}),
+    ("<p/>", {}), ('<p class="x', {"class": '"x'}), ("<p " + " " * 100_000 + "id=x>", {"id": "x"}),
+])
+def test_attributes_are_read_in_turn(token, marks):
+    assert pages._attributes(token, "p") == marks
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("<p>", ""), ("plain < text", "plain < text"), ("<p>a<p>b", "a\nb"), ("</div></p>x", "x"), ("<article>x", "x"), ("<b><i>x</b>y", "xy"),
     ("<p>a &amp b &#65;&bogus;</p>", "a & b A&bogus;"), ("<script>x<p>y", ""), ("<p title='>'>q</p>", "q"), ("<!-- <p>c</p> --><p>d</p>", "d"), ("<p hidden>h</p><p>s</p>", "s"), ('<p class="x', ""),
