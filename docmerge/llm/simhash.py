@@ -8,7 +8,8 @@ all 64 bits, and hands on only a tree of links (its local components), never all
 before the search; a leaf that would be too large is cut into blocks which meet pairwise.
 
 Nulls: a null text is empty (fingerprint 0, linked like any other), a document without id gets a fingerprint and its group's id, and ``keep_first`` keeps it. Repeated
-rows and ties: rows of one fingerprint are one group; the group's id is its smallest id, null if it has none.
+rows and ties: rows of one fingerprint are one group; the group's id is its smallest id, null if it has none. Rows
+may share an id and differ in text: groups are told apart by their smallest fingerprint, never by their id.
 An empty table gives no rows; other columns are ignored. Texts are hashed whole.
 """
 
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docmerge.llm.components import components
@@ -57,6 +58,10 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
 
 
+def _marked(text: Column) -> Column:
+    return F.pandas_udf(_fingerprints, "long")(text.cast("string"))
+
+
 def _half(fingerprints: np.ndarray, half: int) -> np.ndarray:
     return ((fingerprints.view(np.uint64) >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
@@ -188,25 +193,34 @@ def near_links(fingerprints: DataFrame, bits: int = BITS, leaf: int = LEAF) -> D
     return dealt.groupBy("half", "leaf", "at", "by").applyInPandas(lambda shard: _link(shard, bits), "a long, b long")
 
 
-def near_duplicates(documents: DataFrame, bits: int = BITS, leaf: int = LEAF) -> DataFrame:
-    """Per document: ``doc_id``, ``fingerprint`` (long), ``component_id`` (smallest id that links reach)."""
-    marked = checkpointed(documents.select("doc_id", F.pandas_udf(_fingerprints, "long")(F.col("text").cast("string")).alias("fingerprint")))
+def _labelled(documents: DataFrame, bits: int, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """Per document ``doc_id`` and ``fingerprint``; per fingerprint its smallest id ``first_id`` and its ``component`` (smallest fingerprint)."""
+    marked = checkpointed(documents.select("doc_id", _marked(F.col("text")).alias("fingerprint")))
     groups = checkpointed(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     joined = components(near_links(groups, bits, leaf))
-    labels = groups.join(joined, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
+    return marked, groups.join(joined, F.col("fingerprint") == F.col("node"), "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("component"))
+
+
+def near_duplicates(documents: DataFrame, bits: int = BITS, leaf: int = LEAF) -> DataFrame:
+    """Per document: ``doc_id``, ``fingerprint`` (long), ``component_id`` (smallest id that links reach)."""
+    marked, labels = _labelled(documents, bits, leaf)
     ids = labels.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = labels.join(ids, "component").select("fingerprint", "component_id")
     return marked.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
 def keep_first(documents: DataFrame, bits: int = BITS) -> DataFrame:
-    """``documents`` with one row of each group of near-duplicates: that of the smallest id, once.
+    """``documents`` with one row of each group of near-duplicates: that of the smallest id, of these the smallest fingerprint, once.
 
-    Ids are looked up in narrow rows; only ids that occur twice meet in a shuffle of whole rows.
+    Ids are looked up in narrow rows; only rows whose id occurs twice are marked and meet in a shuffle of whole rows: there the
+    fingerprint tells the group's row, and of rows alike in both that of the smallest hash is taken.
     """
-    found = checkpointed(near_duplicates(documents, bits))
-    kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
+    marked, labels = _labelled(documents, bits, LEAF)
+    least = labels.where("first_id is not null").groupBy("component").agg(F.min(F.struct(F.col("first_id").alias("doc_id"), "fingerprint")).alias("least"))
+    kept = checkpointed(least.select("least.*"))
+    ids = marked.groupBy("doc_id").agg(F.count("*").alias("times")).join(kept.select("doc_id"), "doc_id", "left_semi")
     rows = documents.select("doc_id", F.struct("*").alias("row"))  # whole rows in one column: no name can clash
-    single = rows.join(kept, "doc_id")
-    again = single.where("times > 1").dropDuplicates(["doc_id"])
+    single = rows.join(ids, "doc_id")
+    again = single.where("times > 1").select("doc_id", _marked(F.col("row.text")).alias("fingerprint"), "row").join(kept, ["doc_id", "fingerprint"])
+    again = again.groupBy("doc_id", "fingerprint").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return single.where("times = 1").select("row").unionByName(again.select("row")).unionByName(rows.where("doc_id is null").select("row")).select("row.*")

@@ -113,6 +113,21 @@ def test_simhash_edges(spark):
     assert simhash.keep_first(twice).count() == 1
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    a, b, c = (" ".join(rng.choices(words, k=400)) for _ in range(3))
+    near_b = next(t for t in (b.replace(f" {w} ", " other ", 1) for w in b.split()) if t != b and 0 < (brute_fingerprint(t) ^ brute_fingerprint(b)).bit_count() <= 3)
+
+    def kept(rows):
+        return sorted((r["doc_id"], r["text"], r["lang"]) for r in simhash.keep_first(spark.createDataFrame(rows, DOCS)).collect())
+
+    assert kept([(1, a, "x"), (1, b, "x"), (2, b, "x"), (7, c, "x")]) == sorted([(1, a, "x"), (1, b, "x"), (7, c, "x")])  # two groups of one id
+    assert kept([(3, near_b, "x"), (5, a, "x"), (5, b, "x")]) == sorted([(3, near_b, "x"), (5, a, "x")])  # (5, b) belongs to the group that keeps 3
+    ties = [(4, a, lang) for lang in "zyx"]
+    assert len(kept(ties)) == 1 and kept(ties) == kept(ties[::-1])
+
+
 def brute_vectors(rows, least=0.95):
     ok = {k: np.array(v, float) for k, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     pairs = [(a, b) for a in ok for b in ok if a < b and len(ok[a]) == len(ok[b]) and ok[a] @ ok[b] / np.linalg.norm(ok[a]) / np.linalg.norm(ok[b]) >= least]
