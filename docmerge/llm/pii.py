@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -76,24 +77,57 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-#: Characters that look like ASCII ones; full-width forms follow by their code points.
-LOOKALIKES = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο" + "＠．﹫。․", "ABEKMHOPCTXaeopcyxijsd" + "ABEZHIKMNOPTYXo" + "@.@.."))
-LOOKALIKES |= {chr(code + 0xFEE0): chr(code) for code in range(0x21, 0x7F)}
-LOOKALIKES |= dict.fromkeys("­​‌‍⁠﻿", "")
-_LOOKALIKE = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + "]")
+#: Cyrillic and Greek letters, and marks, that look like ASCII characters.
+_ALIKE = dict(zip("АВЕКМНОРСТХаеорсухіјѕԁ" + "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧο" + "＠．﹫。․", "ABEKMHOPCTXaeopcyxijsd" + "ABEZHIKMNOPTYXo" + "@.@.."))
+_ALIKE |= dict(zip("ЅІЈУҮԌԚԜѴЗЬӀҺԛԝѵүһӏгктмпьвнҽԍ" + "αβγεηικνρσςτυχωϲϹϳͿϱϝ", "SIJYYGQWV3blhqwvyhlrktmnbbheg" + "abyenikvpoctuxwcCjJpf"))
+
+
+def _lookalikes() -> dict[str, str]:
+    """What a character stands for: its digit value, else its compatibility form (NFKC) if that is, or looks like, one ASCII character; invisible ones nothing."""
+    found = {}
+    for code in range(0x80, 0x20000):
+        char = chr(code)
+        plain = _ALIKE.get(char) or unicodedata.normalize("NFKC", char)
+        digit = unicodedata.digit(char, None)
+        plain = _ALIKE.get(plain, plain) if digit is None else str(digit)
+        if len(plain) == 1 and "\x20" <= plain <= "\x7e" or 0xFB00 <= code <= 0xFB06:  # the last are ligatures of ASCII letters
+            found[char] = plain
+    return found | dict.fromkeys("\u00ad\u200b\u200c\u200d\u2060\ufeff", "")
+
+
+def _ranges(chars: Iterable[str]) -> str:
+    """A pattern's character class of few ranges."""
+    runs: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if runs and code == runs[-1][1] + 1:
+            runs[-1][1] = code
+        else:
+            runs.append([code, code])
+    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+
+
+LOOKALIKES = _lookalikes()
+_LOOKALIKE = re.compile(_ranges(LOOKALIKES))
 NUMERALS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _NUMERAL = "|".join((*NUMERALS, "oh"))
 _SPELLED = re.compile(rf"(?i)\b(?:(?:{_NUMERAL})|[0-9]+)(?:[\s.,-]{{1,3}}(?:(?:{_NUMERAL})|[0-9]+))+\b")
+_WORDS = re.compile(rf"(?i){_NUMERAL}")
 _PART = re.compile(rf"(?i){_NUMERAL}|[0-9]+")
 _BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*")
 _BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
-#: Last labels that make plain words an address: ``at`` and ``dot`` are common words.
+#: Words after ``at`` that make it and ``dot`` plain words, unless a common ending follows; all other names take any last label.
 LAST_LABELS = "com org net edu gov info biz io co eu uk de fr es it nl at ch us ca au".split()
+DETERMINERS = "the a an this that these those each every any some no his her its my your our their another which what".split()
 _DISGUISED_DOT = r"(?:\s+dot\s+|\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
-_WORD_AT = re.compile(rf"(?i)(?<=[A-Za-z0-9_])\s+at\s+(?=[A-Za-z0-9-]+(?:{_DISGUISED_DOT}[A-Za-z0-9-]+)*{_DISGUISED_DOT}(?:{'|'.join(LAST_LABELS)})\b)")
+_LABELS = r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*"
+_NAMES = rf"{_LABELS}(?:{_DISGUISED_DOT}{_LABELS})*{_DISGUISED_DOT}(?:[A-Za-z0-9-]+\.)*"
+_WORD_AT = re.compile(
+    rf"(?i)(?<=[A-Za-z0-9_])\s+at\s+(?={_NAMES}(?:{'|'.join(LAST_LABELS)})\b|(?!(?:{'|'.join(DETERMINERS)})\b){_NAMES}[a-z]{{2,}}(?![a-z0-9-]))"
+)
 _WORD_DOT = re.compile(r"(?i)(?<=[A-Za-z0-9])\s+dot\s+(?=[A-Za-z0-9])")
 _PLUS = re.compile(r"(?i)\bplus\s+(?=[0-9])")
-#: Digits that a run without ``+`` needs to count as a phone number, and how many of them have to be spelled.
+#: Digits that a run without ``+`` needs to count as a phone number, and how many of them have to be spelled; runs that a
+#: checksum, an address's form or a ``+`` proves need one spelled digit only.
 SPELLED_PHONE, SPELLED_LEAST = 9, 3
 
 
@@ -127,7 +161,7 @@ def _digits(text: str) -> Iterator[tuple[int, int, str]]:
     """Edits that turn runs with spelled digits into digits."""
     for run in _SPELLED.finditer(text):
         parts = list(_PART.finditer(text, *run.span()))
-        if sum(not p.group().isdigit() for p in parts) < SPELLED_LEAST:
+        if all(p.group().isdigit() for p in parts):
             continue
         end = run.start()
         for part in parts:
@@ -144,7 +178,7 @@ def rewrite(text: str) -> Rewritten | None:
     lower = text.lower()
     glyphs = not text.isascii() and _LOOKALIKE.search(text)
     marks = "dot" in lower or ("at" in lower and any(b in text for b in "[({<") and _BRACKET_AT.search(text)) or (any(b in text for b in "[({<") and _BRACKET_DOT.search(text))
-    numerals = sum(n in lower for n in NUMERALS) and _SPELLED.search(text)
+    numerals = any(n in lower for n in (*NUMERALS, "oh")) and _SPELLED.search(text)
     if not (glyphs or marks or numerals):
         return None
     made = Rewritten(text)
@@ -183,7 +217,14 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
         at = bisect_right(by_kind[kind], (start, 1 << 60)) - 1
         return at >= 0 and end <= by_kind[kind][at][1]
 
-    return base, sorted({*base, *(x for x in _rewritten_spans(text, made) if not inside(*x))})
+    def overdone(kind: int, start: int, end: int) -> bool:
+        """A number that is complete without the one or two digit words beside it."""
+        if not kind or not 0 < len(_WORDS.findall(text, start, end)) < SPELLED_LEAST:
+            return False
+        at = bisect_right(by_kind[kind], (start, -1))
+        return at < len(by_kind[kind]) and by_kind[kind][at][1] <= end
+
+    return base, sorted({*base, *(x for x in _rewritten_spans(text, made) if not inside(*x) and not overdone(*x))})
 
 
 def _written(spans: Iterable[Span]) -> str:

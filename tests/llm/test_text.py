@@ -130,6 +130,25 @@ def test_disguises_map_back(text, kind, found):
     assert set(base) <= set(every) and base == sorted(brute_spans(text))
 
 
+@pytest.mark.parametrize("text,kind,found", [
+    *((f"ask jane at example dot {last} soon", "email", f"jane at example dot {last}") for last in ("jp", "app", "pl", "in", "museum", "com")),
+    ("jane at mail.example dot com", "email", "jane at mail.example dot com"), ("jane at example dot co.jp!", "email", "jane at example dot co.jp"), ("jane at the dot com", "email", "jane at the dot com"),
+    ("call +49 30 one two 34567 89", "phone", "+49 30 one two 34567 89"), ("card 4111 1111 one 111 1111 ok", "card", "4111 1111 one 111 1111"), ("ip 192.168.one.5", "ip", "192.168.one.5"),
+    ("dial +49 30 oh 1234567", "phone", "+49 30 oh 1234567"), ("jαne@site.org", "email", "jαne@site.org"), ("𝐣𝐚𝐧𝐞@site.org", "email", "𝐣𝐚𝐧𝐞@site.org"), ("𝛂nna@site.org", "email", "𝛂nna@site.org"),
+    ("٤١١١ ١١١١ ١١١١ ١١١١", "card", "٤١١١ ١١١١ ١١١١ ١١١١"), ("to ѡ гоѕа@site.org", "email", "гоѕа@site.org"), ("oﬃce@site.org", "email", "oﬃce@site.org"),
+])
+def test_disguises_of_any_ending_digit_and_alphabet(text, kind, found):
+    base, every = pii.all_spans(text)
+    assert (kind, found) in [(pii.KINDS[k], text[s:e]) for k, s, e in every]
+    assert base == sorted(brute_spans(text))
+
+
+@pytest.mark.parametrize("text", ["+49 30 1234567 one of us", "4111 1111 1111 1111, one of two", "ip 192.168.1.1 one", "1 one 20", "at a dot near", "x² and ½, one 2"])
+def test_few_digit_words_add_nothing_to_complete_numbers(text):
+    base, every = pii.all_spans(text)
+    assert every == base == sorted(brute_spans(text))
+
+
 @pytest.mark.parametrize("text", ["look at the dot on the wall", "meet at noon", "one two three", "one, two and five six", "a (at) b", "dot dot dot at dot", "привет", "<at> <dot>"])
 def test_plain_texts_have_no_finds(text):
     assert pii.all_spans(text) == ([], [])
