@@ -7,7 +7,7 @@ the body is the threshold for what else on the page is kept. An ``article`` or `
 
 Nulls: a null page is empty and has no text; null ids and URLs are kept. Repeated rows are read one by one; of nodes with
 equal sums the first in page order is taken. An empty table gives no rows. Other columns are ignored. Pages are read whole,
-in time that grows with their length, without recursion. Broken markup never fails: unclosed elements end with their
+in time that grows with their length, however deep their elements, without recursion. Blocks are joined by two line feeds; a ``br`` ends one. Broken markup never fails: unclosed elements end with their
 parents, stray end tags are skipped, a lone ``<`` is text.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,13 +57,17 @@ BESIDE = frozenset("comment comments disqus replies respond commentlist commenta
 WHOLE = frozenset(("html", "body", "main", "article"))
 _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _ENDS_SCOPE = frozenset("ul ol dl table div section article body html blockquote aside nav td th".split())
+#: What a block that opens can end, or what keeps it from ending more.
+_STOPS = _ENDS_SCOPE | {"p"} | set(_CLOSED_BY)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skipped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "role")
+    __slots__ = ("tag", "parent", "children", "skipped", "named", "chars", "tags", "link_chars", "link_tags", "density", "total", "role", "inside", "stop")
 
     def __init__(self, tag: str, parent: Node | None, skipped: bool = False, role: str = "", named: str = ""):
         self.tag, self.parent, self.skipped, self.role, self.named = tag, parent, skipped, role, named
+        self.inside: bool = tag in ("article", "main") or parent is not None and parent.inside
+        self.stop: Node | None = self if tag in _STOPS or parent is None else parent.stop  # the nearest of _STOPS, itself included
         self.children: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
@@ -99,10 +104,7 @@ def _boilerplate(tag: str, token: str, parent: Node) -> tuple[bool, str, str]:
         if tag not in WHOLE:
             named = next(filter(None, (_name_of(marks.get(name, "")) for name in ("class", "id", "role"))), "")
     if tag == "header" or role == "banner":  # a page's header goes, an article's stays
-        above = parent
-        while above and above.tag not in ("article", "main"):
-            above = above.parent
-        return above is None, named, role
+        return not parent.inside, named, role
     return False, named, role
 
 
@@ -110,7 +112,15 @@ def parse(page: str) -> list[Node]:
     """The page's nodes in page order; the first is the root."""
     root = Node("#root", None)
     nodes, node = [root], root
+    open_tags: Counter[str] = Counter()
     position, size = 0, len(page)
+
+    def leave(now: Node, then: Node) -> Node:
+        while now is not then:
+            open_tags[now.tag] -= 1
+            now = now.parent
+        return then
+
     while position < size:
         match = _TOKEN.match(page, position)
         token, position = match.group(), match.end()
@@ -125,14 +135,14 @@ def parse(page: str) -> list[Node]:
                 node.children.append(made := Node("br", node))
                 nodes.append(made)
                 continue
-            above = node
-            while above is not root and above.tag != tag:
-                above = above.parent
-            if above is not root:
-                node = above.parent
+            if open_tags[tag] > 0:  # each node is left once, so stray end tags cost nothing
+                above = node
+                while above.tag != tag:
+                    above = above.parent
+                node = leave(node, above.parent)
             continue
         if tag in BLOCKS and tag != "br":
-            node = _before(node, tag)
+            node = leave(node, _before(node, tag))
         skipped, named, role = _boilerplate(tag, token, node)
         made = Node(tag, node, skipped or node.skipped, role, named)
         node.children.append(made)
@@ -142,23 +152,25 @@ def parse(page: str) -> list[Node]:
             position = end.start()
         if tag not in VOID and not token.endswith("/>"):
             node = made
+            open_tags[tag] += 1
         elif tag in RAW:
             node = made
+            open_tags[tag] += 1
     return nodes
 
 
 def _before(node: Node, tag: str) -> Node:
     """Where a block element goes: it ends an open paragraph or heading run, and some elements end their likes."""
     ends = _CLOSED_BY.get(tag, ())
-    above = node
-    while above.parent is not None:
+    above = node.stop
+    while above is not None and above.parent is not None:
         if above.tag == "p" or above.tag in ends:
             node = above.parent
             if above.tag == "p" and not ends:
                 break
-        elif above.tag in _ENDS_SCOPE and not (above.tag in ends):
+        elif above.tag in _ENDS_SCOPE:
             break
-        above = above.parent
+        above = above.parent.stop
     return node
 
 
@@ -260,7 +272,7 @@ def _article(nodes: list[Node]) -> tuple[Node, float]:
 
 
 def main_text(page: str | None) -> str:
-    """Blocks of the main text, in page order, one a line."""
+    """Blocks of the main text, in page order, with an empty line (two line feeds) between them."""
     nodes = parse(page or "")
     _leave_named(nodes)
     _measure(nodes)
@@ -289,7 +301,7 @@ def main_text(page: str | None) -> str:
             work += edge
     blocks.append("".join(words))
     lines = (" ".join((html.unescape(b) if "&" in b else b).split()) for b in blocks)
-    return "\n".join(line for line in lines if line)
+    return "\n\n".join(line for line in lines if line)
 
 
 def _extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -15,7 +15,7 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 %s<aside>Side text that is quite long as well</aside><div id="cookie-notice">We use cookies everywhere</div><form>Name <input></form>
 <footer>&copy; Me</footer></body></html>"""
 ARTICLE = "<h1>Head &amp; more</h1><p>First <b>bold</b>  text,\n with <a href=x>a link</a> in it.<p>Second&nbsp;one<br>next line</p><ul><li>item<li>more</ul><pre>a\n  b</pre>"
-LINES = "Head & more\nFirst bold text, with a link in it.\nSecond one\nnext line\nitem\nmore\na b"
+LINES = "Head & more\n\nFirst bold text, with a link in it.\n\nSecond one\n\nnext line\n\nitem\n\nmore\n\na b"
 COMMENTS = '<section class="comments"><p>I do not like this article at all, said a reader at length.</p></section>'
 
 
@@ -30,7 +30,7 @@ def test_article_without_the_rest(body):
 def test_density_prefers_text_to_links():
     links = "<div>" + "".join(f"<p><a href=/{i}>link number {i}</a></p>" for i in range(30)) + "</div>"
     text = "<div><p>" + "plain sentence here. " * 10 + "</p><p>" + "another sentence. " * 10 + "</p></div>"
-    assert pages.main_text(f"<body>{links}{text}</body>") == ("plain sentence here. " * 10).strip() + "\n" + ("another sentence. " * 10).strip()
+    assert pages.main_text(f"<body>{links}{text}</body>") == ("plain sentence here. " * 10).strip() + "\n\n" + ("another sentence. " * 10).strip()
 
 
 @pytest.mark.parametrize("wrap", [
@@ -58,7 +58,7 @@ def test_attributes_are_read_in_turn(token, marks):
 
 
 @pytest.mark.parametrize("page,text", [
-    (None, ""), ("", ""), ("<p>", ""), ("plain < text", "plain < text"), ("<p>a<p>b", "a\nb"), ("</div></p>x", "x"), ("<article>x", "x"), ("<b><i>x</b>y", "xy"),
+    (None, ""), ("", ""), ("<p>", ""), ("plain < text", "plain < text"), ("<p>a<p>b", "a\n\nb"), ("</div></p>x", "x"), ("<article>x", "x"), ("<b><i>x</b>y", "xy"),
     ("<p>a &amp b &#65;&bogus;</p>", "a & b A&bogus;"), ("<script>x<p>y", ""), ("<p title='>'>q</p>", "q"), ("<!-- <p>c</p> --><p>d</p>", "d"), ("<p hidden>h</p><p>s</p>", "s"), ('<p class="x', ""),
 ])
 def test_odd_pages(page, text):
@@ -66,7 +66,12 @@ def test_odd_pages(page, text):
 
 
 def test_deep_and_long_pages():
-    assert pages.main_text("<div>" * 50_000 + "x") == "x"
+    assert pages.main_text("<article><h1>T</h1><p>a</p><p>b</p></article>") == "T\n\na\n\nb"
+    for tag in ("div", "address", "b", "section", "span", "blockquote"):
+        assert pages.main_text(f"<{tag}>" * 50_000 + "x") == "x"
+    assert pages.main_text("<article>" + "<div><header>" * 50_000 + "x") == "x"
+    assert pages.main_text("<div>" * 50_000 + "</b>" * 50_000 + "x") == "x"
+    assert pages.main_text("<div><p>" * 50_000 + "</li>" * 1_000 + "x") == "x"
     assert len(pages.main_text("<article><p>" + "word " * 200_000)) == 999_999
 
 
@@ -76,6 +81,55 @@ def test_any_markup_gives_text(parts):
     assert isinstance(pages.main_text("".join(parts)), str)
 
 
+def slow_densities(nodes):
+    """Densities by the definition: every node walks its whole subtree, links and all."""
+
+    def below(node):
+        for child in node.children:
+            if isinstance(child, str):
+                yield child
+            elif not child.skipped:
+                yield child
+                yield from below(child)
+
+    def numbers(node):
+        inner = list(below(node))
+        chars = lambda items: sum(len(" ".join(i.split())) for i in items if isinstance(i, str))
+        tops = [node] if node.tag == "a" else [i for i in inner if not isinstance(i, str) and i.tag == "a" and not within_link(i, node)]
+        links = sum(chars(list(below(a))) for a in tops)
+        return chars(inner), sum(not isinstance(i, str) for i in inner), links, sum(not isinstance(i, str) and i.tag == "a" for i in inner)
+
+    def within_link(node, top):
+        while node.parent is not top:
+            node = node.parent
+            if node.tag == "a":
+                return True
+        return False
+
+    whole = numbers(nodes[0])
+    found = {}
+    for node in (n for n in nodes if not n.skipped):
+        c, t, lc, lt = numbers(node)
+        if c:
+            base = np.log(c / max(1, c - lc) * lc + whole[2] / max(1, whole[0]) * c + np.e)
+            found[id(node)] = max(0.0, c / max(1, t) * np.log(max(c / max(1, lc) * max(1, t) / max(1, lt), 1e-9)) / base)
+    return found
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<li>", "<section>", "</section>", "<b>", "</b>", "some text ", "a longer sentence of words. ", "<br>", "</main>"]), max_size=30))
+def test_densities_by_a_second_reading(parts):
+    nodes = pages.parse("".join(parts))
+    pages._measure(nodes)
+    slow = slow_densities(nodes)
+    assert {id(n) for n in nodes if n.chars and not n.skipped} == set(slow)
+    for node in nodes:
+        if id(node) in slow:
+            assert node.density == pytest.approx(slow[id(node)])
+        own = [c for c in node.children if not isinstance(c, str) and c.tag in pages.BLOCKS]
+        assert node.total == pytest.approx(sum(slow.get(id(c), 0.0) for c in own))
+
+
 def test_pages_frame(spark):
     rows = [(1, "u", PAGE % ARTICLE, "x"), (1, "u", PAGE % ARTICLE, "x"), (None, None, None, "x")]
     got = pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
