@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docmerge.functions.names import group_key
-from docmerge.operators.ordering import group_struct, seq_levels, with_running_total
+from docmerge.operators.ordering import group_struct, scan_totals
 
 UNKNOWN_GROUP = "group-unknown"
 
@@ -95,14 +95,16 @@ def batch_size(n_files: int) -> int:
 
 
 def batch_numbers(files: DataFrame, session: str = "session_id") -> DataFrame:
-    """Batch number of each file in its session, by the size rule of ``batch_size``; files without a session are one."""
-    tie = [c for c in ("file_id",) if c in files.columns]
-    placed = with_running_total(files, [session], seq_levels("file_seq"), ["file_seq", *tie], out="__pos")
+    """Batch number of each file in its session, by the size rule of ``batch_size``; files without a session are one.
+
+    Files are numbered by (file_seq, file_id) on these columns alone; ``file_seq`` may be of any scale.
+    """
+    key = [session, "file_seq", *[c for c in ("file_id",) if c in files.columns]]
+    placed = scan_totals(files.select(*key), [session], key[1:], out="__pos").withColumn("__group", group_struct([session]))
     totals = files.groupBy(group_struct([session]).alias("__group")).agg(F.count(F.lit(1)).alias("__n"))
     size = F.when(F.col("__n") <= 100, 5).when(F.col("__n") <= 200, 8).otherwise(10)
-    return (
-        placed.withColumn("__group", group_struct([session]))
-        .join(totals, "__group")
-        .withColumn("batch_no", F.floor(F.col("__pos") / size).cast("bigint"))
-        .drop("__pos", "__n", "__group")
-    )
+    numbered = placed.join(totals, "__group").withColumn("batch_no", F.floor(F.col("__pos") / size).cast("bigint"))
+    if set(files.columns) == set(key):
+        return numbered.select(*files.columns, "batch_no")
+    numbers = numbered.select(group_struct(key).alias("__key"), "batch_no").dropDuplicates(["__key"])
+    return files.withColumn("__key", group_struct(key)).join(numbers, "__key").drop("__key")

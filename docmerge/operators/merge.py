@@ -12,11 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from docmerge.functions.text import bind, let
 from docmerge.operators.cells import clean_map, entry_objects, mergeable, to_cells
 from docmerge.operators.grouping import UNKNOWN_GROUP
-from docmerge.operators.ordering import seq_levels, with_running_total
+from docmerge.operators.ordering import group_struct, scan_totals
 from docmerge.operators.template import normalized_keys, sql_string
 from docmerge.schemas import Template
 
@@ -61,23 +62,24 @@ def detect_conflicts(cells: DataFrame) -> DataFrame:
     )
 
 
+def named_groups(rows: DataFrame) -> DataFrame:
+    """Rows without a group belong to the group of unknown files."""
+    return rows.withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
+
+
 def grouped(results: DataFrame) -> DataFrame:
     """Successful results; those without a group form the group of unknown files."""
-    return results.where("success").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
+    return named_groups(results.where("success"))
 
 
 def source_files(results: DataFrame) -> DataFrame:
     """Distinct file names of each group's successful results, in order of first sight."""
-    return (
-        results.where("success")
-        .groupBy("group_id", "file_name")
-        .agg(F.min("file_seq").alias("seen_file_seq"))
-    )
+    return grouped(results).groupBy("group_id", "file_name").agg(F.min("file_seq").alias("seen_file_seq"))
 
 
 def merge_start(results: DataFrame) -> DataFrame:
     """Files and successful files per group."""
-    return results.groupBy("group_id").agg(
+    return named_groups(results).groupBy("group_id").agg(
         F.count(F.lit(1)).alias("file_count"), F.count_if("success").alias("success_count")
     )
 
@@ -140,10 +142,19 @@ def row_label(n_rows: Column, idx: Column) -> Column:
 
 def number_rows(rows: DataFrame, order: Sequence[str] = ("file_seq", "entry_idx")) -> DataFrame:
     """Row ids and labels: the group's own if it has one row, else with a counter."""
-    placed = with_running_total(rows, ["group_id"], [*seq_levels(order[0]), F.col(order[0])], list(order), out="row_no")
-    sizes = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    rows = named_groups(rows)
+    if "group_key" in rows.columns:
+        rows = rows.withColumn("group_key", F.coalesce("group_key", "group_id"))
+    key = ["group_id", *order]
+    # Equal places are counted once and told apart when the numbers meet the rows.
+    places = rows.groupBy(group_struct(key).alias("__key"), *key).agg(F.count(F.lit(1)).alias("__times"))
+    placed = scan_totals(places, ["group_id"], list(order), weight=F.col("__times"), out="__from")
+    sizes = places.groupBy("group_id").agg(F.sum("__times").alias("n_rows"))
+    numbers = placed.join(sizes, "group_id").select("__key", "__from", "n_rows")
+    same = Window.partitionBy("__key").orderBy(F.lit(0))
+    numbered = rows.withColumn("__key", group_struct(key)).join(numbers, "__key").withColumn("row_no", F.col("__from") + F.row_number().over(same) - 1)
     n, i = F.col("n_rows"), F.col("row_no")
-    return placed.join(sizes, "group_id").withColumns({"row_id": row_id(n, i), "label": row_label(n, i)})
+    return numbered.withColumns({"row_id": row_id(n, i), "label": row_label(n, i)}).drop("__key", "__from")
 
 
 def _with_group_key(df: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -205,9 +216,9 @@ def merge_nested(
         }
     ).drop("data", "consistency")
 
-    placed = with_running_total(
+    placed = scan_totals(
         files.where("n_entries > 0").select("group_id", "file_id", "file_seq", "n_entries"),
-        ["group_id"], seq_levels("file_seq"), ["file_seq", "file_id"], weight=F.col("n_entries"), out="row_base",
+        ["group_id"], ["file_seq", "file_id"], weight=F.col("n_entries"), out="row_base",
     )
     context = placed.select("group_id", "file_id", "row_base").join(group_info, "group_id")
 

@@ -1,8 +1,9 @@
 """Positions and running sums inside of groups of any size.
 
-A plain window sorts one whole group in one task.  Here a group is cut along
-its own order into buckets; buckets are summed (map-side first), the bucket sums
-are accumulated, and only the rows of one bucket meet in one window.
+A plain window sorts one whole group in one task.  ``scan_totals`` is a prefix scan: rows are dealt out by ranges of
+(group, order), whatever the order's values are, each range is summed, and a range starts where the earlier ones of its group end.
+``with_running_total`` needs no sampled ranges where an order has natural buckets: it sums those, and only the
+rows of one bucket meet in one window.
 """
 
 from __future__ import annotations
@@ -13,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A bucket of a file order spans 2^14 sequence numbers, a bucket of buckets 2^25 of those.
-FINE_BITS, COARSE_BITS = 14, 25
+from docmerge.session import checkpointed
 
 
 def group_struct(keys: Sequence[str]) -> Column:
@@ -22,9 +22,30 @@ def group_struct(keys: Sequence[str]) -> Column:
     return F.struct(F.lit(0).alias("one"), *keys)
 
 
-def seq_levels(seq: str) -> list[Column]:
-    """Bucket levels, coarse to fine, for an order given by one bigint column."""
-    return [F.shiftright(seq, FINE_BITS + COARSE_BITS), F.shiftright(seq, FINE_BITS)]
+def scan_totals(
+    rows: DataFrame, group: Sequence[str], order_by: Sequence[Column | str], weight: Column | None = None, out: str = "pos"
+) -> DataFrame:
+    """Add the sum of ``weight`` over all earlier rows of the same group, by a distributed prefix scan.
+
+    Without ``weight`` it is the 0-based position of the row in its group.  ``order_by`` must tell the rows of a group apart and holds
+    plain ascending columns; rows with null keys are a group, rows with a null order come first.  The dealt rows are stored
+    once, so give only the columns that are needed.  A window holds the part of one group in one range.
+    """
+    weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
+    marked = rows.withColumns({"__weight": weight, "__group": group_struct(group)})
+    # Stored, because ranges are sampled: the sums and the rows have to come from the same ones.
+    dealt = checkpointed(marked.repartitionByRange("__group", *order_by).withColumn("__part", F.spark_partition_id()))
+    sums = dealt.groupBy("__part", "__group").agg(F.sum("__weight").alias("__sum"))
+    earlier = Window.partitionBy("__group").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("__start", F.sum("__sum").over(earlier)).where("__start != 0").select("__part", "__group", "__start")
+    inside = Window.partitionBy("__part", "__group").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__inside", F.coalesce(F.sum("__weight").over(inside), F.lit(0)))
+    # Only the first group of a range can have begun before it: at most one row per range is broadcast.
+    return (
+        placed.join(F.broadcast(starts), ["__part", "__group"], "left")
+        .withColumn(out, F.coalesce("__start", F.lit(0)) + F.col("__inside"))
+        .select(*rows.columns, out)
+    )
 
 
 def with_running_total(
@@ -72,5 +93,5 @@ def with_running_total(
 def with_position(
     df: DataFrame, group: Sequence[str], seq: str = "file_seq", tie: Sequence[str] = (), out: str = "pos"
 ) -> DataFrame:
-    """0-based position in the group along a bigint order column."""
-    return with_running_total(df, group, seq_levels(seq), [seq, *tie], out=out)
+    """0-based position in the group along an order column of any scale."""
+    return scan_totals(df, group, [seq, *tie], out=out)

@@ -34,7 +34,8 @@ _MAP = "map<string,string>"
 def _items(results: DataFrame) -> DataFrame:
     """What a prompt lists: successful results with their place in the group."""
     ok = results.where("success AND data_json IS NOT NULL").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
-    return with_position(ok, KEYS, tie=["file_id"]).select("group_id", "pos", F.coalesce("file_name", F.lit("")).alias("file_name"), "data_json")
+    slim = ok.select("group_id", "file_seq", "file_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "data_json")
+    return with_position(slim, KEYS, tie=["file_id"]).select("group_id", "pos", "file_name", "data_json")
 
 
 def _prompts(items: DataFrame, max_files: int | None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docmerge.operators import merge as M
 from docmerge.operators.cells import mergeable, to_cells
-from docmerge.operators.ordering import seq_levels, with_position, with_running_total
+from docmerge.operators.ordering import scan_totals, with_position, with_running_total
 from docmerge.operators.reshape import pivot_long_to_wide
 from docmerge.plans.align import merge_results, retry_groups
 from docmerge.schemas import RESULTS, PivotPreset, TemplateColumn
@@ -193,8 +193,33 @@ def test_positions_in_large_and_sparse_groups(spark, spread):
         want[g, s], want_sum[g, s] = count.get(g, 0), total.get(g, 0)
         count[g], total[g] = count.get(g, 0) + 1, total.get(g, 0) + w
     assert {(r.g, r.file_seq): r.pos for r in with_position(df, ["g"]).collect()} == want
-    sums = with_running_total(df, ["g"], seq_levels("file_seq"), ["file_seq"], weight=F.col("w"), out="t")
+    levels = [F.shiftright("file_seq", 39), F.shiftright("file_seq", 14)]
+    sums = with_running_total(df, ["g"], levels, ["file_seq"], weight=F.col("w"), out="t")
     assert {(r.g, r.file_seq): r.t for r in sums.collect()} == want_sum
+    scanned = scan_totals(df.repartition(7), ["g"], ["file_seq"], weight=F.col("w"), out="t")
+    assert {(r.g, r.file_seq): r.t for r in scanned.collect()} == want_sum
+
+
+def test_scan_over_many_ranges(spark):
+    """One group over all ranges, groups inside of one, null groups and null orders; ranges are not joined up for small data."""
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot"] * 8 + [None, "a", "b"]), None if i == 5 else i * 10**12 - 10**15, rng.randint(-3, 9)) for i in range(3000)]
+    rng.shuffle(rows)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "g string, file_seq bigint, w int")
+        got = scan_totals(df, ["g"], ["file_seq"], weight=F.col("w"), out="t").collect()
+        places = scan_totals(df, ["g"], ["file_seq"]).collect()
+        assert scan_totals(df.limit(0), ["g"], ["file_seq"]).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    total, count, want = {}, {}, {}
+    for g, s, w in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0)):
+        want[g, s] = total.get(g, 0), count.get(g, 0)
+        total[g], count[g] = total.get(g, 0) + w, count.get(g, 0) + 1
+    assert {(r.g, r.file_seq): r.t for r in got} == {k: v[0] for k, v in want.items()}
+    assert {(r.g, r.file_seq): r.pos for r in places} == {k: v[1] for k, v in want.items()}
 
 
 def test_pivot_equals_loop(spark):
