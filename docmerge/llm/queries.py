@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docmerge.llm import chat, mixing, near, packing, pages, pii, quality, simhash, tokenfile, toxicity, urls, variants
+from docmerge.llm import chat, mixing, near, packing, pages, pii, prefixes, quality, simhash, tokenfile, toxicity, urls, variants
 from docmerge.llm.common import table
 
 #: Rules of the URL query: (host and path beginning, verdict); fixed by the contract.
@@ -87,6 +87,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.round_trip(table(spark, sf_dir, "documents"))
 
@@ -96,7 +100,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_html_text, op4_pii, op5_quality_rules, op6_toxicity, op7_simhash_dedup, op8_entropy_mix, op9_url_reputation, op10_chat_format, op12_token_files, op13_spelling_variants)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_embedding_dedup, op3_html_text, op4_pii, op5_quality_rules, op6_toxicity, op7_simhash_dedup, op8_entropy_mix, op9_url_reputation, op10_chat_format, op11_prefix_trie, op12_token_files, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
