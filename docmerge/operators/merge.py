@@ -24,19 +24,47 @@ from docmerge.schemas import Template
 METHOD = "programmatic"
 
 
-def seen_order(prefix: str = "") -> Column:
-    """Order in which the cells of a group are read."""
-    rank = F.when(F.col("origin") == "header", 0).when(F.col("origin") == "entry", 1).otherwise(2)
-    return F.struct(F.col(prefix + "file_seq"), F.col(prefix + "file_id"), rank.alias("rank"), F.col("entry_idx"), F.col("key_pos"))
+# Decimal places of an order key: 20 digits of the file's order, one of the origin, then these.
+_ENTRY_DIGITS, _KEY_DIGITS = 10, 6
+_INNER = 10 ** (1 + _ENTRY_DIGITS + _KEY_DIGITS)
+
+
+def _decimal(number: int) -> Column:
+    return F.lit(str(number)).cast("decimal(20,0)")
+
+
+def seen_order() -> Column:
+    """Order in which the cells of a group are read, as one number of fixed width: (file_seq, origin, entry_idx, key_pos).
+
+    Aggregates of such numbers are hashed; a struct, or one that held the file's id, would have every cell sorted.
+    """
+    rank = F.when(F.col("origin") == "header", 0).when(F.col("origin") == "entry", 1).otherwise(2).cast("bigint")
+    inner = rank * 10 ** (_ENTRY_DIGITS + _KEY_DIGITS) + F.coalesce("entry_idx", F.lit(0)) * 10**_KEY_DIGITS + F.least("key_pos", F.lit(10**_KEY_DIGITS - 1))
+    file = F.coalesce(F.col("file_seq").cast("decimal(20,0)") + _decimal(2**63 + 1), _decimal(0)).cast("decimal(20,0)")
+    return (file * F.lit(_INNER).cast("decimal(18,0)") + inner.cast("decimal(18,0)")).cast("decimal(38,0)")
+
+
+def seen_parts(seen: str) -> dict[str, Column]:
+    """``seen_file_seq``, ``seen_entry_idx`` and ``seen_key_pos`` of an order number."""
+    inner = F.col(seen) % F.lit(_INNER).cast("decimal(38,0)")
+    file = ((F.col(seen) - inner) / F.lit(_INNER).cast("decimal(18,0)")).cast("decimal(20,0)")
+    number = inner.cast("bigint")
+    return {
+        "seen_file_seq": F.when(file != 0, (file - _decimal(2**63 + 1)).cast("bigint")),
+        "seen_entry_idx": F.floor(number % 10 ** (_ENTRY_DIGITS + _KEY_DIGITS) / 10**_KEY_DIGITS).cast("bigint"),
+        "seen_key_pos": (number % 10**_KEY_DIGITS).cast("int"),
+    }
+
+
+def first_seen(cells: DataFrame) -> DataFrame:
+    """Distinct values of each (group, key) with the order number of their first cell; no cell is sorted for it."""
+    return named_groups(cells).groupBy("group_id", "key", "value").agg(F.min(seen_order()).alias("seen"))
 
 
 def merge_header(cells: DataFrame) -> DataFrame:
-    """First value per (group, key), and whether all values agree."""
-    order = seen_order()
-    return cells.groupBy("group_id", "key").agg(
-        F.min_by("value", order).alias("value"),
-        F.min(order).alias("seen"),
-        (F.min("value") == F.max("value")).alias("consistent"),
+    """First value per (group, key), and whether all values agree; where two files have one place, the smaller value is first."""
+    return first_seen(cells).groupBy("group_id", "key").agg(
+        F.min_by("value", F.struct("seen", "value")).alias("value"), F.min("seen").alias("seen"), (F.count(F.lit(1)) == 1).alias("consistent")
     )
 
 
@@ -45,21 +73,9 @@ def detect_conflicts(cells: DataFrame) -> DataFrame:
 
     One row per value; ``seen_*`` order them, the first row is the value that won.
     """
-    values = cells.groupBy("group_id", "key", "value").agg(F.min(seen_order()).alias("seen"))
-    split = (
-        cells.groupBy("group_id", "key")
-        .agg((F.min("value") < F.max("value")).alias("differs"))
-        .where("differs")
-        .select("group_id", "key")
-    )
-    return values.join(split, ["group_id", "key"], "left_semi").select(
-        "group_id",
-        "key",
-        "value",
-        F.col("seen.file_seq").alias("seen_file_seq"),
-        F.col("seen.entry_idx").alias("seen_entry_idx"),
-        F.col("seen.key_pos").alias("seen_key_pos"),
-    )
+    values = first_seen(cells)
+    split = values.groupBy("group_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("group_id", "key")
+    return values.join(split, ["group_id", "key"], "left_semi").withColumns(seen_parts("seen")).drop("seen")
 
 
 def named_groups(rows: DataFrame) -> DataFrame:

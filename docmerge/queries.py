@@ -446,17 +446,20 @@ def _pivot_rows(spark, sf):
     return M.merge_nested(*_results(spark, sf), T.ORDER_TEMPLATE, entry_counts=_entry_counts(spark, sf))
 
 
+def _stored_pivot_rows(spark, sf):
+    return checkpointed(_pivot_rows(spark, sf).select("group_id", "group_seq", "entry_idx", "label", "data"))
+
+
 @query
 def pivot_wide(spark, sf):
-    rows = checkpointed(_pivot_rows(spark, sf).select("group_id", "group_seq", "entry_idx", "label", "data"))
-    return S.pivot_long_to_wide(rows, T.ORDER_TEMPLATE, [T.ORDER_PRESET])
+    return S.pivot_long_to_wide(_stored_pivot_rows(spark, sf), T.ORDER_TEMPLATE, [T.ORDER_PRESET])
 
 
 @query
 def pivot_cells(spark, sf):
     """Two presets; the second writes its values under other names."""
     presets = [T.ORDER_PRESET, PivotPreset(pivot_key="line", values=("qty",))]
-    return S.pivot_cells(_pivot_rows(spark, sf), T.ORDER_TEMPLATE, presets)
+    return S.pivot_cells(_stored_pivot_rows(spark, sf), T.ORDER_TEMPLATE, presets)
 
 
 @query
