@@ -17,8 +17,9 @@ from docmerge.functions.jsontext import SETTLED_OBJECT, given_sql, pairs_sql
 from docmerge.functions.keys import is_structure_key, is_valid_key, is_valid_key_sql, normalize_key, normalize_key_sql
 from docmerge.functions.text import apply_sql, bind, pattern
 from docmerge.functions.values import normalize_value, normalize_value_sql
+from docmerge.operators.identity import ID, id_columns, join_on
 
-_ID = ("group_id", "file_id", "file_name", "file_seq")
+_ID = ("group_id", *ID, "file_name", "file_seq")
 
 
 def strip_common_prefix_sql(pairs: str) -> str:
@@ -63,7 +64,8 @@ def entry_objects(results: DataFrame, entries: DataFrame | None = None) -> DataF
     """Entries of the results, one row each, from the array column or from a long entry table."""
     ids = [c for c in _ID if c in results.columns]
     if entries is not None:
-        return results.select(*ids).join(entries.select("file_id", "entry_idx", "entry_json"), "file_id")
+        key = id_columns(results, entries)
+        return join_on(results.select(*ids), entries.select(*key, "entry_idx", "entry_json"), key)
     if "entries_json" not in results.columns:
         results = results.withColumn("entries_json", F.lit(None).cast("array<string>"))
     return results.select(*ids, F.posexplode("entries_json").alias("entry_idx", "entry_json")).withColumn(

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from docmerge.functions.text import bind, let
 from docmerge.operators.cells import clean_map, entry_objects, mergeable, to_cells
 from docmerge.operators.grouping import UNKNOWN_GROUP
+from docmerge.operators.identity import ID, id_columns, join_on
 from docmerge.operators.ordering import group_struct, scan_totals
 from docmerge.operators.template import normalized_keys, sql_string
 from docmerge.schemas import Template
@@ -181,7 +182,7 @@ def _with_group_key(df: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 
 def count_entries(entries: DataFrame) -> DataFrame:
-    return entries.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_entries"))
+    return entries.groupBy(*id_columns(entries)).agg(F.count(F.lit(1)).alias("n_entries"))
 
 
 def _entry_counts(ok: DataFrame, entries: DataFrame | None, counts: DataFrame | None = None) -> DataFrame:
@@ -189,7 +190,8 @@ def _entry_counts(ok: DataFrame, entries: DataFrame | None, counts: DataFrame |
         size = F.coalesce(F.size("entries_json"), F.lit(0)) if "entries_json" in ok.columns else F.lit(0)
         return ok.withColumn("n_entries", size.cast("bigint"))
     counts = count_entries(entries) if counts is None else counts
-    return ok.join(counts, "file_id", "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
+    key = id_columns(ok, counts)
+    return join_on(ok, counts.select(*key, "n_entries"), key, "left").withColumn("n_entries", F.coalesce("n_entries", F.lit(0)))
 
 
 ROW_COLUMNS = (
@@ -216,7 +218,7 @@ def merge_nested(
     origins = ("header",) if strict else ("header", "data")
     headers = group_maps(merge_header(mergeable(to_cells(ok, origins=origins))))
 
-    slim = [c for c in ("group_id", "file_id", "file_name", "file_seq", "entries_json") if c in ok.columns]
+    slim = [c for c in ("group_id", *ID, "file_name", "file_seq", "entries_json") if c in ok.columns]
     files = _entry_counts(ok.select(*slim), entries, entry_counts).drop("entries_json")
     stats = files.groupBy("group_id").agg(
         F.count_distinct("file_name").alias("n_sources"),
@@ -232,15 +234,16 @@ def merge_nested(
         }
     ).drop("data", "consistency")
 
+    own = id_columns(ok)
     placed = scan_totals(
-        files.where("n_entries > 0").select("group_id", "file_id", "file_seq", "n_entries"),
-        ["group_id"], ["file_seq", "file_id"], weight=F.col("n_entries"), out="row_base",
+        files.where("n_entries > 0").select("group_id", *own, "file_seq", "n_entries"),
+        ["group_id"], ["file_seq", "file_id", *[c for c in own if c != "file_id"]], weight=F.col("n_entries"), out="row_base",
     )
-    context = placed.select("group_id", "file_id", "row_base").join(group_info, "group_id")
-
-    objects = entry_objects(ok.select("file_id", *[c for c in ("entries_json",) if c in ok.columns])) if entries is None else entries
-    parsed = objects.select("file_id", "entry_idx", F.coalesce(clean_map("entry_json"), empty).alias("entry"))
-    entry_rows = parsed.join(context, "file_id").select(
+    objects = entry_objects(ok.select(*own, *[c for c in ("entries_json",) if c in ok.columns])) if entries is None else entries
+    key = id_columns(ok, objects)
+    context = placed.select("group_id", *key, "row_base").join(group_info, "group_id")
+    parsed = objects.select(*key, "entry_idx", F.coalesce(clean_map("entry_json"), empty).alias("entry"))
+    entry_rows = join_on(parsed, context, key).select(
         *group_info.columns,
         (F.col("row_base") + F.col("entry_idx")).alias("entry_idx"),
         override("header", "entry").alias("data"),

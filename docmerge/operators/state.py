@@ -8,22 +8,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docmerge.operators.identity import ID, id_columns, join_on, row_hash
 
-def _keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """One row per key; map tasks drop the losers before the shuffle."""
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("__rank = 1").drop("__rank")
+
+def _keep_first(df: DataFrame, order: list[Column]) -> DataFrame:
+    """One row per file of a session; map tasks drop the losers before the shuffle. What ``order`` leaves open goes by the row's hash."""
+    window = Window.partitionBy(*id_columns(df)).orderBy(*order, row_hash(df))
+    return df.withColumn("__rank", F.row_number().over(window)).where("__rank = 1").drop("__rank")
+
+
+def _newest(df: DataFrame) -> list[Column]:
+    return [F.desc(c) for c in ("result_seq", "attempt") if c in df.columns]
 
 
 def latest_results(results: DataFrame) -> DataFrame:
-    """The last written result of each file."""
-    return _keep_first(results, ["file_id"], [F.desc("result_seq")])
+    """The last written result of each file of a session; of equal versions the later attempt."""
+    return _keep_first(results, _newest(results))
 
 
 def best_results(results: DataFrame, n_fields: str = "n_fields") -> DataFrame:
-    """Success beats failure, then more fields, then the earlier result."""
+    """Success beats failure, then more fields, then the earlier result, then the earlier attempt."""
     fields = F.when(F.col("success"), F.col(n_fields)).otherwise(0)
-    return _keep_first(results, ["file_id"], [F.desc("success"), fields.desc(), F.asc("result_seq")])
+    return _keep_first(results, [F.desc("success"), fields.desc(), *[F.asc(c) for c in ("result_seq", "attempt") if c in results.columns]])
 
 
 def field_count(data_json: str = "data_json", entries_json: str = "entries_json") -> Column:
@@ -69,15 +75,18 @@ def has_header(results: DataFrame) -> bool:
 
 
 def pending_files(files: DataFrame, results: DataFrame, force: bool = False) -> DataFrame:
-    """Files without a successful result."""
-    return files if force else files.join(successful(results).select("file_id"), "file_id", "left_anti")
+    """Files without a successful result in their session."""
+    return files if force else join_on(files, successful(results), id_columns(files, results), "left_anti")
 
 
 def inherit_group(files: DataFrame, results: DataFrame) -> DataFrame:
-    """Keep the group that an earlier result of the file had."""
-    earlier = latest_results(results).select("file_id", F.col("group_id").alias("__earlier"))
+    """Keep the group that an earlier result of the file had in its session."""
+    key = id_columns(files, results)
+    earlier = latest_results(results).select(*key, F.col("group_id").alias("__earlier"))
+    if len(key) < len(id_columns(results)):  # files without sessions: one of the file's groups
+        earlier = earlier.groupBy(*key).agg(F.max("__earlier").alias("__earlier"))
     group = F.coalesce(F.when(F.col("__earlier") != "", F.col("__earlier")), F.col("group_id"))
-    return files.join(earlier, "file_id", "left").withColumn("group_id", group).drop("__earlier")
+    return join_on(files, earlier, key, "left").withColumn("group_id", group).drop("__earlier")
 
 
 EXPIRED = "source file is no longer available"
@@ -86,11 +95,11 @@ EXPIRED = "source file is no longer available"
 def resume_plan(files: DataFrame, results: DataFrame, available: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files to work on, failed results for pending files whose source is gone)."""
     pending = pending_files(files, results)
-    stored = available.select("session_id", "file_id")
+    stored = available.select(*ID)
     inline = pending.where(F.col("session_id").isNull())
     held = pending.where(F.col("session_id").isNotNull())
-    work = held.join(stored, ["session_id", "file_id"], "left_semi").unionByName(inline)
-    gone = held.join(stored, ["session_id", "file_id"], "left_anti").select(
+    work = held.join(stored, list(ID), "left_semi").unionByName(inline)
+    gone = held.join(stored, list(ID), "left_anti").select(
         "session_id",
         "file_id",
         "file_name",
@@ -103,21 +112,26 @@ def resume_plan(files: DataFrame, results: DataFrame, available: DataFrame) -> t
 
 
 def overlay_retry(results: DataFrame, retry: DataFrame) -> DataFrame:
-    """Retry success replaces a result but keeps its group; retry failure only updates the error."""
+    """Retry success replaces a result but keeps its group; retry failure only updates the error.
+
+    Of several retries of a file a successful one counts, of these the newest.
+    """
+    key = id_columns(results, retry)
+    retry = retry.select([c for c in retry.columns if c in key or c not in ID])
     again = F.struct(*[c for c in results.columns if c in retry.columns])
-    fresh = retry.select("file_id", again.alias("__new"))
+    fresh = _keep_first(retry, [F.desc("success"), *_newest(retry)]).select(*key, again.alias("__new"))
     new_ok = F.coalesce(F.col("__new.success"), F.lit(False))
     tried = F.col("__new").isNotNull()
     columns = []
     for name in results.columns:
         old = F.col(name)
-        if name in ("file_id", "group_id") or name not in retry.columns:
+        if name in (*ID, "group_id") or name not in retry.columns:
             columns.append(old)
         elif name == "error":
             columns.append(F.when(tried, F.col("__new.error")).otherwise(old).alias(name))
         else:
             columns.append(F.when(new_ok, F.col(f"__new.`{name}`")).otherwise(old).alias(name))
-    return results.join(fresh, "file_id", "left").select(*columns)
+    return join_on(results, fresh, key, "left").select(*columns)
 
 
 def all_results(*parts: DataFrame) -> DataFrame:

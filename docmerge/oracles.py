@@ -10,7 +10,7 @@ _S = r"[\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 _SI = _S[1:-1]
 
 # Files of the documents table, with their group key.
-_FILES = rf"""
+FILES_SQL = rf"""
 named AS (
   SELECT CAST(doc_id AS VARCHAR) AS file_id, doc_id AS file_seq, lang AS session_id, text,
     CASE doc_id % 5 WHEN 0 THEN source || 'x-' || doc_id || '.txt'
@@ -110,18 +110,18 @@ def _trim(x: str) -> str:
 
 
 _ORACLES: dict[str, str] = {
-    "group_files": f"WITH {_FILES} SELECT group_id, count(*) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
-    "group_manifest_merge": f"WITH {_FILES} SELECT group_id, count(DISTINCT file_id) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
-    "group_manifest_appended": f"""WITH {_FILES} SELECT group_id, count(*) + count(*) FILTER (session_id IN ('en', 'de')) AS file_count
+    "group_files": f"WITH {FILES_SQL} SELECT group_id, count(*) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
+    "group_manifest_merge": f"WITH {FILES_SQL} SELECT group_id, count(DISTINCT file_id) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
+    "group_manifest_appended": f"""WITH {FILES_SQL} SELECT group_id, count(*) + count(*) FILTER (session_id IN ('en', 'de')) AS file_count
         FROM files GROUP BY group_id""",
-    "assign_group": f"""WITH {_FILES} SELECT file_id,
+    "assign_group": f"""WITH {FILES_SQL} SELECT file_id,
         CASE WHEN file_seq IN (SELECT doc_id FROM labels) THEN group_id ELSE 'group-unknown' END AS group_id FROM files""",
     "fallback_groups": f"""WITH {_RES} SELECT group_id, arg_max(split_part(file_name, '.', 1), file_seq) AS group_key,
         CAST(1 AS BIGINT) AS file_count, min(file_seq) AS group_seq FROM res GROUP BY group_id""",
-    "accumulate_group_counts": f"WITH {_FILES} SELECT group_id, count(*) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
-    "filter_groups": f"""WITH {_FILES} SELECT group_id, count(*) AS file_count FROM files
+    "accumulate_group_counts": f"WITH {FILES_SQL} SELECT group_id, count(*) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
+    "filter_groups": f"""WITH {FILES_SQL} SELECT group_id, count(*) AS file_count FROM files
         WHERE group_id IN (SELECT group_id FROM files JOIN labels ON file_seq = doc_id WHERE toxic = 1) GROUP BY group_id""",
-    "batch_numbers": f"""WITH {_FILES}, n AS (SELECT session_id, count(*) AS c FROM files GROUP BY session_id)
+    "batch_numbers": f"""WITH {FILES_SQL}, n AS (SELECT session_id, count(*) AS c FROM files GROUP BY session_id)
         SELECT session_id, file_id, CAST(floor((row_number() OVER (PARTITION BY session_id ORDER BY file_seq) - 1)
           / CASE WHEN c <= 100 THEN 5 WHEN c <= 200 THEN 8 ELSE 10 END) AS BIGINT) AS batch_no FROM files JOIN n USING (session_id)""",
     "check_limits": """WITH t AS (SELECT count(*) AS n, CAST(sum(octet_length(encode(text))) AS BIGINT) AS total,
@@ -253,10 +253,10 @@ _ORACLES: dict[str, str] = {
     "latest_results": f"WITH {_VERSIONS} SELECT file_id, attempt, success FROM versions QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY attempt DESC) = 1",
     "best_results": f"""WITH {_VERSIONS} SELECT file_id, attempt, success, n_fields FROM versions QUALIFY row_number() OVER
         (PARTITION BY file_id ORDER BY success DESC, CASE WHEN success THEN n_fields ELSE 0 END DESC, attempt) = 1""",
-    "pending_files": f"WITH {_FILES} SELECT file_id, file_name FROM files WHERE file_seq NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
+    "pending_files": f"WITH {FILES_SQL} SELECT file_id, file_name FROM files WHERE file_seq NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "inherit_group": f"""WITH {_RES}, {_VERSIONS}, last AS (SELECT file_id, arg_max(group_id, attempt) AS g FROM versions WHERE attempt > 1 GROUP BY file_id)
         SELECT file_id, coalesce(g, group_id) AS group_id FROM res LEFT JOIN last USING (file_id)""",
-    "resume_plan": f"""WITH {_FILES}, s AS (SELECT file_id, file_seq IN (SELECT doc_id FROM labels) AS kept FROM files)
+    "resume_plan": f"""WITH {FILES_SQL}, s AS (SELECT file_id, file_seq IN (SELECT doc_id FROM labels) AS kept FROM files)
         SELECT file_id, CASE WHEN kept THEN 'work' ELSE 'gone' END AS state,
         CASE WHEN NOT kept THEN 'source file is no longer available' END AS error FROM s""",
     "overlay_retry": f"""WITH {_VERSIONS}, a AS (SELECT * FROM versions WHERE attempt = 1), b AS (SELECT * FROM versions WHERE attempt = 2)
@@ -301,10 +301,10 @@ _ORACLES: dict[str, str] = {
         SELECT g AS group_id, count(*) AS n_files,
           CAST(sum(n) + 2 * (count(*) - 1) + length('Group ' || CAST(to_json(g) AS VARCHAR) || ':' || chr(10) || '[' || chr(10) || chr(10) || ']') AS BIGINT) AS chars
         FROM t GROUP BY g""",
-    "extraction_prompt_sizes": f"""WITH {_FILES} SELECT file_id, md5(CASE WHEN coalesce(text, '') = '' THEN '{NO_TEXT_REQUEST}'
+    "extraction_prompt_sizes": f"""WITH {FILES_SQL} SELECT file_id, md5(CASE WHEN coalesce(text, '') = '' THEN '{NO_TEXT_REQUEST}'
           ELSE replace('{TEXT_PREFIX.replace(chr(10), "~")}', '~', chr(10)) || text END) AS prompt_md5,
         CAST({len(system_prompt(ORDER_TEMPLATE))} AS BIGINT) AS system_chars, length(text) AS text_chars FROM files""",
-    "extract_documents": f"""WITH {_FILES} SELECT file_id, group_id, true AS success, CAST(length(text) AS VARCHAR) AS chars,
+    "extract_documents": f"""WITH {FILES_SQL} SELECT file_id, group_id, true AS success, CAST(length(text) AS VARCHAR) AS chars,
         CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS VARCHAR) AS lines, 1 AS attempt FROM files""",
     "merge_groups_with_model": f"""WITH {_RES} SELECT group_id, CAST(0 AS BIGINT) AS entry_idx,
         {', '.join(f'arg_min({k}, file_seq) AS {k}' for k in _HKEYS)}, CASE WHEN count(*) > 1 THEN 'ai' ELSE 'single' END AS merge_method
@@ -327,7 +327,8 @@ _ORACLES: dict[str, str] = {
 
 
 # Answers of the stand-in models, by the length of the prompt.
-_PROMPT = f"""{_FILES}, p AS (SELECT *, CASE WHEN coalesce(text, '') = '' THEN {len(NO_TEXT_REQUEST)} ELSE {len(TEXT_PREFIX)} + length(text) END AS n FROM files)"""
+PROMPT_CHARS_SQL = f"CASE WHEN coalesce(text, '') = '' THEN {len(NO_TEXT_REQUEST)} ELSE {len(TEXT_PREFIX)} + length(text) END"
+_PROMPT = f"{FILES_SQL}, p AS (SELECT *, {PROMPT_CHARS_SQL} AS n FROM files)"
 _ORACLES |= {
     "messy_cells": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS file_id, * FROM orders)
         SELECT file_id, '状态' AS key, o_orderstatus AS value FROM o WHERE o_orderkey % 3 = 2
@@ -379,4 +380,6 @@ _ORACLES["merge_groups_in_parts"] = _ORACLES["merge_groups_with_model"]
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    from docmerge import flow_queries
+
+    return _ORACLES | flow_queries.oracle_sql()

@@ -14,6 +14,7 @@ from docmerge.functions.jsontext import pairs_sql, quote_json
 from docmerge.functions.keys import is_structure_key
 from docmerge.functions.values import normalize_value_sql
 from docmerge.operators.grouping import UNKNOWN_GROUP
+from docmerge.operators.identity import id_columns
 from docmerge.operators.ordering import with_position
 from docmerge.operators.template import candidates_by_key, normalized_keys, resolve_sql, sql_string, template_mismatch, with_norm_sql
 from docmerge.operators.validate import entries_from_response
@@ -34,8 +35,9 @@ _MAP = "map<string,string>"
 def _items(results: DataFrame) -> DataFrame:
     """What a prompt lists: successful results with their place in the group."""
     ok = results.where("success AND data_json IS NOT NULL").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
-    slim = ok.select("group_id", "file_seq", "file_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "data_json")
-    return with_position(slim, KEYS, tie=["file_id"]).select("group_id", "pos", "file_name", "data_json")
+    tie = id_columns(ok)[::-1]
+    slim = ok.select("group_id", "file_seq", *tie, F.coalesce("file_name", F.lit("")).alias("file_name"), "data_json")
+    return with_position(slim, KEYS, tie=tie).select("group_id", "pos", "file_name", "data_json")
 
 
 def _prompts(items: DataFrame, max_files: int | None) -> DataFrame:

@@ -45,7 +45,9 @@ def query(f: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from docmerge import flow_queries
+
+    return _QUERIES | flow_queries.queries()
 
 
 # --- grouping ----------------------------------------------------------------
@@ -922,14 +924,14 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-def _shared_folder(spark) -> str:
+def shared_folder(spark) -> str:
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
 
 
 def _run_complete(df: DataFrame) -> DataFrame:
     """Final state of a complete-mode stream, stored in the shared folder."""
-    folder = _shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession)
 
     def store(batch, _):
         batch.write.mode("overwrite").parquet(f"{folder}/out")
@@ -941,7 +943,7 @@ def _run_complete(df: DataFrame) -> DataFrame:
 
 
 def _run_append(df: DataFrame) -> DataFrame:
-    folder = _shared_folder(df.sparkSession)
+    folder = shared_folder(df.sparkSession)
     df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out").option(
         "checkpointLocation", f"{folder}/state"
     ).trigger(availableNow=True).start().awaitTermination()
@@ -967,7 +969,7 @@ def silent_model(prompts):
 @query
 def stream_versions(spark, sf):
     """A stream run that fails everywhere, then one on a checkpoint of its own: its results replace the failures."""
-    folder = _shared_folder(spark)
+    folder = shared_folder(spark)
     docs = _stream(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("file_id"), F.concat("source", F.lit("x_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_name"), F.col("doc_id").alias("file_seq"), "text",
     )
