@@ -39,9 +39,14 @@ def valid_template(columns: DataFrame) -> DataFrame:
     )
 
 def template_from_answers(answers: DataFrame, column: str = "json") -> DataFrame:
-    """Usable template rows of answers to ``template_prompt`` (a JSON object with ``columns``)."""
+    """Usable template rows of answers to ``template_prompt`` (a JSON object with ``columns``).
+
+    Of equal keys the first counts, by ``file_seq`` if the answers have it, then by place.
+    """
     schema = "columns array<struct<key:string,type:string,description:string,example:string,repeating:boolean>>"
-    return valid_template(answers.select(F.posexplode(F.from_json(column, schema)["columns"]).alias("pos", "c")).select("pos", "c.*"))
+    seq = [c for c in ("file_seq",) if c in answers.columns]
+    columns = answers.select(*seq, F.posexplode(F.from_json(column, schema)["columns"]).alias("at", "c"))
+    return valid_template(columns.select(F.struct(*seq, "at").alias("pos"), "c.*"))
 
 def template_candidates(spark: SparkSession, template: Template) -> list[tuple[int, str, str, int]]:
     """(pos, key, clean candidate, priority): the whole key first, then the parts of a/b/c keys."""

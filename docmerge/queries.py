@@ -200,13 +200,13 @@ def template_prompt(spark, sf):
 
 @query
 def template_from_answers(spark, sf):
-    """Columns proposed for parts: unknown types, blank keys and repeated keys are dropped."""
+    """Columns proposed for each part: unknown types, blank keys and repeated keys are dropped."""
     p = F.col("p_partkey")
     column = F.struct(
         F.when(p % 9 == 0, " ").otherwise(F.col("p_brand")).alias("key"), F.when(p % 4 == 0, "date").otherwise("string").alias("type"),
         F.col("p_name").alias("description"), F.col("p_type").alias("example"), (p % 2 == 0).alias("repeating"),
     )
-    answers = T.table(spark, sf, "part").groupBy("p_brand").agg(F.to_json(F.struct(F.sort_array(F.collect_list(column)).alias("columns"))).alias("json"))
+    answers = T.table(spark, sf, "part").select(p.alias("file_seq"), F.to_json(F.struct(F.array(column).alias("columns"))).alias("json"))
     return TP.template_from_answers(answers).select("key", "type")
 
 

@@ -147,6 +147,17 @@ def test_csv_bytes(spark, tmp_path):
     assert all(c.startswith("﻿id\r\n".encode()) for c in read_parts(str(tmp_path / "many"), ".txt"))
 
 
+def test_xlsx_of_an_empty_table_has_its_header(spark, tmp_path):
+    df = spark.createDataFrame([("x", 1)], "a string, b int")
+    for mode in ("append", "overwrite"):
+        write_xlsx(df.where("b > 1").repartition(3), str(tmp_path / "empty"), mode)
+    books = os.listdir(tmp_path / "empty")
+    assert len(books) == 1 and books[0].endswith(".xlsx")
+    with zipfile.ZipFile(tmp_path / "empty" / books[0]) as z:
+        sheet = z.read("xl/worksheets/sheet1.xml").decode()
+    assert sheet.count("<row>") == 1 and ">a<" in sheet and ">b<" in sheet
+
+
 def test_json_and_xlsx(spark, tmp_path):
     df = table(spark)
     write_json(df, str(tmp_path / "json"))
