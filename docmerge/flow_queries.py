@@ -17,9 +17,12 @@ from docmerge.operators import state as ST
 from docmerge.operators.ordering import scan_totals
 from docmerge.oracles import FILES_SQL, PROMPT_CHARS_SQL
 from docmerge.plans import extract as X
-from docmerge.queries import moody_extractor, shared_folder
+from docmerge.plans.extract import facts_extractor
+from docmerge.queries import moody_extractor, shared_folder, stubborn_extractor
+from docmerge.schemas import TemplateColumn
 from docmerge.sinks.results import current_results, write_results
 from docmerge.sources import tables as T
+from docmerge.streaming.retries import settle
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -168,3 +171,46 @@ def conflicts_ungrouped(spark, sf):
         F.col("o_orderkey").alias("file_seq"), F.to_json(F.struct(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))).alias("header_json"),
     )
     return M.detect_conflicts(C.mergeable(C.to_cells(results, origins=("header",)))).select("group_id", "key", "value", "seen_file_seq")
+
+
+# --- streams ---------------------------------------------------------------------------
+
+
+def _arriving(spark, sf):
+    """The documents as files that arrive in two batches, half of them without a session."""
+    files = T.document_files(spark, sf).withColumn("session_id", F.when(F.col("file_seq") % 2 == 0, "a"))
+    folder = f"{shared_folder(spark)}"
+    files.repartition(2, "file_seq").write.parquet(f"{folder}/files")
+    return folder, spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/files")
+
+
+def slow_learner(prompts):
+    """Stand-in for a model that needs three attempts for some documents: unreadable, then too short, then size facts."""
+    answers = []
+    for p, facts in zip(prompts, facts_extractor(prompts)):
+        if len(p.user) % 3 != 1 or "too_few_fields" in (p.feedback or ""):
+            answers.append(facts)
+        else:
+            answers.append('{"chars": 1}' if p.feedback else "nothing")
+    return answers
+
+
+@query(f"""WITH {FILES_SQL}, p AS (SELECT *, {PROMPT_CHARS_SQL} AS n FROM files)
+    SELECT CASE WHEN file_seq % 2 = 0 THEN 'a' END AS session_id, file_id, group_id, true AS success, CAST(length(text) AS VARCHAR) AS chars, CASE WHEN n % 3 = 1 THEN 3 ELSE 1 END AS attempt FROM p""")
+def stream_retried(spark, sf):
+    """Files that arrive in two batches, asked again over further runs from the checkpoint until the third attempt succeeds."""
+    folder, files = _arriving(spark, sf)
+    settle(files, slow_learner, f"{folder}/results", f"{folder}/state")
+    out = current_results(spark, f"{folder}/results")
+    return out.select("session_id", "file_id", "group_id", "success", F.get_json_object("data_json", "$.chars").alias("chars"), "attempt")
+
+
+@query(f"""WITH {FILES_SQL}, p AS (SELECT *, {PROMPT_CHARS_SQL} AS n FROM files)
+    SELECT CASE WHEN file_seq % 2 = 0 THEN 'a' END AS session_id, file_id, n % 3 <> 0 AS success, CASE WHEN n % 3 <> 0 THEN CAST(length(text) AS VARCHAR) END AS chars, 3 AS attempt, n % 3 = 0 AS failed FROM p""")
+def stream_fallback(spark, sf):
+    """A form that is never filled: after two attempts one without it, or a failed result, as in the batch form."""
+    folder, files = _arriving(spark, sf)
+    template = [TemplateColumn("title"), TemplateColumn("item", repeating=True)]
+    settle(files, stubborn_extractor, f"{folder}/results", f"{folder}/state", template, max_attempts=2)
+    out = current_results(spark, f"{folder}/results")
+    return out.select("session_id", "file_id", "success", F.get_json_object("data_json", "$.chars").alias("chars"), "attempt", F.col("error").isNotNull().alias("failed"))
