@@ -6,6 +6,7 @@ They write what they need from the given tables to the shared folder and read it
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,8 @@ from docmerge.plans import extract as X
 from docmerge.plans.extract import facts_extractor
 from docmerge.queries import moody_extractor, shared_folder, stubborn_extractor
 from docmerge.schemas import TemplateColumn
-from docmerge.sinks.results import current_results, write_results
+from docmerge.session import checkpointed
+from docmerge.sinks.results import compact_days, current_results, expire_days, write_daily, write_results
 from docmerge.sources import tables as T
 from docmerge.streaming.retries import settle
 
@@ -128,6 +130,35 @@ def latest_ties(spark, sf):
     return same.join(newest.groupBy("file_id").agg(F.count("*").alias("n")), "file_id").select("file_id", "attempt", "n")
 
 
+# --- expiry by days ------------------------------------------------------------------
+
+#: Sessions begin on four days, the orders of a customer are one session; the age limit falls on noon of the second day.
+_BEGUN_SQL = """b AS (SELECT o_orderkey, o_custkey, o_custkey % 4 AS d, CASE WHEN o_custkey % 8 < 4 THEN 9 ELSE 15 END AS h FROM orders)"""
+
+
+@query(f"""WITH {_BEGUN_SQL}, v AS (SELECT *, 1 AS result_seq FROM b UNION ALL SELECT *, 2 FROM b WHERE o_orderkey % 2 = 0),
+    k AS (SELECT * FROM v WHERE (d > 1 OR d = 1 AND h = 15) AND (d <> 2 OR result_seq = 2 OR o_orderkey % 2 <> 0))
+    SELECT CAST(d AS BIGINT) AS d, count(*) AS n_rows, CAST(sum(result_seq) AS BIGINT) AS seqs, d = 3 AS same_files, d = 1 AS in_changed FROM k GROUP BY d""")
+def expire_and_compact(spark, sf):
+    """Four days of results: one is deleted, one cut, one compacted, and the files of the last keep their names."""
+    c = F.col("o_custkey")
+    begun = F.make_timestamp(F.lit(2024), F.lit(5), (c % 4 + 1).cast("int"), F.when(c % 8 < 4, 9).otherwise(15), F.lit(0), F.lit(0))
+    rows = T.table(spark, sf, "orders").select(
+        c.cast("string").alias("session_id"), F.col("o_orderkey").cast("string").alias("file_id"), begun.alias("created_at"), (c % 4).alias("d"), (F.col("o_orderkey") % 2).alias("odd"), F.lit(True).alias("success")
+    )
+    path = f"{shared_folder(spark)}/daily"
+    write_daily(rows, path, result_seq=1)
+    write_daily(rows.where("odd = 0"), path, result_seq=2)
+    names = lambda: spark.read.parquet(path).select("d", F.col("_metadata.file_name").alias("name")).distinct()
+    before = checkpointed(names())
+    changed = expire_days(spark, path, datetime(2024, 5, 9, 12), "7 days")
+    compact_days(spark, path, [date(2024, 5, 3), date(2024, 5, 30)])
+    kept = before.join(names(), ["d", "name"]).groupBy("d").agg(F.count("*").alias("kept"))
+    same = before.groupBy("d").agg(F.count("*").alias("n")).join(kept, "d", "left").select("d", (F.coalesce("kept", F.lit(0)) == F.col("n")).alias("same_files"))
+    after = spark.read.parquet(path).groupBy("d").agg(F.count("*").alias("n_rows"), F.sum("result_seq").alias("seqs"))
+    return after.join(same, "d").withColumn("in_changed", F.col("d").isin([day.day - 1 for day in changed]))
+
+
 # --- positions -----------------------------------------------------------------------
 
 

@@ -144,7 +144,7 @@ def all_results(*parts: DataFrame) -> DataFrame:
 
 def live_sessions(df: DataFrame, now: Column | datetime | None = None, max_age: str = "24 hours") -> DataFrame:
     """Rows of sessions that are not older than ``max_age``; unknown age is kept."""
-    now = F.current_timestamp() if now is None else F.lit(now)
+    now = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
     cutoff = now - F.expr(f"INTERVAL {max_age}")
     return df.where(F.col("created_at").isNull() | (F.col("created_at") >= cutoff))
 
