@@ -25,11 +25,12 @@ def _flat(value: str, key: str = _STRING) -> str:
     return rf"^\{{[ \n]*+(?:{key}[ \n]*+:[ \n]*+(?:{value})[ \n]*+(?:,[ \n]*+(?=\")|(?=\}}$)))*+\}}$"
 
 
-_FLAT_STRINGS = _flat(f"{_STRING}|null")
+FLAT_STRINGS = _flat(f"{_STRING}|null")
 _PLAIN_VALUE = rf"{_STRING}|(?!-0){_WHOLE}|true|false|null"
 _FLAT_PLAIN = _flat(_PLAIN_VALUE)
 # Flat, plain, and with keys of letters and ideographs only: keys and values are clean as they are.
 SETTLED_OBJECT = _flat(_PLAIN_VALUE, r'"[A-Za-z\u4E00-\u9FFF]{2,}+"')
+_STRINGS = r'"(?:[^"\\]++|\\.)*+"'
 _WHOLE_NUMBERS = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|(-?\d+)\.0+(?![\d.eE])'
 
 
@@ -86,7 +87,7 @@ def _keep_last_sql(pairs: str) -> str:
 
 
 def pairs_sql(x: str, loose: bool = False) -> str:
-    flat, kind = (_FLAT_PLAIN, "plain") if loose else (_FLAT_STRINGS, "string")
+    flat, kind = (_FLAT_PLAIN, "plain") if loose else (FLAT_STRINGS, "string")
     plain = f"""transform(map_entries(from_json({x}, {_TEXT_OBJECT})), e -> named_struct('key', e.key,
         'kind', if(e.value IS NULL, 'null', '{kind}'), 'text', coalesce(e.value, 'null')))"""
     # The text form, parsed in the same order, keeps the order of nested keys.
@@ -105,6 +106,13 @@ def items_sql(x: str) -> str:
     return bind(f"from_json({x}, 'array<string>')", "ti", each)
 
 
+def depth_sql(x: str) -> str:
+    """How deep the arrays of a JSON text are nested, read off its brackets outside of strings."""
+    bare = f"regexp_replace(regexp_replace({x}, {pattern(_STRINGS)}, ''), {pattern(r'[^\[\]]++')}, '')"
+    step = "named_struct('now', s.now + if(c = '[', 1, -1), 'most', greatest(s.most, s.now + if(c = '[', 1, 0)))"
+    return f"aggregate(split({bare}, ''), named_struct('now', 0, 'most', 0), (s, c) -> {step}, s -> s.most)"
+
+
 def is_json_object(c: Column | str) -> Column:
     return F.from_json(as_col(c), "map<string,variant>").isNotNull()
 

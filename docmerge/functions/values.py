@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docmerge.functions.jsontext import items_sql, pairs_sql
+from docmerge.functions.jsontext import depth_sql, items_sql, pairs_sql
 from docmerge.functions.text import apply_sql, as_col, bind, trim_sql
 
 # Words read as yes/no.
@@ -37,8 +37,7 @@ def _leaves_sql(text: str) -> str:
     """Items of a JSON array with the arrays among them opened, at any depth; each step opens one level."""
     opened = f"flatten(transform(la, y -> if(y.kind = 'array', {items_sql('y.text')}, array(y))))"
     step = f"if(exists(la, y -> y.kind = 'array'), {opened}, la)"
-    depth = f"length({text}) - length(replace({text}, '[', ''))"
-    return f"aggregate(sequence(1, greatest({depth}, 1)), {items_sql(text)}, (la, lk) -> {step})"
+    return f"aggregate(sequence(1, greatest({depth_sql(text)}, 1)), {items_sql(text)}, (la, lk) -> {step})"
 
 
 def normalize_value_sql(pair: str) -> str:

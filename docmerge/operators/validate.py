@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docmerge.functions.flatten import flat_pairs
 from docmerge.functions.jsontext import items_sql, json_items, pairs_sql, pairs_to_json
 from docmerge.functions.keys import is_valid_key_sql, normalize_key_sql
 from docmerge.functions.text import SPACE, bind, pattern, trim_sql
-from docmerge.operators.reshape import flatten_hyphen_sql, needs_flatten_sql, opened_pairs, unwrap_single_sql
 from docmerge.operators.template import candidates_by_key, non_repeating_columns, repeating_columns, resolve_sql, sql_string, with_norm_sql
 from docmerge.schemas import Template
 
@@ -41,15 +41,7 @@ def validate_flat(df: DataFrame, column: str = "json") -> DataFrame:
     Other values than objects become the field ``result``; nesting beyond one level and
     a single wrapping key are flattened; too few fields and joined table headers are refused.
     """
-    x = f"`{column}`"
-    lone = f"transform({items_sql(f'concat(chr(91), {x}, chr(93))')}, v -> named_struct('key', 'result', 'kind', v.kind, 'text', v.text))"
-    step = df.withColumn("__pairs", F.expr(f"coalesce({pairs_sql(x)}, {lone})"))
-    nested = f"{needs_flatten_sql('__pairs')} OR {unwrap_single_sql('__pairs')}"
-    step = step.withColumn("__nested", F.expr(f"if({nested}, {x}, NULL)"))
-    step = opened_pairs(step, "__nested", "-", "__opened")
-    # A lone array counts as one field that is joined, so it takes the flat form too.
-    flat = f"CASE WHEN __nested IS NULL THEN __pairs WHEN __opened IS NULL THEN {flatten_hyphen_sql('__pairs')} ELSE {flatten_hyphen_sql('__opened')} END"
-    step = step.withColumn("__flat", F.expr(flat))
+    step = df.withColumn("__flat", flat_pairs(column, "answer"))
     punct = pattern(rf"^[{SPACE}:;|，、\-]+")
     named = f"transform(__flat, p -> named_struct('key', {trim_sql(f'regexp_replace(p.key, {punct}, {chr(39) * 2})')}, 'kind', p.kind, 'text', p.text))"
     step = step.withColumn("__named", F.expr(_unique_sql(f"filter({named}, p -> p.key <> '')")))
