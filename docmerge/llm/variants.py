@@ -32,9 +32,9 @@ LEAST_LENGTH, LEAST_COUNT, DIVISOR, FORM_TIMES = 6, 5, 199, 5
 #: Maximal runs of letters; shorter ones than a word give none.
 _RUN = re.compile(rf"[A-Za-z\u00C0-\u00FF]{{{LEAST_LENGTH},}}")
 _LOWER = {upper: upper + 32 for upper in range(ord("A"), ord("Z") + 1)}
-GROUPS = 12
+GROUPS = 20
 #: Words of one cell that meet in one task; a task holds several cells' words and their seekers.
-CELL_WORDS = 20_000
+CELL_WORDS = 8_000
 _HELD_WORDS = 200_000
 
 
@@ -77,13 +77,23 @@ def vector(word: str) -> tuple[int, ...]:
     return tuple(counts)
 
 
-def reached(path: tuple[int, ...]) -> list[tuple[int, ...]]:
-    """Upper paths that the search from ``path`` may enter: itself, one surplus, or one surplus and a later deficit."""
-    found = [path]
-    for i in range(len(path)):
-        more = (*path[:i], path[i] + 1, *path[i + 1 :])
-        found.append(more)
-        found += [(*more[:j], more[j] - 1, *more[j + 1 :]) for j in range(i + 1, len(path)) if more[j] > 0]
+def cell_name(path: tuple[int, ...]) -> str:
+    return ",".join(map(str, path))
+
+
+def reached(path: tuple[int, ...]) -> list[tuple[str, int, int]]:
+    """Cells that the search from the upper path may enter, with the surplus and deficit that are left there: its own, one surplus, or one surplus and a later deficit."""
+    here = [str(count) for count in path]
+    found = [(",".join(here), 1, 1)]
+    for i, count in enumerate(path):
+        here[i] = str(count + 1)
+        found.append((",".join(here), 0, 1))
+        for j in range(i + 1, len(path)):
+            if path[j] > 0:
+                here[j] = str(path[j] - 1)
+                found.append((",".join(here), 0, 0))
+                here[j] = str(path[j])
+        here[i] = str(count)
     return found
 
 
@@ -91,6 +101,9 @@ def is_near(a: str, b: str) -> bool:
     """Whether exactly one inserted, deleted or replaced code point turns ``a`` into ``b``."""
     if len(a) > len(b):
         a, b = b, a
+    half = len(a) // 2
+    if a[:half] != b[:half] and a[half:] != b[half - len(a) :]:  # one edit leaves the first or the last half as it is
+        return False
     if len(b) - len(a) > 1 or a == b:
         return False
     at = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
@@ -98,22 +111,23 @@ def is_near(a: str, b: str) -> bool:
 
 
 class Trie:
-    """Words by the successive counts of their letter groups."""
+    """Words by the successive counts of their letter groups, from level ``depth`` on."""
 
-    def __init__(self) -> None:
-        self.root: dict = {}
+    def __init__(self, depth: int = 0) -> None:
+        self.root: dict | list = {} if depth < GROUPS else []
+        self.depth = depth
 
     def add(self, word: str, n: int) -> None:
         node = self.root
         path = vector(word)
-        for count in path[:-1]:
-            node = node.setdefault(count, {})
-        node.setdefault(path[-1], []).append((word, n))
+        for level in range(self.depth, GROUPS):
+            node = node.setdefault(path[level], {} if level < GROUPS - 1 else [])
+        node.append((word, n))
 
-    def search(self, word: str) -> Iterator[tuple[str, int]]:
-        """Near words on paths whose first difference from the word's is a surplus, and larger ones on its own path."""
+    def search(self, word: str, surplus: int = 1, deficit: int = 1) -> Iterator[tuple[str, int]]:
+        """Near words on paths whose first difference from the word's is a surplus, and larger ones on its own path; the budget is what the upper levels left."""
         path = vector(word)
-        work = [(self.root, 0, 1, 1)]
+        work = [(self.root, self.depth, surplus, deficit)]
         while work:
             node, level, surplus, deficit = work.pop()
             if level == GROUPS:
@@ -124,9 +138,10 @@ class Trie:
             count = path[level]
             if (below := node.get(count)) is not None:
                 work.append((below, level + 1, surplus, deficit))
-            if surplus and (below := node.get(count + 1)) is not None:
-                work.append((below, level + 1, 0, deficit))
-            if deficit and not surplus and (below := node.get(count - 1)) is not None:
+            if surplus:
+                if (below := node.get(count + 1)) is not None:
+                    work.append((below, level + 1, 0, deficit))
+            elif deficit and (below := node.get(count - 1)) is not None:
                 work.append((below, level + 1, surplus, 0))
 
 
@@ -136,28 +151,32 @@ def _depths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for word in batch["word"]:
             path = vector(word)
             cells.update(path[:depth] for depth in range(1, GROUPS + 1))
-        yield pd.DataFrame([(len(p), ",".join(map(str, p)), n) for p, n in cells.items()], columns=["depth", "cell", "n"])
+        yield pd.DataFrame([(len(p), cell_name(p), n) for p, n in cells.items()], columns=["depth", "cell", "n"])
 
 
 def _routes(depth: int):
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for word, n in zip(batch["word"], batch["n"]):
-                path = vector(word)[:depth]
-                rows += [(",".join(map(str, cell)), word, n, cell == path) for cell in reached(path)]
-            yield pd.DataFrame(rows, columns=["cell", "word", "n", "own"])
+            cells = [reached(vector(word)[:depth]) for word in batch["word"]]
+            times = [len(c) for c in cells]
+            routes = pd.DataFrame([c for every in cells for c in every], columns=["cell", "surplus", "deficit"])
+            yield routes.assign(word=batch["word"].repeat(times).to_numpy(), n=batch["n"].repeat(times).to_numpy())[["cell", "word", "n", "surplus", "deficit"]]
 
     return route
 
 
-def _pairs(shard: pd.DataFrame) -> pd.DataFrame:
-    trie = Trie()
-    for word, n in zip(shard["word"][shard["stored"]], shard["n"][shard["stored"]]):
-        trie.add(word, n)
-    seekers = shard.drop_duplicates("word")
-    rows = [(word, n, other, m) for word, n in zip(seekers["word"], seekers["n"]) for other, m in trie.search(word)]
-    return pd.DataFrame(rows, columns=["a", "a_n", "b", "b_n"])
+def _pairs(depth: int):
+    def find(shard: pd.DataFrame) -> pd.DataFrame:
+        tries: dict[tuple[str, int], Trie] = {}
+        for cell, block, word, n in shard.loc[shard["stored"], ["cell", "block", "word", "n"]].itertuples(index=False, name=None):
+            tries.setdefault((cell, block), Trie(depth)).add(word, n)
+        rows = []
+        for cell, block, word, n, surplus, deficit in shard[["cell", "block", "word", "n", "surplus", "deficit"]].itertuples(index=False, name=None):
+            if (trie := tries.get((cell, block))) is not None:
+                rows += [(word, n, other, m) for other, m in trie.search(word, surplus, deficit)]
+        return pd.DataFrame(rows, columns=["a", "a_n", "b", "b_n"])
+
+    return find
 
 
 def near_pairs(words: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
@@ -170,19 +189,18 @@ def near_pairs(words: DataFrame, cell_words: int = CELL_WORDS) -> DataFrame:
         depth = next((d for d in range(1, GROUPS) if largest[d] <= cell_words), GROUPS)
         if largest[depth] > cell_words:
             blocks = cells.where((F.col("depth") == depth) & (F.col("n") > cell_words)).select("cell", F.ceil(F.col("n") / cell_words).alias("blocks"))
-    routes = words.mapInPandas(_routes(depth), "cell string, word string, n long, own boolean")
+    routes = words.mapInPandas(_routes(depth), "cell string, word string, n long, surplus int, deficit int")
+    own = (F.col("surplus") == 1) & (F.col("deficit") == 1)
     if blocks is None:
-        routes = routes.withColumn("block", F.lit(0).cast("long")).withColumn("stored", F.col("own"))
+        routes = routes.withColumns({"block": F.lit(0).cast("long"), "stored": own})
     else:
         count = F.coalesce("blocks", F.lit(1).cast("long"))
         home = F.pmod(F.xxhash64("word"), count)
-        routes = routes.join(blocks, "cell", "left").select(
-            "cell", "word", "n", "own", home.alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block")
-        )
-        routes = routes.withColumn("stored", F.col("own") & (F.col("block") == F.col("home")))
+        routes = routes.join(blocks, "cell", "left").select(*routes.columns, home.alias("home"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("block"))
+        routes = routes.withColumn("stored", own & (F.col("block") == F.col("home"))).drop("home")
     shards = max(1, -(-total // cell_words)) * 2
-    dealt = routes.select(F.pmod(F.xxhash64("cell", "block"), F.lit(shards)).alias("shard"), "word", "n", "stored")
-    return dealt.groupBy("shard").applyInPandas(lambda shard: _pairs(shard), "a string, a_n long, b string, b_n long")
+    dealt = routes.withColumn("shard", F.pmod(F.xxhash64("cell", "block"), F.lit(shards)))
+    return dealt.groupBy("shard").applyInPandas(_pairs(depth), "a string, a_n long, b string, b_n long")
 
 
 def _with_roots(forms: DataFrame) -> DataFrame:
