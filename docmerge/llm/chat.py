@@ -7,15 +7,16 @@ merged turns are kept apart by ``<next>``. In roles and texts ``\\`` is written
 Nulls: a null text or role is empty, a null turn number comes first, rows with a null conversation id are one
 conversation. Ties and repeated rows: equal turn numbers go by role, then text; repeated rows are turns of their own. An empty
 table gives no conversation. Columns other than the four named ones are ignored, whatever their names.
-A conversation becomes one text, so it has to fit in a row (2 GB); groups are not split.
+A conversation becomes one text, so it has to fit in a row (2 GB; to read its loss, half a billion code points); groups are not split. Time grows with the length of a
+conversation, also where it has many turns.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docmerge.llm.common import text_of
+from docmerge.llm.common import let, text_of
 
 OPEN, CLOSE, NEXT = "<turn ", "</turn>\n", "<next>"
 
@@ -43,31 +44,19 @@ def _piece(turn: Column, previous: Column) -> Column:
     )
 
 
-def _spans(pieces: Column, roles: tuple[str, ...]) -> Column:
-    """Code point ranges of the bodies whose role is trained on."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["lead"])
-        end = start + F.length(piece["body"])
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"))
-        return F.struct(
-            end.cast("long").alias("at"),
-            F.when(piece["role"].isin(*roles), F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
-        )
-
-    return F.aggregate(pieces, zero, step, lambda state: state["spans"])
-
-
 def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
     """One row per conversation: ``conv_id``, ``formatted``, and ``loss_spans`` (code points, end exclusive)."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), text_of().alias("text"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     nothing = F.lit(None).cast(grouped.schema["turns"].dataType)
     before = F.concat(F.array(nothing[0]), F.slice("turns", 1, F.size("turns") - 1))
-    pieces = grouped.select("conv_id", F.zip_with("turns", before, _piece).alias("pieces"))
-    joined = F.array_join(F.transform("pieces", lambda p: F.concat(p["lead"], p["body"])), "")
-    return pieces.select("conv_id", F.concat(joined, F.lit(CLOSE)).alias("formatted"), _spans(F.col("pieces"), loss_roles).alias("loss_spans"))
+    # Where a body begins is a running sum over the pieces; the rows stay in the partition of their conversation.
+    pieces = grouped.select("conv_id", F.posexplode(F.zip_with("turns", before, _piece)).alias("at", "piece"))
+    upto = F.sum(F.length("piece.lead") + F.length("piece.body")).over(Window.partitionBy("conv_id").orderBy("at"))
+    placed = pieces.select("conv_id", F.struct("at", F.concat("piece.lead", "piece.body").alias("text"), upto.alias("end"), F.length("piece.body").alias("length"), F.col("piece.role").isin(*loss_roles).alias("loss")).alias("p"))
+    pieces = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("p")).alias("pieces"))
+    spans = F.transform(F.filter("pieces", lambda p: p["loss"]), lambda p: F.struct((p["end"] - p["length"]).alias("start"), p["end"].alias("end")))
+    return pieces.select("conv_id", F.concat(F.array_join("pieces.text", ""), F.lit(CLOSE)).alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -84,5 +73,6 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The unescaped text under the loss mask."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["end"] - s["start"]))), "")
+    """The unescaped text under the loss mask, cut out of a form with four bytes to a code point."""
+    piece = lambda code, s: F.decode(F.substring(code, (s["start"] * 4 + 1).cast("int"), ((s["end"] - s["start"]) * 4).cast("int")), "UTF-32")
+    return let(F.encode(formatted, "UTF-32"), lambda code: F.array_join(F.transform(spans, lambda s: unescape(piece(code, s))), ""))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docmerge.llm.common import ranked, text_of, words_of
+from docmerge.operators.identity import row_hash
 from docmerge.session import checkpointed
 
 #: Size classes are half powers of two; the repair may use so many cells of each class of a source.
@@ -140,16 +141,17 @@ def mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 def apply_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """``documents`` with every row as often as the mix takes it; rows that differ in id, source or size keep their own copies.
 
-    Rows of equal id, source and size share their copies evenly, which needs their number and the sum of their copies only.
+    Rows of equal id, source and size share their copies evenly, which needs their number and the sum of their copies only;
+    they are ranked in buckets of their content, so that only rows alike in everything meet in one task.
     Rows without id are kept once each.
     """
     taken = mix(documents, weights, share, most).where("doc_id is not null")
     taken = checkpointed(taken.groupBy("doc_id", "key", "size").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")))
-    # Whole rows in one column: no name can clash.
-    rows = documents.select("doc_id", _source_key().alias("key"), F.size(words_of(text_of())).cast("long").alias("size"), F.struct("*").alias("row"))
+    # Whole rows in one column: no name can clash. Rows of one id, source and size go by their content, in buckets of it.
+    rows = documents.select("doc_id", _source_key().alias("key"), F.size(words_of(text_of())).cast("long").alias("size"), F.struct("*").alias("row"), row_hash(documents).alias("content"))
     found = rows.join(taken, ["doc_id", "key", "size"])
-    place = F.row_number().over(Window.partitionBy("doc_id", "key", "size").orderBy("size")) - 1
-    several = found.where("n > 1").withColumn("times", F.floor(F.col("copies") / F.col("n")) + F.when(place < F.col("copies") % F.col("n"), 1).otherwise(0))
-    repeated = found.where("n = 1").withColumn("times", F.col("copies")).unionByName(several).where("times > 0")
+    several = ranked(found.where("n > 1").withColumn("group", F.struct("doc_id", "key", "size")), ["group"], ["content"], "place")
+    several = several.withColumn("times", F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") < F.col("copies") % F.col("n"), 1).otherwise(0))
+    repeated = found.where("n = 1").select("row", F.col("copies").alias("times")).unionByName(several.select("row", "times")).where("times > 0")
     repeated = repeated.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     return repeated.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")

@@ -113,8 +113,9 @@ _NUMERAL = "|".join((*NUMERALS, "oh"))
 _SPELLED = re.compile(rf"(?i)\b(?:(?:{_NUMERAL})|[0-9]+)(?:[\s.,-]{{1,3}}(?:(?:{_NUMERAL})|[0-9]+))+\b")
 _WORDS = re.compile(rf"(?i){_NUMERAL}")
 _PART = re.compile(rf"(?i){_NUMERAL}|[0-9]+")
-_BRACKET_AT = re.compile(r"(?i)\s*[\[({<]\s*at\s*[\])}>]\s*")
-_BRACKET_DOT = re.compile(r"(?i)\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
+#: Found by their brackets; white space before them is taken along by hand, so that long runs of it are read once.
+_BRACKET_AT = re.compile(r"(?i)[\[({<]\s*at\s*[\])}>]\s*")
+_BRACKET_DOT = re.compile(r"(?i)[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*")
 #: Words after ``at`` that make it and ``dot`` plain words, unless a common ending follows; all other names take any last label.
 LAST_LABELS = "com org net edu gov info biz io co eu uk de fr es it nl at ch us ca au".split()
 DETERMINERS = "the a an this that these those each every any some no his her its my your our their another which what".split()
@@ -157,6 +158,17 @@ class Rewritten:
         return int(self.starts[start]), int(self.ends[end - 1])
 
 
+def _marks(text: str, pattern: re.Pattern, new: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of a pattern's matches with the white space around them."""
+    done = 0
+    for match in pattern.finditer(text):
+        start = match.start()
+        while start > done and text[start - 1].isspace():
+            start -= 1
+        done = match.end()
+        yield start, done, new
+
+
 def _digits(text: str) -> Iterator[tuple[int, int, str]]:
     """Edits that turn runs with spelled digits into digits."""
     for run in _SPELLED.finditer(text):
@@ -185,7 +197,7 @@ def rewrite(text: str) -> Rewritten | None:
     if glyphs:
         made.replace((m.start(), m.end(), LOOKALIKES[m.group()]) for m in _LOOKALIKE.finditer(text))
     for pattern, new in ((_BRACKET_AT, "@"), (_WORD_AT, "@"), (_BRACKET_DOT, "."), (_WORD_DOT, ".")):
-        made.replace([(*m.span(), new) for m in pattern.finditer(made.text)])
+        made.replace(list(_marks(made.text, pattern, new)))
     made.replace(list(_digits(made.text)))
     made.replace([(*m.span(), "+") for m in _PLUS.finditer(made.text)])
     return made

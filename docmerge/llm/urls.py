@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from docmerge.session import checkpointed
 
-#: Suffixes of two labels; others are the last label.
-SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "org.uk")
+#: Labels that make a suffix of two labels together with an ending of two letters (co.uk, com.mx); other suffixes are the last label.
+SECOND_LABELS = ("ac", "co", "com", "edu", "gov", "net", "org")
 LEVELS = ("suffix", "domain", "host")
 
 
@@ -49,12 +49,13 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]])
     return F.greatest(*fitted) if len(fitted) > 1 else fitted[0]
 
 
-def host_levels(host: Column) -> dict[str, Column]:
+def host_levels(host: Column, second_labels: Sequence[str] = SECOND_LABELS) -> dict[str, Column]:
     """Suffix and registered domain of a host, without user and port."""
     name = F.regexp_replace(F.regexp_replace(host, r"\A.*@", ""), r":\d*\z", "")
     pair = F.substring_index(name, ".", -2)
-    suffix = F.when(pair.isin(*SUFFIXES), pair).otherwise(F.substring_index(name, ".", -1))
-    domain = F.when(pair.isin(*SUFFIXES), F.substring_index(name, ".", -3)).otherwise(pair)
+    double = pair.rlike(rf"\A(?:{'|'.join(second_labels)})\.[a-z]{{2}}\z")
+    suffix = F.when(double, pair).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(double, F.substring_index(name, ".", -3)).otherwise(pair)
     return {"suffix": suffix, "domain": domain}
 
 

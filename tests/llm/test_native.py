@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docmerge.llm import chat, mixing, quality, urls
 
@@ -52,6 +53,20 @@ def test_chat_nulls_ties_extra_columns_and_empty(spark):
     assert formatted(spark, []) == {}
 
 
+def test_chat_takes_time_by_length_only(spark):
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        rows = spark.range(n).selectExpr("1 AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'assistant') AS role", "concat('said <', id, '> \u00e9\U0001f600') AS text")
+        made = chat.format_conversations(rows)
+        start = time.perf_counter()
+        got = made.select(F.length(chat.read_loss(F.col("formatted"), F.col("loss_spans"))).alias("n"), F.size("loss_spans").alias("s")).first()
+        took.append(time.perf_counter() - start)
+        assert got["n"] == sum(len(f"said <{i}> \u00e9\U0001f600") for i in range(n) if i % 3) and got["s"] == sum(1 for i in range(n) if i % 3)
+    assert took[1] < 8 * took[0] + 2
+
+
 def measures(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
@@ -195,3 +210,46 @@ def test_chat_digest_of_the_extra_conversation(spark, sf):
     said = "\\### Assistant: </turn> ok"
     assert row["turns_sha256"] == hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest()
     assert (row["n_turns"], row["loss_chars"], row["loss_sha256"]) == (2, len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def brute_reputations(outcomes, second=("ac", "co", "com", "edu", "gov", "net", "org")):
+    """(a, b) by host in plain Python: sums per level, a prior around the mean of the level above, its strength by moments."""
+
+    def levels(host):
+        labels = host.split("@")[-1].split(":")[0].split(".")
+        double = len(labels) > 1 and labels[-2] in second and len(labels[-1]) == 2
+        tail = 2 if double else 1
+        return ".".join(labels[-tail:]), ".".join(labels[-tail - 1 :]), host
+
+    total_k, total_n = sum(g for _, g in outcomes if g is not None), sum(g is not None for _, g in outcomes)
+    prior_of = lambda key: (total_k + 1) / (total_n + 2)
+    hosts = {h for h, _ in outcomes}
+    for depth in (1, 2, 3):
+        counts = {levels(h)[:depth]: [0, 0] for h in hosts}
+        for h, good in outcomes:
+            if good is not None:
+                counts[levels(h)[:depth]][0] += good
+                counts[levels(h)[:depth]][1] += 1
+        expected = sum(n * prior_of(c[:-1]) * (1 - prior_of(c[:-1])) for c, (k, n) in counts.items())
+        spread = sum((k - n * prior_of(c[:-1])) ** 2 for c, (k, n) in counts.items())
+        extra = sum(n * (n - 1) * prior_of(c[:-1]) * (1 - prior_of(c[:-1])) for c, (k, n) in counts.items())
+        correlation = (spread - expected) / extra if extra else None
+        strength = 1000.0 if correlation is None or correlation <= 0 else min(1000.0, max(1.0, 1 / correlation - 1))
+        found = {c: (k + strength * prior_of(c[:-1]), n - k + strength * (1 - prior_of(c[:-1]))) for c, (k, n) in counts.items()}
+        means = {c: a / (a + b) for c, (a, b) in found.items()}
+        prior_of = lambda key, means=means: means[key]
+    return {c[-1]: ab for c, ab in found.items()}
+
+
+def test_reputations_against_plain_python(spark):
+    import random
+
+    rng = random.Random(7)
+    hosts = [f"{a}{d}" for a in ("", "www.", "x.y.") for d in ("example.com", "example.com.mx", "other.com.mx", "site.co.uk", "a.org", "b.de", "gov.uk", "com")] + ["", "u@h.net:80"]
+    outcomes = [(h, rng.choice([0, 1, 1, None]) if "mx" not in h else rng.choice([0, 0, 0, 1])) for h in hosts for _ in range(rng.randrange(9))]
+    want = brute_reputations([*outcomes, *((h, None) for h in hosts)])
+    got = urls.reputations(spark.createDataFrame(outcomes, "host string, good int"), spark.createDataFrame([(h,) for h in hosts], "host string"))
+    rows = {r["host"]: (r["a"], r["b"]) for r in got.collect()}
+    assert set(rows) == set(want)
+    for host, (a, b) in want.items():
+        assert rows[host] == pytest.approx((a, b))

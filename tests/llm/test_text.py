@@ -208,6 +208,20 @@ def test_plain_texts_have_no_finds(text):
     assert pii.all_spans(text) == ([], [])
 
 
+@pytest.mark.parametrize("text", ["at (" + " " * 400_000 + "x", " " * 400_000 + "(at) b.co dot", "a (dot)" + " " * 400_000 + "at (", "x at y" + "\t" * 400_000 + "dot (", "(at)" * 50_000 + "dot"])
+def test_long_white_space_is_read_once(text):
+    import time
+
+    start = time.perf_counter()
+    pii.all_spans(text)
+    assert time.perf_counter() - start < 3
+
+
+@pytest.mark.parametrize("text,found", [("jane (at)  (dot) b.co", []), ("jane  ( at )  site ( dot ) org x", ["jane  ( at )  site ( dot ) org"]), ("a (at) b (dot) c.de (at) x.org", ["a (at) b (dot) c.de"])])
+def test_marks_take_the_white_space_around_them(text, found):
+    assert [text[s:e] for k, s, e in pii.all_spans(text)[1] if k == 0] == found
+
+
 def test_pii_frame_and_redaction(spark):
     rows = [(1, "a@b.co, +49 30 1234567", 0), (2, None, 0), (2, None, 0), (None, "9" * 100_000 + " @" * 50_000, 0), (4, "é a (at) b.co", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
