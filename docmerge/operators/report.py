@@ -91,6 +91,38 @@ def run_retries(log: DataFrame) -> DataFrame:
     )
 
 
+def run_summary(log: DataFrame) -> DataFrame:
+    """The whole report of a run from one scan: totals, and the same numbers by phase, file and group.
+
+    ``part`` is "total", "phase", "file" or "group", ``name`` the phase, file id or group key. Events that name none of a kind only count in the others.
+    """
+    data = F.col("data")
+    text = lambda path: F.get_json_object(data, path)
+    is_event = lambda name: F.col("event") == name
+    done = is_event("file_complete")
+    fields = F.size(F.json_object_keys(F.when(done, text("$.data"))))
+    facts = log.select(
+        "event", text("$.phase").alias("phase"), text("$.fileId").alias("file"), text("$.groupKey").alias("group"), (text("$.success") == "true").alias("good"),
+        F.when(fields > 0, fields).alias("fields"), F.json_array_length(F.when(is_event("group_merged"), text("$.conflicts"))).alias("conflicts"), text("$.totalFiles").cast("bigint").alias("total_files"),
+    )
+    sets = [["phase"], ["file"], ["group"], []]
+    counted = facts.groupingSets(sets, "phase", "file", "group").agg(
+        F.grouping_id().alias("set"),
+        F.count(F.lit(1)).alias("n_events"),
+        F.count_if(done & F.col("good")).alias("n_succeeded"),
+        F.count_if(done & ~F.coalesce("good", F.lit(False))).alias("n_failed"),
+        F.count_if(is_event("file_retry")).alias("n_retries"),
+        F.count_if(is_event("group_merged")).alias("n_merged"),
+        F.count_if(is_event("error")).alias("n_errors"),
+        F.coalesce(F.sum("fields"), F.lit(0)).alias("n_fields"),
+        F.coalesce(F.sum("conflicts"), F.lit(0)).alias("n_conflicts"),
+        F.max("total_files").alias("total_files"),
+    )
+    part = F.element_at(F.create_map(*[F.lit(x) for x in (3, "phase", 5, "file", 6, "group", 7, "total")]), F.col("set").cast("int"))
+    named = counted.select(part.alias("part"), F.coalesce("phase", "file", "group").alias("name"), *[c for c in counted.columns if c.startswith(("n_", "total"))])
+    return named.where("part = 'total' OR name IS NOT NULL")
+
+
 def _time(log: DataFrame) -> list:
     return [F.col("ts")] if "ts" in log.columns else []
 

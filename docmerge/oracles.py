@@ -109,7 +109,7 @@ def _trim(x: str) -> str:
     return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
 
 
-_ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = {
     "group_files": f"WITH {FILES_SQL} SELECT group_id, count(*) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
     "group_manifest_merge": f"WITH {FILES_SQL} SELECT group_id, count(DISTINCT file_id) AS file_count, min(file_seq) AS group_seq FROM files GROUP BY group_id",
     "group_manifest_appended": f"""WITH {FILES_SQL} SELECT group_id, count(*) + count(*) FILTER (session_id IN ('en', 'de')) AS file_count
@@ -329,7 +329,7 @@ _ORACLES: dict[str, str] = {
 # Answers of the stand-in models, by the length of the prompt.
 PROMPT_CHARS_SQL = f"CASE WHEN coalesce(text, '') = '' THEN {len(NO_TEXT_REQUEST)} ELSE {len(TEXT_PREFIX)} + length(text) END"
 _PROMPT = f"{FILES_SQL}, p AS (SELECT *, {PROMPT_CHARS_SQL} AS n FROM files)"
-_ORACLES |= {
+ORACLES |= {
     "messy_cells": """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS file_id, * FROM orders)
         SELECT file_id, '状态' AS key, o_orderstatus AS value FROM o WHERE o_orderkey % 3 = 2
         UNION ALL SELECT file_id, 'priority', o_orderpriority FROM o
@@ -358,28 +358,28 @@ _ORACLES |= {
     "extract_fallback": f"""WITH {_PROMPT} SELECT file_id, n % 3 <> 0 AS success, CASE WHEN n % 3 <> 0 THEN CAST(length(text) AS VARCHAR) END AS chars, 3 AS attempt,
         n % 3 = 0 AS failed FROM p""",
 }
-_ORACLES["stream_file_status"] = """SELECT CAST(user_id AS VARCHAR) AS file_id, arg_max(event_type, (ts, event_type)) AS status, count(*) AS n_events,
+ORACLES["stream_file_status"] = """SELECT CAST(user_id AS VARCHAR) AS file_id, arg_max(event_type, (ts, event_type)) AS status, count(*) AS n_events,
     count(*) FILTER (event_type = 'file_retry') AS n_retries FROM events WHERE user_id IS NOT NULL GROUP BY user_id"""
-_ORACLES["stream_versions"] = "SELECT CAST(doc_id AS VARCHAR) AS file_id, true AS success, CAST(length(text) AS VARCHAR) AS chars FROM documents"
-_ORACLES["reject_reasons"] = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'no_json' WHEN 1 THEN 'empty' WHEN 2 THEN 'too_few_fields' WHEN 3 THEN 'joined_header_keys'
+ORACLES["stream_versions"] = "SELECT CAST(doc_id AS VARCHAR) AS file_id, true AS success, CAST(length(text) AS VARCHAR) AS chars FROM documents"
+ORACLES["reject_reasons"] = """SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'no_json' WHEN 1 THEN 'empty' WHEN 2 THEN 'too_few_fields' WHEN 3 THEN 'joined_header_keys'
       WHEN 5 THEN 'too_few_fields' END AS reject_reason,
     CASE o_orderkey % 6 WHEN 4 THEN '{"box-a-b":' || o_orderkey || ',"box-c":"1; 2"}' END AS data_json FROM orders"""
-_ORACLES["reject_reasons_guided"] = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_entries' WHEN 2 THEN 'all_null' WHEN 3 THEN 'all_null' END AS reject_reason,
+ORACLES["reject_reasons_guided"] = """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN 'no_json' WHEN 1 THEN 'no_entries' WHEN 2 THEN 'all_null' WHEN 3 THEN 'all_null' END AS reject_reason,
     CASE o_orderkey % 5 WHEN 4 THEN '{"status":"' || o_orderstatus || '"}' END AS header_json, CASE o_orderkey % 5 WHEN 4 THEN '{"line":1}|{"line":null}' END AS entries FROM orders"""
-_ORACLES["template_prompt"] = f"""WITH {_RES}, {_ENT}, {_HCELLS}, {_ECELLS}, c AS (SELECT key, value, file_seq, 0 AS entry_idx FROM hcells
+ORACLES["template_prompt"] = f"""WITH {_RES}, {_ENT}, {_HCELLS}, {_ECELLS}, c AS (SELECT key, value, file_seq, 0 AS entry_idx FROM hcells
       UNION ALL SELECT key, value, file_seq, entry_idx FROM ecells JOIN res USING (file_id)),
     r AS (SELECT key, value[1:80] AS v, row_number() OVER (PARTITION BY key ORDER BY file_seq, entry_idx) AS n FROM c),
     l AS (SELECT '- ' || key || ': ' || string_agg(v, ' | ' ORDER BY n) AS line FROM r WHERE n <= 3 GROUP BY key)
     SELECT 'Fields:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS user_prompt FROM l"""
-_ORACLES["template_from_answers"] = """SELECT DISTINCT p_brand AS key, 'string' AS type FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 4 <> 0"""
+ORACLES["template_from_answers"] = """SELECT DISTINCT p_brand AS key, 'string' AS type FROM part WHERE p_partkey % 9 <> 0 AND p_partkey % 4 <> 0"""
 _SPELLED = f"""WITH {_RES} SELECT group_id, arg_min(status, file_seq) AS status, arg_min(customer, file_seq) AS customer, min(status) = max(status) AS consistent,
     NULL AS "bare", count(DISTINCT file_name) AS n_sources FROM res WHERE success GROUP BY group_id"""
-_ORACLES["merge_nested_spelled"] = _ORACLES["merge_flat_spelled"] = _SPELLED
+ORACLES["merge_nested_spelled"] = ORACLES["merge_flat_spelled"] = _SPELLED
 # Merging in parts gives the records of merging at once.
-_ORACLES["merge_groups_in_parts"] = _ORACLES["merge_groups_with_model"]
+ORACLES["merge_groups_in_parts"] = ORACLES["merge_groups_with_model"]
 
 
 def oracle_sql() -> dict[str, str]:
     from docmerge import flow_queries
 
-    return _ORACLES | flow_queries.oracle_sql()
+    return ORACLES | flow_queries.oracle_sql()

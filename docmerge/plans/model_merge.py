@@ -1,6 +1,6 @@
 """Merging and aligning by a model, for groups that rules cannot settle.
 
-A prompt holds at most ``max_files`` files.  A larger group is put in several parts along its file order; the answers
+A prompt holds at most ``max_files`` files or, if asked for, ``max_bytes`` of them.  A larger group is put in several parts along its file order; the answers
 of the parts go into prompts of their own in the next round, until every group is one answer.  A group with a refused
 part comes out as one row with ``merge_method`` "error" and the reason.
 """
@@ -15,7 +15,7 @@ from docmerge.functions.keys import is_structure_key
 from docmerge.functions.values import normalize_value_sql
 from docmerge.operators.grouping import UNKNOWN_GROUP
 from docmerge.operators.identity import id_columns
-from docmerge.operators.ordering import with_position
+from docmerge.operators.ordering import scan_totals, with_position
 from docmerge.operators.template import candidates_by_key, normalized_keys, resolve_sql, sql_string, template_mismatch, with_norm_sql
 from docmerge.operators.validate import entries_from_response
 from docmerge.plans.extract import parsed
@@ -40,12 +40,28 @@ def _items(results: DataFrame) -> DataFrame:
     return with_position(slim, KEYS, tie=tie).select("group_id", "pos", "file_name", "data_json")
 
 
-def _prompts(items: DataFrame, max_files: int | None) -> DataFrame:
-    part = F.floor(F.col("pos") / max_files) if max_files else F.lit(0)
+def _listed(items: DataFrame, max_files: int | None, max_bytes: int | None) -> DataFrame:
+    """The items as texts with the part of their group that they go to.
+
+    By bytes, and then whatever their number is, a group is cut at every half of the bound along a running sum of lengths, and behind every item of more than half of
+    it: what lies between two cuts stays within the bound, unless it is one item.
+    """
     one = F.concat(
         F.lit('{"file_name":'), quote_json(F.col("file_name")), F.lit(',"extracted_data":'), F.col("data_json"), F.lit("}")
     )
-    listed = items.select("group_id", part.cast("bigint").alias("part"), F.struct("pos", one.alias("one")).alias("item"))
+    if not max_bytes:
+        part = F.floor(F.col("pos") / max_files) if max_files else F.lit(0)
+        return items.select("group_id", part.cast("bigint").alias("part"), F.struct("pos", one.alias("one")).alias("item"))
+    texts = items.select("group_id", "pos", one.alias("one"), (F.octet_length(one) + 2).cast("bigint").alias("bytes"))
+    sums = scan_totals(texts.select("group_id", "pos", "bytes"), KEYS, ["pos"], weight=F.col("bytes"), out="start")
+    half = max_bytes // 2
+    part = F.floor(F.col("start") / half) * 2 + (F.col("bytes") > half).cast("bigint")
+    cut = sums.select("group_id", "pos", part.cast("bigint").alias("part"))
+    return texts.join(cut, ["group_id", "pos"]).select("group_id", "part", F.struct("pos", "one").alias("item"))
+
+
+def _prompts(items: DataFrame, max_files: int | None, max_bytes: int | None = None) -> DataFrame:
+    listed = _listed(items, max_files, max_bytes)
     return listed.groupBy(*PARTS).agg(
         F.count(F.lit(1)).alias("n_files"),
         F.array_join(F.transform(F.array_sort(F.collect_list("item")), lambda s: s["one"]), ",\n").alias("__files"),
@@ -57,9 +73,13 @@ def _prompts(items: DataFrame, max_files: int | None) -> DataFrame:
     )
 
 
-def merge_prompt(results: DataFrame, max_files: int | None = None) -> DataFrame:
-    """Per group (and part, if a number of files is given): the prompt text and the number of files in it."""
-    return _prompts(_items(results), max_files)
+def merge_prompt(results: DataFrame, max_files: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """Per group (and part, if a number of files or bytes is given): the prompt text and the number of files in it.
+
+    ``max_bytes`` bounds the listed files of one prompt, unless a single file is longer.
+    """
+    items = _items(results)
+    return _prompts(checkpointed(items) if max_bytes else items, max_files, max_bytes)
 
 
 def input_keys(results: DataFrame) -> DataFrame:
@@ -115,8 +135,12 @@ def _error_rows(refused: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(columns)
 
 
-def merge_groups_with_model(results: DataFrame, model: Model, max_files: int = MAX_FILES, max_attempts: int = 1) -> DataFrame:
-    """Groups of several successful files merged by the model; single files pass through, refused groups are error rows."""
+def merge_groups_with_model(results: DataFrame, model: Model, max_files: int = MAX_FILES, max_attempts: int = 1, max_bytes: int | None = None) -> DataFrame:
+    """Groups of several successful files merged by the model; single files pass through, refused groups are error rows.
+
+    ``max_bytes`` bounds the files of a prompt by their length instead of their number; a group whose answers are so long
+    that each of them needs a prompt of its own is an error row too.
+    """
     if max_files < 2:
         raise ValueError("a prompt has to hold two files to merge them")
     placed = _items(results)
@@ -124,12 +148,15 @@ def merge_groups_with_model(results: DataFrame, model: Model, max_files: int = M
     items = checkpointed(placed.join(sizes.where("n > 1"), "group_id", "left_semi"))
     merged = failed = None
     while True:
-        answers, refused = run_rounds(_prompts(items, max_files), model, _judge, PARTS, max_attempts)
+        prompts = checkpointed(_prompts(items, max_files, max_bytes))
+        cuts = checkpointed(prompts.groupBy("group_id").agg(F.count(F.lit(1)).alias("parts"), F.sum("n_files").alias("files")))
+        stuck = cuts.where("parts > 1 AND parts = files").select("group_id")
+        answers, refused = run_rounds(prompts.join(stuck, "group_id", "left_anti"), model, _judge, PARTS, max_attempts)
         bad = checkpointed(refused.select("group_id", F.coalesce("reject_reason", "call_error").alias("reject_reason"), F.lit(None).cast("string").alias("call_error")))
+        bad = bad.unionByName(stuck.select("group_id", F.lit("the prompt's bound holds no two answers").alias("reject_reason"), F.lit(None).cast("string").alias("call_error")))
         failed = bad if failed is None else failed.unionByName(bad)
         good = answers.join(bad.select("group_id").distinct(), "group_id", "left_anti")
-        parts = items.groupBy("group_id").agg((F.max("pos") >= max_files).alias("several"))
-        good = checkpointed(good.join(parts, "group_id").select(*PARTS, "several", "json"))
+        good = checkpointed(good.join(cuts.select("group_id", (F.col("parts") > 1).alias("several")), "group_id").select(*PARTS, "several", "json"))
         whole = good.where("NOT several").select("group_id", "json")
         merged = whole if merged is None else merged.unionByName(whole)
         rest = good.where("several")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,17 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextmanager
+def with_state_store(spark: SparkSession) -> Iterator[None]:
+    """The store that keyed state with timers needs; a query keeps the setting that it was started with."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
+
+
 class _Unsettled(StatefulProcessor):
     """One file: its prompt and how often it was asked."""
 
@@ -179,12 +191,8 @@ def stream_extract_retried(
         if not answers.isEmpty():
             answers.select("session_id", "file_id", "attempt", "reason").write.mode("overwrite").parquet(told)
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)  # this kind of state needs it; the query keeps the setting it was started with
-    try:
+    with with_state_store(spark):
         return tasks.writeStream.foreachBatch(store).option("checkpointLocation", f"{checkpoint}/query").trigger(**(trigger or {"processingTime": "10 seconds"})).start()
-    finally:
-        spark.conf.unset(PROVIDER) if before is None else spark.conf.set(PROVIDER, before)
 
 
 def settle(files: DataFrame, model: Model, path: str, checkpoint: str, template: Template | None = None, instructions: str = "", max_attempts: int = 3) -> int:
