@@ -150,8 +150,11 @@ def apply_mix(documents: DataFrame, weights: Sequence[float] = (3, 1, 2), share:
     # Whole rows in one column: no name can clash. Rows of one id, source and size go by their content, in buckets of it.
     rows = documents.select("doc_id", _source_key().alias("key"), F.size(words_of(text_of())).cast("long").alias("size"), F.struct("*").alias("row"), row_hash(documents).alias("content"))
     found = rows.join(taken, ["doc_id", "key", "size"])
-    several = ranked(found.where("n > 1").withColumn("group", F.struct("doc_id", "key", "size")), ["group"], ["content"], "place")
-    several = several.withColumn("times", F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") < F.col("copies") % F.col("n"), 1).otherwise(0))
-    repeated = found.where("n = 1").select("row", F.col("copies").alias("times")).unionByName(several.select("row", "times")).where("times > 0")
+    repeated = found.where("n = 1").select("row", F.col("copies").alias("times"))
+    if not taken.where("n > 1").isEmpty():
+        several = ranked(found.where("n > 1").withColumn("group", F.struct("doc_id", "key", "size")), ["group"], ["content"], "place")
+        times = F.floor(F.col("copies") / F.col("n")) + F.when(F.col("place") < F.col("copies") % F.col("n"), 1).otherwise(0)
+        repeated = repeated.unionByName(several.select("row", times.alias("times")))
+    repeated = repeated.where("times > 0")
     repeated = repeated.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
     return repeated.select("row").unionByName(rows.where("doc_id is null").select("row")).select("row.*")
