@@ -104,7 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5_SQL, "op10_chat_format": OP10_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op10_chat_format": OP10_SQL, "op11_prefix_trie": OP11_SQL}
 
 
 OP5_SQL = r"""
@@ -140,3 +140,24 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(etext) + CASE WHEN before = role THEN 6 ELSE 15 + length(erole) END) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+#: CRC-32 bit by bit; the base of a conversation keeps its own turns.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, turn FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT c, length(role) || ':' || role || ':' || text AS e, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+    row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256('0:' || length(role) || ':' || role || ':' || text)) AS i FROM t),
+o AS (SELECT c, list(e ORDER BY i) AS es, list(w ORDER BY i) AS ws, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))) AS crc FROM e GROUP BY c),
+h AS (SELECT *, c - c % 20 AS b, CASE WHEN c % 20 = 0 THEN 0 ELSE xor(crc, 4294967295) % 4 END AS h FROM o),
+r AS (SELECT x.c, x.b, x.h, least(x.h, coalesce(len(y.es), 0)) AS hh, list_concat(coalesce(y.es, [])[1:x.h], x.es[x.h + 1:]) AS es, list_concat(coalesce(y.ws, [])[1:x.h], x.ws[x.h + 1:]) AS ws
+    FROM h x LEFT JOIN o y ON y.c = x.b),
+m AS (SELECT *, es[1:d] AS p, CASE WHEN d = 0 THEN NULL WHEN d <= hh THEN b ELSE c END AS rc, CASE WHEN d = 0 THEN NULL WHEN d <= hh THEN d - 1 ELSE d - hh + h - 1 END AS rp
+    FROM (SELECT *, unnest(range(0, len(es) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(any_value(ws[d]), 0) AS w, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (len(es) = d), '') AS ends,
+    arg_min(rc, c) AS ref_conv_id, arg_min(rp, c) AS ref_pos FROM m GROUP BY p, d),
+k AS (SELECT p[1:d - 1] AS p, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k ON k.p = n.p AND k.d = n.d),
+s AS (SELECT p[1:a] AS p, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * w) AS BIGINT) AS saved_tokens FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, s.n_leaves, s.saved_tokens, sha256(f.ends) AS ends_sha256, f.ref_conv_id, f.ref_pos
+FROM f JOIN s ON s.p = f.p AND s.d = f.d LEFT JOIN n u ON u.d = f.d - 1 AND u.p = f.p[1:f.d - 1]
+"""
