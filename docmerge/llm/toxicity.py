@@ -2,8 +2,8 @@
 
 A sentence's score is logistic in its words and their beginnings; a document's score is the noisy-or of its sentences. Only
 document labels are needed to train, by gradient steps on the likelihood of the noisy-or; sentence scores then
-locate what offends. The model is fitted in one task on at most ``bound`` labelled documents, chosen by a hash of their ids; scoring
-is one pass over all texts.
+locate what offends. The model is fitted in one task on at most ``bound`` rows: labelled documents chosen by a hash of their ids, and of
+an id with several texts the one of the smallest hash; scoring is one pass over all texts.
 
 Nulls: a null text is empty and scores 0; null labels and null ids are not learned from. Repeated documents are scored one by one; an
 id with several labels counts as toxic if one of them says so. An empty table gives no rows; without any label of
@@ -125,7 +125,8 @@ def fit(documents: DataFrame, labels: DataFrame, bound: int = BOUND) -> dict[str
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = max(1, known.count() // (2 * bound))  # leaves about twice the bound to sort
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(bound)
-    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `bound` ids
+    rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `bound` ids
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))  # and rows: one text of an id
 
     def train_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sample = pd.concat(batches, ignore_index=True).sort_values("doc_id", kind="stable")

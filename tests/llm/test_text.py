@@ -270,6 +270,15 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), weights).count() == 0
 
 
+def test_an_id_with_many_texts_is_one_row_of_the_sample(spark):
+    rows = labelled()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    chosen = min(((i, t) for i, t, y in rows if y), key=lambda r: r[0])
+    again = docs.unionByName(spark.createDataFrame([chosen] * 300, docs.schema))
+    assert toxicity.fit(again, labels) == toxicity.fit(docs, labels)
+
+
 def test_noisy_or():
     scorer = toxicity.Scorer({toxicity.BIAS: -1.0, "bad": 2.0})
     one = lambda z: 1 / (1 + np.exp(-z))
