@@ -18,7 +18,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +28,8 @@ from docmerge.session import checkpointed
 #: Token added after every document (fixed by the contract).
 END = 2
 VOCABULARY = "byte_bpe_50k"
+#: Rows whose pieces are made before they go back to Spark.
+ROWS_AT_ONCE = 500
 
 
 @dataclass(frozen=True)
@@ -159,26 +161,33 @@ def token_ids(text: str | None, folder: str | None = None) -> np.ndarray:
     return np.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4"), END).astype("<u4")
 
 
-def _pieces(batches: Iterator[pd.DataFrame], tokens: int, folder: str | None, with_ids: bool) -> Iterator[pd.DataFrame]:
+def _pieces(batches: Iterator[pa.RecordBatch], tokens: int, folder: str | None, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """Pieces of a few hundred rows at a time, straight from Arrow: a worker holds the texts of a batch once, and no second form of them."""
+    names, types = zip(*((f.name, f.type) for f in _piece_schema(with_ids)))
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"]):
-            ids = token_ids(text, folder)
-            end = len(ids) % tokens or min(tokens, len(ids))  # the first piece takes what is over
-            start = piece = 0
-            while start < len(ids):
-                own = ids[start:end]
-                rows.append((doc_id, piece, start, len(own), zlib.crc32(own.tobytes()), *([own] if with_ids else [])))
-                start, end, piece = end, end + tokens, piece + 1
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-        yield pd.DataFrame(rows, columns=names)
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            few, rows = batch.slice(at, ROWS_AT_ONCE), []
+            for doc_id, text in zip(few.column("doc_id"), few.column("text")):
+                ids = token_ids(text.as_py(), folder)
+                end = len(ids) % tokens or min(tokens, len(ids))  # the first piece takes what is over
+                start = piece = 0
+                while start < len(ids):
+                    own = ids[start:end]
+                    rows.append((doc_id.as_py(), piece, start, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int64)] if with_ids else [])))
+                    start, end, piece = end, end + tokens, piece + 1
+            yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*rows), types)], names=list(names))
+
+
+def _piece_schema(with_ids: bool) -> pa.Schema:
+    fields = [("doc_id", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    return pa.schema([*fields, *([("ids", pa.list_(pa.int64()))] if with_ids else [])])
 
 
 def token_pieces(documents: DataFrame, tokens: int = 1024, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Per piece of a document: ``doc_id``, ``piece``, ``start``, ``length``, ``ids_crc32`` and, if asked for, ``ids``."""
     schema = "doc_id string, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
     source = documents.select(id_text("doc_id"), F.col("text").cast("string"))
-    return source.mapInPandas(lambda batches: _pieces(batches, tokens, folder, with_ids), schema).withColumn("doc_id", id_number("doc_id"))
+    return source.mapInArrow(lambda batches: _pieces(batches, tokens, folder, with_ids), schema).withColumn("doc_id", id_number("doc_id"))
 
 
 def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
@@ -187,13 +196,14 @@ def pack(pieces: DataFrame, capacity: Capacity = Capacity()) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `tokens` rows
     made = plan(counts, capacity)
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = made.place(batch["length"].to_numpy(np.int64), batch.pop("rank").to_numpy(np.int64))
-            yield batch.assign(sequence_id=sequence, offset=offset)
+            sequence, offset = made.place(batch.column("length").to_numpy(), batch.column("rank").to_numpy())
+            kept = [n for n in batch.schema.names if n != "rank"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(sequence), pa.array(offset)], names=[*kept, "sequence_id", "offset"])
 
     by_rank = ranked(pieces, ["length"], ["doc_id", "piece", "ids_crc32"], "rank", total=sum(counts.values()))
-    placed = by_rank.select(id_text("doc_id"), "piece", "start", "length", "ids_crc32", "rank").mapInPandas(
+    placed = by_rank.select(id_text("doc_id"), "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
     return placed.withColumn("doc_id", id_number("doc_id"))
