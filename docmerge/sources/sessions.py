@@ -20,6 +20,8 @@ from docmerge.sinks.xlsx import qualified
 
 SCHEMA = "session_id string, created_at timestamp, file_total bigint, group_id string, group_key string, file_count bigint, file_ids array<string>"
 FOLDERS_PER_PARTITION = 64
+#: A partition starts a Python reader, so beyond this many of them they hold more folders instead; one folder is read at a time.
+PARTITIONS = 256
 
 
 @dataclass
@@ -58,7 +60,8 @@ class SessionReader(DataSourceReader):
 
         store, root = place(self.path)
         names = sorted(i.base_name for i in store.get_file_info(fs.FileSelector(root)) if i.type == fs.FileType.Directory)
-        return [Folders(names[i : i + self.size]) for i in range(0, len(names), self.size)] or [Folders([])]
+        size = max(self.size, -(-len(names) // PARTITIONS))
+        return [Folders(names[i : i + size]) for i in range(0, len(names), size)] or [Folders([])]
 
     def read(self, partition: Folders) -> Iterator[tuple]:
         store, root = place(self.path)

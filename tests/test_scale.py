@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from docmerge import queries
 from docmerge.sources.files import read_files
+from docmerge.sources.sessions import SessionReader
 from docmerge.sources.stored import read_results
 from docmerge.streaming import expiry, retries
 from docmerge.streaming.flows import with_few_listers
@@ -104,3 +105,11 @@ def test_batches_list_their_files_in_few_tasks(spark):
     with with_few_listers(spark):
         assert int(spark.conf.get(name)) == 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get(name, None) == before
+
+
+def test_many_folders_in_few_partitions(tmp_path):
+    for i in range(600):
+        (tmp_path / f"s{i:03d}").mkdir()
+    for size, most in ((1, 256), (64, 10)):
+        parts = SessionReader(str(tmp_path), size).partitions()
+        assert len(parts) <= most and [n for p in parts for n in p.names] == [f"s{i:03d}" for i in range(600)]
