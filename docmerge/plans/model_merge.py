@@ -32,12 +32,16 @@ _CONFLICTS = "array<struct<field_name:string,values:array<string>>>"
 _MAP = "map<string,string>"
 
 
+def _usable(results: DataFrame) -> DataFrame:
+    return results.where("success AND data_json IS NOT NULL").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
+
+
 def _items(results: DataFrame) -> DataFrame:
-    """What a prompt lists: successful results with their place in the group."""
-    ok = results.where("success AND data_json IS NOT NULL").withColumn("group_id", F.coalesce("group_id", F.lit(UNKNOWN_GROUP)))
+    """What a prompt lists: successful results with their place in the group, and the number of the group's results."""
+    ok = _usable(results)
     tie = id_columns(ok)[::-1]
     slim = ok.select("group_id", "file_seq", *tie, F.coalesce("file_name", F.lit("")).alias("file_name"), "data_json")
-    return with_position(slim, KEYS, tie=tie).select("group_id", "pos", "file_name", "data_json")
+    return with_position(slim, KEYS, tie=tie, total="n").select("group_id", "pos", "file_name", "data_json", "n")
 
 
 def _listed(items: DataFrame, max_files: int | None, max_bytes: int | None) -> DataFrame:
@@ -84,7 +88,7 @@ def merge_prompt(results: DataFrame, max_files: int | None = None, max_bytes: in
 
 def input_keys(results: DataFrame) -> DataFrame:
     """Union of the data keys of each group."""
-    keys = _items(results).select("group_id", F.explode(F.json_object_keys("data_json")).alias("key")).distinct()
+    keys = _usable(results).select("group_id", F.explode(F.json_object_keys("data_json")).alias("key")).distinct()
     return keys.groupBy("group_id").agg(F.array_sort(F.collect_list("key")).alias("input_keys"))
 
 
@@ -144,8 +148,8 @@ def merge_groups_with_model(results: DataFrame, model: Model, max_files: int = M
     if max_files < 2:
         raise ValueError("a prompt has to hold two files to merge them")
     placed = _items(results)
-    sizes = placed.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
-    items = checkpointed(placed.join(sizes.where("n > 1"), "group_id", "left_semi"))
+    items = placed.where("n > 1")
+    items = checkpointed(items) if max_bytes else items
     merged = failed = None
     while True:
         prompts = checkpointed(_prompts(items, max_files, max_bytes))
@@ -165,7 +169,7 @@ def merge_groups_with_model(results: DataFrame, model: Model, max_files: int = M
         name = F.concat(F.lit("merged part "), (F.col("part") + 1).cast("string"))
         items = checkpointed(rest.select("group_id", F.col("part").alias("pos"), name.alias("file_name"), F.col("json").alias("data_json")))
     records = merged_records(merged, input_keys(results)).withColumn("error", F.lit(None).cast("string"))
-    passed = placed.join(sizes.where("n = 1"), "group_id", "left_semi").select(
+    passed = placed.where("n = 1").select(
         "group_id",
         F.lit(0).cast("bigint").alias("entry_idx"),
         _entry_map("data_json").alias("data"),

@@ -7,9 +7,17 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docmerge import queries
+from docmerge.operators.cells import value_preview
+from docmerge.operators.merge import number_rows
+from docmerge.operators.ordering import scan_totals
+from docmerge.operators.template import resolve_template
+from docmerge.plans.model_merge import input_keys
+from docmerge.plans.rounds import CALL_ROWS, run_rounds
+from docmerge.schemas import TemplateColumn
 from docmerge.sources.files import read_files
 from docmerge.sources.sessions import SessionReader
 from docmerge.sources.stored import read_results
+from docmerge.sources.tables import order_lines
 from docmerge.streaming import expiry, retries
 from docmerge.streaming.flows import with_few_listers
 
@@ -113,3 +121,86 @@ def test_many_folders_in_few_partitions(tmp_path):
     for size, most in ((1, 256), (64, 10)):
         parts = SessionReader(str(tmp_path), size).partitions()
         assert len(parts) <= most and [n for p in parts for n in p.names] == [f"s{i:03d}" for i in range(600)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_order_lines_are_placed_by_one_window(spark, tmp_path):
+    def lines(sizes):
+        texts = spark.createDataFrame([(k, n) for k, n in sizes.items()], "l_orderkey long, n int")
+        i = F.col("i")
+        return texts.select("l_orderkey", F.explode(F.sequence(F.lit(1), "n")).alias("i")).select(
+            "l_orderkey", (i % 5).alias("l_linenumber"), (i % 7).alias("l_partkey"), i.cast("long").alias("l_suppkey"), F.lit(None).cast("timestamp").alias("l_shipdate"),
+            F.lit(1.0).alias("l_extendedprice"), F.lit(2.0).alias("l_quantity"), F.lit("A").alias("l_returnflag"), F.lit("F").alias("l_linestatus"),
+        )
+
+    small, large = {1: 3, 2: 1, None: 4}, {1: 3, 2: 1, None: 4, 9: 12000}
+    for name, sizes in (("small", small), ("large", large)):
+        lines(sizes).write.parquet(str(tmp_path / name / "lineitem.parquet"))
+        found = order_lines(spark, str(tmp_path / name))
+        at = {}
+        for r in found.collect():
+            at.setdefault(r["file_id"], []).append((r["entry_idx"], json.loads(r["entry_json"])["line"], json.loads(r["entry_json"])["part"]))
+        for key, n in sizes.items():
+            mine = sorted(at[None if key is None else str(key)])
+            assert [m[0] for m in mine] == list(range(n)) and [m[1:] for m in mine] == sorted(m[1:] for m in mine)
+        assert ("Join" in plan_of(found)) == (name == "large")  # only an order that may be large is counted in parts
+
+
+def test_totals_come_with_positions(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 10 < 7, "big").when(F.col("id") % 10 < 9, F.concat(F.lit("g"), (F.col("id") % 400).cast("string"))).alias("g"), F.col("id").alias("o"), (F.col("id") % 3).alias("w"))
+    found = scan_totals(rows, ["g"], ["o"], weight=F.col("w"), out="t", total="all").collect()
+    sums, last = {}, {}
+    for r in sorted(found, key=lambda r: r["o"]):
+        assert r["t"] == sums.get(r["g"], 0)
+        sums[r["g"]] = r["t"] + r["w"]
+    assert len(found) == 5000 and all(r["all"] == sums[r["g"]] for r in found)
+
+
+def test_rows_are_numbered_without_reading_them_again(spark):
+    rows = spark.range(6).select(F.when(F.col("id") < 4, "a").when(F.col("id") < 5, "b").alias("group_id"), (F.col("id") % 2).alias("file_seq"), F.lit(0).cast("long").alias("entry_idx"), F.col("id").alias("x"))
+    found = number_rows(rows.withColumn("group_key", F.col("group_id")))
+    assert "Range (" not in plan_of(found)
+    got = sorted((r["row_id"], r["label"], r["row_no"], r["n_rows"]) for r in found.collect())
+    assert got == [("a-0", "a #1", 0, 4), ("a-1", "a #2", 1, 4), ("a-2", "a #3", 2, 4), ("a-3", "a #4", 3, 4), ("b", "b", 0, 1), ("group-unknown", "group-unknown", 0, 1)]
+
+
+def _cells(spark, rows):
+    return spark.createDataFrame(
+        [("f", "n", 1, "header", 0, pos, raw, key, kind, value) for pos, (raw, key, kind, value) in enumerate(rows)],
+        "file_id string, file_name string, file_seq long, origin string, entry_idx long, key_pos int, raw_key string, key string, kind string, value string",
+    )
+
+
+def test_cells_stay_where_they_are_for_a_preview(spark):
+    keys = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, key string")
+    found = value_preview(_cells(spark, [("a", "a", "string", "1"), ("c", "c", "string", "2")]), keys)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["pos"], r["key"], r["value"]) for r in found.collect()] == [(0, "a", "1")]
+
+
+def test_templates_meet_cells_without_a_join(spark):
+    rows = [("1-a", "a", "string", "old"), ("2-a", "a", "string", "late"), ("b", "b", "null", "null"), ("1-b", "b", "string", "clean"), ("y", "y", "string", "right"), ("x", "x", "null", "null"), ("1-w", "w", "null", "null"), ("z", "z", "string", "part"), ("s", "s", "string", "same"), ("1-s", "s", "string", "other")]
+    template = [TemplateColumn(k) for k in ("a", "b", "x/y", "w/z", "s", "none")]
+    found = resolve_template(_cells(spark, rows), template)
+    assert "Join" not in plan_of(found) and resolve_template(_cells(spark, rows), []).collect() == []
+    assert sorted((r["pos"], r["key"], r["value"]) for r in found.collect()) == [(0, "a", "late"), (1, "b", "clean"), (4, "s", "same")]
+
+
+def test_models_get_few_prompts_at_once(spark):
+    def counting_model(prompts):
+        return [str(len(prompts))] * len(prompts)
+
+    prompts = spark.range(300).coalesce(1).select(F.when(F.col("id") > 0, F.col("id")).alias("group_id"), F.lit("s").alias("system_prompt"), F.lit("u").alias("user_prompt"))
+    good, _ = run_rounds(prompts, counting_model, lambda a: a.withColumn("reject_reason", F.lit(None).cast("string")), ["group_id"], 1)
+    rows = good.collect()
+    assert {int(r["response"]) for r in rows} <= set(range(1, CALL_ROWS + 1)) and {r["group_id"] for r in rows} == {None, *range(1, 300)}
+
+
+def test_input_keys_need_no_places(spark):
+    results = spark.range(4).select(F.lit("g").alias("group_id"), F.col("id").cast("string").alias("file_id"), F.col("id").alias("file_seq"), F.lit("n").alias("file_name"), (F.col("id") < 3).alias("success"), F.concat(F.lit('{"k'), F.col("id").cast("string"), F.lit('":1}')).alias("data_json"))
+    found = input_keys(results)
+    assert "Window" not in plan_of(found) and "Range (" in plan_of(found)
+    assert [tuple(r) for r in found.collect()] == [("g", ["k0", "k1", "k2"])]
