@@ -7,7 +7,8 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from docmerge import queries
-from docmerge.operators.cells import value_preview
+from docmerge.operators.cells import to_cells, value_preview
+from docmerge.operators.identity import join_on
 from docmerge.operators.merge import number_rows
 from docmerge.operators.ordering import scan_totals
 from docmerge.operators.template import resolve_template
@@ -204,3 +205,42 @@ def test_input_keys_need_no_places(spark):
     found = input_keys(results)
     assert "Window" not in plan_of(found) and "Range (" in plan_of(found)
     assert [tuple(r) for r in found.collect()] == [("g", ["k0", "k1", "k2"])]
+
+
+def test_flat_objects_are_opened_as_maps(spark):
+    texts = [
+        '{"a":"x","bc":1,"bd":null,"be":true,"bf":""}', '{"1-a":"x","1-b":-2}', '{"aa":1,"ab":2,"aa":3}', '{"1-a":1,"1-a":2}', '{"aa":1.50,"ab":{"value":2.0,"unit":"mg"},"ac":[1,["z",null]],"ad":null,"ae":"p"}',
+        '{"1-a":"x","1-b":[1]}', '{"1-a":"x","b":2}', "{}", "[1]", "no", None, '{"aa":"\\u0041"}',
+    ]
+    results = spark.createDataFrame(list(enumerate(texts)), "file_seq long, data_json string")
+    found = to_cells(results)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode(coalesce(flat" in plan  # a map, not pairs made value by value
+    at = {}
+    for r in found.collect():
+        at.setdefault(r["file_seq"], []).append((r["key_pos"], r["raw_key"], r["key"], r["kind"], r["value"]))
+    assert {i: sorted(cells) for i, cells in at.items()} == {
+        0: [(0, "a", "a", "plain", "x"), (1, "bc", "bc", "plain", "1"), (2, "bd", "bd", "null", ""), (3, "be", "be", "plain", "true"), (4, "bf", "bf", "plain", "")],
+        1: [(0, "1-a", "a", "plain", "x"), (1, "1-b", "b", "plain", "-2")],
+        2: [(0, "aa", "aa", "plain", "3"), (1, "ab", "ab", "plain", "2")],
+        3: [(0, "1-a", "a", "plain", "2")],
+        4: [(0, "aa", "aa", "number", "1.5"), (1, "ab", "ab", "object", "2 mg"), (2, "ac", "ac", "array", "1; z"), (3, "ad", "ad", "null", ""), (4, "ae", "ae", "string", "p")],
+        5: [(0, "1-a", "a", "string", "x"), (1, "1-b", "b", "array", "1")],
+        6: [(0, "1-a", "a", "plain", "x"), (1, "b", "b", "plain", "2")],
+        11: [(0, "aa", "aa", "string", "A")],
+    }
+    cut = {}
+    for r in sorted(to_cells(results, strip_prefix=True).collect(), key=lambda r: r["key_pos"]):
+        cut.setdefault(r["file_seq"], []).append((r["raw_key"], r["value"]))
+    assert (cut[1], cut[3], cut[5], cut[6]) == ([("a", "x"), ("b", "-2")], [("1-a", "2")], [("a", "x"), ("b", "1")], [("1-a", "x"), ("b", "2")])
+
+
+def test_joined_keys_are_no_structs(spark):
+    left = spark.createDataFrame([("s", 1, "a"), (None, 2, "b"), ("s", None, "c"), ("t", 9, "d")], "session_id string, file_id long, x string")
+    right = spark.createDataFrame([("s", "1", 10), (None, "2", 20), ("s", None, 30), (None, None, 40)], "session_id string, file_id string, y int")
+    keys = ["session_id", "file_id"]
+    found = join_on(left, right, keys)
+    assert found.columns == ["session_id", "file_id", "x", "y"] and "struct(" not in plan_of(found)
+    assert sorted((r["x"], r["y"]) for r in found.collect()) == [("a", 10), ("b", 20), ("c", 30)]
+    assert [r["x"] for r in join_on(left, right, keys, "left_anti").collect()] == ["d"]
+    assert sorted((r["x"], r["y"]) for r in join_on(left, right, keys, "left").collect()) == [("a", 10), ("b", 20), ("c", 30), ("d", None)]
