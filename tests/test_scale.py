@@ -108,6 +108,21 @@ def test_many_small_files_in_few_tasks(spark, tmp_path):
     assert "Relation [" not in found._jdf.queryExecution().optimizedPlan().toString()  # the files are not opened again
 
 
+def test_a_batch_of_small_files_takes_as_many_tasks_as_cores(spark, tmp_path):
+    from docmerge.streaming import flows
+
+    (tmp_path / "in").mkdir()
+    for i in range(300):
+        (tmp_path / "in" / f"f{i}.txt").write_text(str(i))
+    rows = flows.stream_documents(spark, str(tmp_path / "in"), max_files=300).select("file_name", "text")
+    with with_few_listers(spark):
+        assert spark.conf.get("spark.sql.streaming.fileSource.log.compactInterval") == "100"
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism
+    found = {r.file_name: r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert found == {f"f{i}.txt": str(i) for i in range(300)}
+
+
 def test_batches_list_their_files_in_few_tasks(spark):
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(name, None)
