@@ -1,6 +1,7 @@
 """What larger tables ask for: folders of files as tables, few calls to state, many small files."""
 
 import json
+import time
 from types import SimpleNamespace
 
 from pyspark.sql import Row
@@ -11,10 +12,12 @@ from docmerge.operators.cells import to_cells, value_preview
 from docmerge.operators.identity import join_on
 from docmerge.operators.merge import number_rows
 from docmerge.operators.ordering import scan_totals
+from docmerge.operators.reshape import pivot_cells, pivot_long_to_wide
 from docmerge.operators.template import resolve_template
 from docmerge.plans.model_merge import input_keys
 from docmerge.plans.rounds import CALL_ROWS, run_rounds
-from docmerge.schemas import TemplateColumn
+from docmerge.schemas import PivotPreset, TemplateColumn
+from docmerge.session import checkpointed
 from docmerge.sources.files import read_files
 from docmerge.sources.sessions import SessionReader
 from docmerge.sources.stored import read_results
@@ -259,3 +262,34 @@ def test_joined_keys_are_no_structs(spark):
     assert sorted((r["x"], r["y"]) for r in found.collect()) == [("a", 10), ("b", 20), ("c", 30)]
     assert [r["x"] for r in join_on(left, right, keys, "left_anti").collect()] == ["d"]
     assert sorted((r["x"], r["y"]) for r in join_on(left, right, keys, "left").collect()) == [("a", 10), ("b", 20), ("c", 30), ("d", None)]
+
+
+def test_shuffles_go_when_their_result_is_stored(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    kept = lambda: {n for n in str(blocks.getAllFiles().mkString("\n")).split("\n") if "/shuffle_" in n}
+    before = kept()
+    counts = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().repartition(3)
+    stored = checkpointed(counts)
+    for _ in range(50):  # they are removed in the background
+        if kept() <= before:
+            break
+        time.sleep(0.2)
+    assert kept() <= before
+    assert sorted(r["count"] for r in stored.collect()) == sorted(r["count"] for r in counts.collect()) == [142] + [143] * 6
+
+
+def test_pivots_shuffle_first_rows_only(spark):
+    template = [TemplateColumn("name"), TemplateColumn("k", repeating=True), TemplateColumn("p", repeating=True), TemplateColumn("v", repeating=True)]
+    rows = spark.createDataFrame(
+        [(g, 1, i, f"{g} #{i}", {"name": f"n{i}", "k": f"k{i % 2}", "p": "a|b" if i % 2 else None, "v": str(i)}) for g in ("g", "h", None, "") for i in (3, 0, 2, 1)],
+        "group_id string, group_seq int, entry_idx bigint, label string, data map<string,string>",
+    ).repartition(3)
+    presets = [PivotPreset("k", prefix="p", values=("v",)), PivotPreset("k", values=("name", "v"))]
+    cells = pivot_cells(rows, template, presets)
+    assert "Join" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    found = {(r.group_id, r.name): r.value for r in cells.collect()}
+    first = {"k0_v": "0", "a|b_k1_v": "1", "k1_v": "1", "k0_name": "n0", "k1_name": "n1"}
+    assert {n: v for (g, n), v in found.items() if g == "g"} == {n: v for (g, n), v in found.items() if g == "h"} == first
+    wide = {r.group_id: r.asDict() for r in pivot_long_to_wide(rows, template, presets).collect()}
+    assert {k: wide["g"][k] for k in first} == first and wide["g"]["name"] == "n0" and wide["g"]["_label"] == "g"
+    assert len(wide) == 2 + len({g for g, _ in found} - {"g", "h"})
