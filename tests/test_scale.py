@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docmerge import queries
 from docmerge.operators.cells import to_cells, value_preview
 from docmerge.operators.identity import join_on
-from docmerge.operators.merge import number_rows
+from docmerge.operators.merge import merge_header, number_rows
 from docmerge.operators.ordering import scan_totals
 from docmerge.operators.reshape import pivot_cells, pivot_long_to_wide
 from docmerge.operators.template import resolve_template
@@ -293,3 +293,14 @@ def test_pivots_shuffle_first_rows_only(spark):
     wide = {r.group_id: r.asDict() for r in pivot_long_to_wide(rows, template, presets).collect()}
     assert {k: wide["g"][k] for k in first} == first and wide["g"]["name"] == "n0" and wide["g"]["_label"] == "g"
     assert len(wide) == 2 + len({g for g, _ in found} - {"g", "h"})
+
+
+def test_merged_headers_are_shuffled_once(spark):
+    cells = [("g", "same", "a"), ("g", "same", "a"), ("g", "two", "b"), ("g", "two", "a"), ("g", "none", None), ("g", "none", None), ("g", "some", None), ("g", "some", "x"), (None, "same", "z")]
+    rows = spark.createDataFrame(
+        [(g, 10 - i, "header", 0, i, k, v) for i, (g, k, v) in enumerate(cells)], "group_id string, file_seq long, origin string, entry_idx long, key_pos int, key string, value string",
+    ).repartition(3)
+    merged = merge_header(rows)
+    assert merged._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).count("Exchange hashpartitioning") == 1
+    got = {(r.group_id, r.key): (r.value, r.consistent) for r in merged.collect()}
+    assert got == {("g", "same"): ("a", True), ("g", "two"): ("a", False), ("g", "none"): (None, True), ("g", "some"): ("x", False), ("group-unknown", "same"): ("z", True)}
