@@ -15,6 +15,7 @@ from docmerge.operators.ordering import scan_totals
 from docmerge.operators.reshape import pivot_cells, pivot_long_to_wide
 from docmerge.operators.template import resolve_template
 from docmerge.plans.model_merge import input_keys
+from docmerge.plans.prompts import system_prompt
 from docmerge.plans.rounds import CALL_ROWS, run_rounds
 from docmerge.schemas import PivotPreset, TemplateColumn
 from docmerge.session import checkpointed
@@ -92,6 +93,34 @@ def test_files_are_asked_for_without_frames():
     assert step(kind="accepted", attempt=3) == [] and handle.value is None and handle.calls == ["get", "update"]
 
 
+def test_state_holds_no_texts(spark, tmp_path):
+    names = {"session_id": None, "file_id": "f", "group_id": "g", "file_name": "n", "file_seq": 3, "system_prompt": None, "user_prompt": "a long text", "data_url": "an image"}
+    for patience, kept in ((None, (None, None)), (5000, ("a long text", "an image"))):
+        handle, file = Calls(), retries._UnsettledRows(2, True, None, patience)
+        file.init(handle)
+        clock = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 0)
+        step = lambda **k: [(r.user_prompt, r.data_url, r.attempt) for r in file.handleInputRows((), iter([Row(**(names | {"kind": "file", "attempt": None, "reason": None} | k))]), clock)]
+        assert step() == [("a long text", "an image", 1)] and handle.value[6:8] == kept
+        said = {} if patience is None else {"user_prompt": None, "data_url": None}
+        assert step(kind="refused", attempt=1, reason="bad", **said) == [("a long text", "an image", 2)] and handle.value[6:8] == kept
+    docs = spark.createDataFrame([("s", str(i), f"{i}.txt", i, f"text {i}") for i in range(4)], "session_id string, file_id string, file_name string, file_seq long, text string")
+    docs.write.parquet(str(tmp_path / "in"))
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def model(prompts):
+        for p in prompts:
+            (seen / f"{p.user.split()[-1]}-{p.feedback is not None}-{len(p.system)}").touch()
+        return ["nothing"] * len(prompts)
+
+    retries.settle(spark.readStream.schema(docs.schema).parquet(str(tmp_path / "in")), model, str(tmp_path / "out"), str(tmp_path / "state"), [TemplateColumn("title"), TemplateColumn("item", repeating=True)], max_attempts=2)
+    form, plain = (len(system_prompt(t)) for t in ([TemplateColumn("title"), TemplateColumn("item", repeating=True)], None))
+    assert {f.name for f in seen.iterdir()} == {f"{i}-{told}-{n}" for i in range(4) for told, n in ((False, form), (True, form), (False, plain))}
+    assert not list((tmp_path / "state" / "asked").iterdir())
+    notices = spark.read.parquet(str(tmp_path / "state" / "notices" / "*"))
+    assert {(r.attempt, r.user_prompt is None) for r in notices.collect()} == {(1, False), (2, False), (3, True)}
+
+
 def test_many_small_files_in_few_tasks(spark, tmp_path):
     for i in range(2500):
         place = tmp_path / f"s{i % 2}"
