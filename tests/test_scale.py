@@ -19,7 +19,7 @@ from docmerge.plans.prompts import system_prompt
 from docmerge.plans.rounds import CALL_ROWS, run_rounds
 from docmerge.schemas import PivotPreset, TemplateColumn
 from docmerge.session import checkpointed
-from docmerge.sources.files import read_files
+from docmerge.sources.files import read_documents, read_files
 from docmerge.sources.sessions import SessionReader
 from docmerge.sources.stored import read_results
 from docmerge.sources.tables import order_lines
@@ -155,6 +155,19 @@ def test_a_batch_of_small_files_takes_as_many_tasks_as_cores(spark, tmp_path):
     assert found == {f"f{i}.txt": str(i) for i in range(300)}
 
 
+def test_uploads_are_listed_once(spark, tmp_path):
+    for i in range(20):
+        (tmp_path / f"f {i}.{('txt', 'png', 'pdf')[i % 3]}").write_text(f"text {i}")
+    accepted, rejected = read_documents(spark, str(tmp_path))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("binaryFile")
+    assert scans(accepted) == 1 and scans(rejected) == 0
+    assert accepted.columns == ["session_id", "file_id", "file_name", "modified", "size", "content", "path", "ext", "mime", "file_seq"]
+    rows = accepted.collect()
+    assert sorted(r.file_seq for r in rows) == list(range(14)) and {r.file_name: bytes(r.content).decode() for r in rows} == {f"f {i}.{('txt', 'png')[i % 3]}": f"text {i}" for i in range(20) if i % 3 < 2}
+    assert [r.file_seq for r in sorted(rows, key=lambda r: (r.modified, r.file_id))] == list(range(14))
+    assert {r.file_name for r in rejected.collect()} == {f"f {i}.pdf" for i in range(20) if i % 3 == 2}
+
+
 def test_batches_list_their_files_in_few_tasks(spark):
     name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
     before = spark.conf.get(name, None)
